@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import slices
 
+#: Code points that newer Unicode versions made letters or numbers, and that the library still takes for symbols.
+NEWER_LETTERS = [(0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F)]
+#: Lower case of capital letters newer than this Python's tables: (first, last, first of the lower case).
+NEWER_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
 #: Most words that a worker remembers.
 REMEMBERED = 200_000
 #: A word longer than this is encoded anew each time.
@@ -60,6 +64,8 @@ class Encoder:
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["merges"])}
         self.pieces = regex.compile(spec["pattern"], regex.V0)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.symbols = {c: 0x378 for a, b in NEWER_LETTERS for c in range(a, b + 1)}
+        self.capitals = {a + i: c + i for a, b, c in NEWER_CAPITALS for i in range(b - a + 1)} | {0x3A3: 0x3C3}
         self.words: dict[bytes, tuple[list[int], str]] = {}
 
     def merged(self, ids: list[int]) -> list[int]:
@@ -106,10 +112,9 @@ class Encoder:
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                # letter by letter, so that a final sigma is lowered like any other
-                plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                # letters that Unicode 15 doesn't know yet are symbols for the library, whatever the regex module says
-                shadow = plain if plain.isascii() else "".join("\u0378" if unicodedata.category(c) == "Cn" else c for c in plain)
+                # a final sigma is lowered like any other
+                plain = unicodedata.normalize("NFC", part).translate(self.capitals).lower() if not part.isascii() else part.lower()
+                shadow = plain if plain.isascii() else plain.translate(self.symbols)
                 for m in self.pieces.finditer(shadow):
                     ids += self.piece(plain[m.start() : m.end()])
         return ids, " ".join(self.string[i] for i in ids)
