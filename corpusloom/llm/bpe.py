@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -25,7 +28,7 @@ NEWER_LETTERS = [(0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C),
 #: Lower case of capital letters newer than this Python's tables: (first, last, first of the lower case).
 NEWER_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
 #: Most words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: A word longer than this is encoded anew each time.
 LONGEST_REMEMBERED = 128
 
@@ -54,87 +57,114 @@ def load_vocabulary(path: str) -> dict:
     return {"vocab": model["vocab"], "merges": merges, "suffix": model.get("end_of_word_suffix") or "", "pattern": pattern, "special": special}
 
 
+_ENCODERS: dict = {}
+
+
+class Words(dict):
+    """Word to what make() has for it."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, raw: bytes) -> tuple[list[int], str]:
+        found = self.make(raw)
+        if len(raw) <= LONGEST_REMEMBERED:
+            self[raw] = found
+        return found
+
+
 class Encoder:
     def __init__(self, spec: dict):
         vocab = spec["vocab"]
         self.suffix, self.special = spec["suffix"], spec["special"]
-        self.letters = byte_letters()
-        self.vocab = vocab
+        letters = byte_letters()
+        self.inner, self.last = [vocab.get(x) for x in letters], [vocab.get(x + self.suffix) for x in letters]
         self.string = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["merges"])}
+        if max(self.string) >= 1 << 16:
+            raise ValueError("ids of two bytes only")
+        self.merges = {vocab[a] << 16 | vocab[b]: rank << 16 | vocab[a + b] for rank, (a, b) in enumerate(spec["merges"])}
         self.pieces = regex.compile(spec["pattern"], regex.V0)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = {c: 0x378 for a, b in NEWER_LETTERS for c in range(a, b + 1)}
         self.capitals = {a + i: c + i for a, b, c in NEWER_CAPITALS for i in range(b - a + 1)} | {0x3A3: 0x3C3}
-        self.words: dict[bytes, tuple[list[int], str]] = {}
+        # the same pattern for ASCII, where the classes are plain
+        self.ascii_pieces = re.compile(spec["pattern"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
+        self.known_pieces: dict[str, tuple[list[int], str]] = {}
+        self.words = Words(self.word)
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Lowest rank first, leftmost first among equals."""
+        """Lowest rank first, leftmost first among equals. A queue entry is rank, merged id and place in one integer."""
         n = len(ids)
-        if n < 2:
+        shift, get = n.bit_length(), self.merges.get
+        place = (1 << shift) - 1
+        queue = [m << shift | i for i in range(n - 1) if (m := get(ids[i] << 16 | ids[i + 1])) is not None]
+        if not queue:
             return ids
+        heapq.heapify(queue)
         prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        alive = [True] * n
-        queue: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = nxt[i]
-            if j >= 0 and (m := self.merges.get((ids[i], ids[j]))):
-                heapq.heappush(queue, (m[0], i, ids[i], ids[j]))
-
-        for i in range(n):
-            offer(i)
         while queue:
-            _, i, left, right = heapq.heappop(queue)
+            entry = heapq.heappop(queue)
+            i, m = entry & place, entry >> shift
             j = nxt[i]
-            if not alive[i] or j < 0 or ids[i] != left or ids[j] != right:
-                continue  # stale: a neighbour was merged since
-            ids[i] = self.merges[left, right][1]
-            alive[j] = False
-            nxt[i] = nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            offer(i)
-            if prev[i] >= 0:
-                offer(prev[i])
-        return [x for x, a in zip(ids, alive, strict=True) if a]
-
-    def piece(self, piece: str) -> list[int]:
-        symbols = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.suffix
-        return self.merged([self.vocab[s] for s in symbols if s in self.vocab])
+            if j < 0 or ids[i] < 0 or get(ids[i] << 16 | ids[j]) != m:
+                continue  # stale: one of the two was merged since
+            ids[i], ids[j] = m & 0xFFFF, -1
+            k = nxt[i] = nxt[j]
+            if k >= 0:
+                prev[k] = i
+                if (m := get(ids[i] << 16 | ids[k])) is not None:
+                    heapq.heappush(queue, m << shift | i)
+            k = prev[i]
+            if k >= 0 and (m := get(ids[k] << 16 | ids[i])) is not None:
+                heapq.heappush(queue, m << shift | k)
+        return [x for x in ids if x >= 0]
+
+    def piece(self, piece: str) -> tuple[list[int], str]:
+        found = self.known_pieces.get(piece)
+        if found is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            ids = [self.inner[b] for b in raw]
+            ids[-1] = self.last[raw[-1]]
+            ids = self.merged([i for i in ids if i is not None])
+            found = ids, " ".join([self.string[i] for i in ids])
+            if len(raw) <= LONGEST_REMEMBERED:
+                if len(self.known_pieces) >= REMEMBERED:
+                    self.known_pieces.clear()
+                self.known_pieces[piece] = found
+        return found
 
     def word(self, raw: bytes) -> tuple[list[int], str]:
         """Ids of a word, and their strings joined by a space."""
         text = raw.decode("utf-8", "surrogatepass")
+        if text.isascii() and text.isalpha():
+            return self.piece(text.lower())
         ids: list[int] = []
-        for part in self.marks.split(text) if self.marks else [text]:
+        strings: list[str] = []
+        for part in self.marks.split(text) if self.marks and "<" in text else [text]:
             if part in self.special:
                 ids.append(self.special[part])
-            elif part:
+                strings.append(part)
+                continue
+            if part.isascii():
+                plain = part.lower()
+                pieces = [plain] if plain.isalpha() else self.ascii_pieces.findall(plain)
+            else:
                 # a final sigma is lowered like any other
-                plain = unicodedata.normalize("NFC", part).translate(self.capitals).lower() if not part.isascii() else part.lower()
-                shadow = plain if plain.isascii() else plain.translate(self.symbols)
-                for m in self.pieces.finditer(shadow):
-                    ids += self.piece(plain[m.start() : m.end()])
-        return ids, " ".join(self.string[i] for i in ids)
+                plain = unicodedata.normalize("NFC", part).translate(self.capitals).lower()
+                pieces = [plain[m.start() : m.end()] for m in self.pieces.finditer(plain.translate(self.symbols))]
+            for p in pieces:
+                if p:
+                    own, string = self.piece(p)
+                    ids += own
+                    strings.append(string)
+        return ids, " ".join(strings)
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
-        ids: list[int] = []
-        strings: list[str] = []
-        known = self.words
-        for raw in text.encode("utf-8", "surrogatepass").split() if text else ():
-            found = known.get(raw)
-            if found is None:
-                found = self.word(raw)
-                if len(raw) <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[raw] = found
-            if found[0]:
-                ids += found[0]
-                strings.append(found[1])
-        return ids, " ".join(strings)
+        if len(self.words) >= REMEMBERED:
+            self.words.clear()
+        found = [self.words[raw] for raw in (text.encode("utf-8", "surrogatepass").split() if text else ())]
+        return list(chain.from_iterable([f[0] for f in found])), " ".join([f[1] for f in found if f[1]])
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.string[i] for i in ids)
@@ -147,11 +177,15 @@ def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     Map only: no shuffle, one text at a time in a Python worker.
     """
     spark = df.sparkSession
-    spec = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))  # a fixed file of about 2 MB
+    shared = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))  # a fixed file of about 2 MB
+    number = uuid.uuid4().hex
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
+        encoder = _ENCODERS.get(number)
+        if encoder is None:  # kept for the next tasks of this worker, with the words it knows
+            _ENCODERS.clear()
+            encoder = _ENCODERS[number] = Encoder(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, 1_000_000):
