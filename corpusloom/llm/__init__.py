@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "sharding"]
+MODULES = ["bpe", "lm_score", "sharding"]
 
 
 def _gathered(name: str) -> dict:
