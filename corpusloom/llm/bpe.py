@@ -8,6 +8,7 @@ merging reaches across ASCII white space.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
@@ -28,7 +29,7 @@ NEWER_LETTERS = [(0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C),
 #: Lower case of capital letters newer than this Python's tables: (first, last, first of the lower case).
 NEWER_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
 #: Most words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 #: A word longer than this is encoded anew each time.
 LONGEST_REMEMBERED = 128
 
@@ -58,6 +59,8 @@ def load_vocabulary(path: str) -> dict:
 
 
 _ENCODERS: dict = {}
+#: Links of short words, copied for each.
+BEFORE, AFTER = list(range(-1, 63)), list(range(1, 65))
 
 
 class Words(dict):
@@ -102,7 +105,11 @@ class Encoder:
         if not queue:
             return ids
         heapq.heapify(queue)
-        prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
+        if n < len(BEFORE):
+            prev, nxt = BEFORE[:n], AFTER[:n]
+        else:
+            prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
+        nxt[-1] = -1
         while queue:
             entry = heapq.heappop(queue)
             i, m = entry & place, entry >> shift
@@ -182,6 +189,7 @@ def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the tables of known words hold no cycles, and scanning them time and again costs a seventh of the run
         encoder = _ENCODERS.get(number)
         if encoder is None:  # kept for the next tasks of this worker, with the words it knows
             _ENCODERS.clear()
