@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "lm_score", "sharding"]
+MODULES = ["bpe", "lm_score", "sharding", "toxicity"]
 
 
 def _gathered(name: str) -> dict:
