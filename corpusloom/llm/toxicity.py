@@ -29,7 +29,8 @@ BUCKETS = 1 << 15
 TRAIN_EACH, TRAIN_CHARS = 2000, 24_000_000
 #: A training word is known if it is in so many texts.
 LEAST_TEXTS = 4
-ROUNDS, EPOCHS = 4, 1
+#: In each round, so many steps of BATCH windows, or one pass if that is more.
+ROUNDS, STEPS, BATCH = 4, 48, 128
 #: Steps of the network's weights and of word and character vectors; power of the label's probability that weighs an error, against wrong labels.
 RATE, VECTOR_RATE, TRUST = 0.01, 0.0005, 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -52,6 +53,8 @@ def runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     found, owner = [], []
     h = np.zeros(len(joined), np.uint64)
     for n in range(1, max(RUNS) + 1):
+        if n > len(joined):
+            break
         h[: len(joined) - n + 1] = h[: len(joined) - n + 1] * np.uint64(0x100000001B3) + joined[n - 1 :]
         if n in RUNS:
             at = np.flatnonzero(left >= n)
@@ -241,10 +244,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Net:
         best = order[np.unique(owner[order], return_index=True)[1]]
         others = rng.permutation(np.flatnonzero(toxic[owner] == 0))[: len(best)]
         chosen = np.concatenate([best, others])
-        for _ in range(EPOCHS):
+        for _ in range(max(1, round(STEPS * BATCH / len(chosen)))):
             chosen = rng.permutation(chosen)
-            for a in range(0, len(chosen), 128):
-                w = chosen[a : a + 128]
+            for a in range(0, len(chosen), BATCH):
+                w = chosen[a : a + BATCH]
                 step += 1
                 used = np.unique(at[:, w])
                 used = used[used >= 0]
