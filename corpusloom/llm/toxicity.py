@@ -26,7 +26,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 8, 8
 RUNS = (3, 4, 5, 6)
 BUCKETS = 1 << 15
 #: Bound of the training sample: texts of either label, and characters in all.
-TRAIN_EACH, TRAIN_CHARS = 2000, 24_000_000
+TRAIN_EACH, TRAIN_CHARS = 1000, 8_000_000
 #: A training word is known if it is in so many texts.
 LEAST_TEXTS = 4
 #: In each round, so many steps of BATCH windows, or one pass if that is more.
@@ -300,7 +300,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order).limit(each).unionByName(known.where("toxic = 0").orderBy(order).limit(each))
     ids = df.sparkSession.createDataFrame(ids.toArrow().to_pandas()[["doc_id", "toxic"]], "doc_id bigint, toxic int")  # 2 * each rows at most
-    found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars // 50)
+    found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars // 40)
     texts, toxic, total = [], [], 0
     for r in found.orderBy(order, "text").limit(2 * each).toLocalIterator():
         total += len(r["text"])
@@ -308,7 +308,12 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             break
         texts.append(r["text"])
         toxic.append(r["toxic"])
-    return fit(texts, np.array(toxic, np.int64))
+    y = np.array(toxic, np.int64)
+    net = fit(texts, y)
+    if 0 < y.sum() < len(y):  # the sample holds more toxic texts than there are
+        share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        net.p["bo"][0] += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return net
 
 
 _NETS: dict = {}
