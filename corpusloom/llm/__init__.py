@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "jaccard_join", "lm_score", "sharding", "toxicity"]
+MODULES = ["bpe", "jaccard_join", "lm_score", "sharding", "substring_dedup", "toxicity"]
 
 
 def _gathered(name: str) -> dict:
