@@ -125,7 +125,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                 sets = shingle_sets(texts[a:b], known, words)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "tokens"])
 
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {id_type}, tokens array<bigint>").dropDuplicates(["doc_id", "tokens"]), "sets")
+    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(run, f"doc_id {id_type}, tokens array<bigint>"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("tx")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("ty")), "y")
     overlap = F.size(F.array_intersect("tx", "ty")).cast("long")
     links = written(both.where(overlap * (100 + percent) >= F.lit(percent) * (F.size("tx") + F.size("ty"))).select("x", "y").distinct(), "links")
@@ -147,7 +147,7 @@ def jaccard_components(df: DataFrame, words: int = 3, percent: int = 90, id_col:
     counts = sketch.merged(thin.where("chunk is not null").select("chunk", "counts"), WIDTH)
     classes = rows.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    led = written(leading(docs, counts, words, percent).join(reps, "doc_id"), "led").dropDuplicates(["doc_id", "prefix"])
+    led = written(leading(docs, counts, words, percent).join(reps, "doc_id"), "led")
 
     # groups: classes verified to be similar to the most central class of a bucket
     buckets = led.select("doc_id", "n", "central", "mins", F.posexplode(F.slice("mins", 1, BUCKETED)).alias("i", "min"))
@@ -156,18 +156,26 @@ def jaccard_components(df: DataFrame, words: int = 3, percent: int = 90, id_col:
     near = buckets.join(central, ["i", "min"]).where((F.col("doc_id") != F.col("c.doc_id")) & (agree >= AGREEING) & (F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent))
     stars = verified(docs, near.select(F.col("doc_id").alias("x"), F.col("c.doc_id").alias("y")).distinct(), words, percent)
     grouped = components(stars.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    member = led.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), "prefix")
+    member = led.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("grp"), F.col("component").isNull().alias("alone"), "prefix")
+    member = written(member, "member")
 
     # the matrix, and pairs of groups that may hold a link: 100 n - (100 + p) place >= p * size of the other
-    cells = member.select("doc_id", "n", "grp", F.posexplode("prefix").alias("at", "token")).withColumn("slack", F.col("n") * 100 - F.col("at") * (100 + percent))
-    matrix = cells.groupBy("token", "grp").agg(F.max("slack").alias("slack"), F.min("n").alias("n"))
-    left, right = matrix.select("token", *(F.col(c).alias(f"{c}1") for c in ("grp", "slack", "n"))), matrix.select("token", *(F.col(c).alias(f"{c}2") for c in ("grp", "slack", "n")))
-    open_pairs = written(left.join(right, "token").where(f"grp1 < grp2 and slack1 >= {percent} * n2 and slack2 >= {percent} * n1").select("token", "grp1", "grp2"), "open")
-    wanted = open_pairs.select("token", F.explode(F.array("grp1", "grp2")).alias("grp")).distinct()
-    opened = written(cells.join(wanted, ["token", "grp"]), "opened")
-    x = opened.select("token", F.col("grp").alias("grp1"), F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("slack").alias("sx"))
-    y = opened.select("token", F.col("grp").alias("grp2"), F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("slack").alias("sy"))
-    pairs = open_pairs.join(x, ["token", "grp1"]).join(y, ["token", "grp2"]).where(f"sx >= {percent} * ny and sy >= {percent} * nx and x <> y").select("x", "y").distinct()
+    cells = member.select("doc_id", "n", "grp", "alone", F.posexplode("prefix").alias("at", "token")).withColumn("slack", F.col("n") * 100 - F.col("at") * (100 + percent)).drop("at")
+    matrix = cells.groupBy("token", "grp", "alone").agg(F.max("slack").alias("slack"), F.min("n").alias("n"))
+    left, right = (matrix.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("grp", "alone", "slack", "n"))) for i in (1, 2))
+    open_pairs = written(left.join(right, "token").where(f"grp1 < grp2 and slack1 >= {percent} * n2 and slack2 >= {percent} * n1").select("token", "grp1", "grp2", (F.col("alone1") & F.col("alone2")).alias("alone")), "open")
+    # two documents that stand alone are their groups; of larger groups only the members that hold the shingle are compared
+    pairs = open_pairs.where("alone").select(F.col("grp1").alias("x"), F.col("grp2").alias("y"))
+    larger = open_pairs.where("not alone")
+    involved = larger.select(F.explode(F.array("grp1", "grp2")).alias("grp")).distinct()
+    wanted = larger.select("token", F.explode(F.array("grp1", "grp2")).alias("grp")).distinct()
+    opened = written(cells.join(involved, "grp", "left_semi").join(wanted, ["token", "grp"]), "opened")
+    x, y = (opened.select("token", F.col("grp").alias(f"grp{i}"), F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("slack").alias(f"s{k}")) for i, k in ((1, "x"), (2, "y")))
+    pairs = pairs.unionByName(larger.join(x, ["token", "grp1"]).join(y, ["token", "grp2"]).where(f"sx >= {percent} * ny and sy >= {percent} * nx").select("x", "y")).where("x <> y").distinct()
+    # similar sets share not only one but a number of their leading shingles, which depends on their sizes
+    px, py = (member.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("prefix").alias(f"p{k}")) for k in "xy")
+    least = f"(({percent} * (nx + ny) + {99 + percent}) div {100 + percent}) - (({percent} * greatest(nx, ny) + 99) div 100) + 1"
+    pairs = pairs.join(px, "x").join(py, "y").where(F.size(F.array_intersect("px", "py")) >= F.expr(least)).select("x", "y").distinct()
     links = verified(docs, pairs, words, percent)
 
     whole = components(stars.unionByName(links).select(F.col("x").alias("a"), F.col("y").alias("b")))
