@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches are worked on in slices of about so many characters, which bounds the memory of a Python worker.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 3_000_000
 #: A word table of a worker is emptied when it holds so many words.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -50,6 +50,11 @@ def dropped(df: DataFrame) -> None:
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts can be long: fewer rows in an Arrow batch, which the JVM and the Python worker each hold as a whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about limit characters each; one longer text stands alone."""
     start = total = 0

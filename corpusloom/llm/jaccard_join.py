@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import sketch
-from corpusloom.llm.common import WordHashes, dropped, mix, slices, tokens_of, windows_hash, written
+from corpusloom.llm.common import WordHashes, dropped, mix, slices, small_batches, tokens_of, windows_hash, written
 from corpusloom.llm.components import components
 
 WIDTH = 1 << 18
@@ -141,6 +141,7 @@ def jaccard_components(df: DataFrame, words: int = 3, percent: int = 90, id_col:
     A text without words has no shingles, links with nothing and is its own component. Rows that repeat an id count as one
     document. A row without id links with nothing and has no component_id.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     thin = written(signatures(docs, words), "thin")
     rows = thin.where("chunk is null")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, mix, slices, tokens_of, windows_hash, written
+from corpusloom.llm.common import WordHashes, mix, slices, small_batches, tokens_of, windows_hash, written
 
 #: Cells of the sketch, and chunks in which parts send theirs.
 CELL_BITS, CHUNK_BITS = 28, 8
@@ -104,7 +104,7 @@ def repeated_cells(docs: DataFrame, n: int, bits: int) -> np.ndarray:
                 anchors = Windows(texts[a:b], known, n).anchors()[1]
                 held.append((mix(anchors) >> np.uint64(64 - bits)).astype(np.int64))
                 many += len(anchors)
-                if many > 4_000_000:
+                if many > 1_500_000:
                     yield from out()
                     held, many = [], 0
         if many:
@@ -138,6 +138,7 @@ def remove_repeats(df: DataFrame, n: int = 20, bits: int = CELL_BITS, id_col: st
     whole. Null ids come first of all. Rows that repeat an id are ordered by their words; rows that repeat id and words count as one document.
     """
     spark = df.sparkSession
+    small_batches(spark)
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import slices, small_batches
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 8, 8
@@ -325,6 +325,7 @@ def toxicity_scores(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: s
     A null or empty text is one window without words and gets the score of no evidence. Ids may be null or repeat.
     """
     spark = df.sparkSession
+    small_batches(spark)
     number, shared = uuid.uuid4().hex, spark.sparkContext.broadcast((net.words, net.p))  # bounded by the training sample
     picked = df.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("doc_id"), *keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]
