@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -38,6 +39,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()  # shuffle files that only this table needed are deleted once nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 

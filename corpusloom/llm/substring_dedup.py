@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, mix, slices, small_batches, tokens_of, windows_hash, written
+from corpusloom.llm.common import WordHashes, dropped, mix, slices, small_batches, tokens_of, windows_hash, written
 
 #: Cells of the sketch, and chunks in which parts send theirs.
 CELL_BITS, CHUNK_BITS = 28, 8
@@ -172,19 +172,24 @@ def remove_repeats(df: DataFrame, n: int = 20, bits: int = CELL_BITS, id_col: st
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cells = WordHashes(), shared.value
         for batch in batches:
-            ids, texts, sigs = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ties = pa.array([int.from_bytes(x[:8], "big", signed=True) for x in batch.column(2).to_pylist()], pa.int64())
             for a, b in slices(texts):
                 w = Windows(texts[a:b], known, n)
                 cell = mix(w.anchors()[0]) >> np.uint64(64 - bits)
                 chosen = np.flatnonzero(cells[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & 1)
                 one, two = w.keys(chosen)
                 row = pa.array(w.text[chosen])
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.slice(a, b - a).take(row), sigs.slice(a, b - a).take(row), pa.array(w.at[chosen].astype(np.int32))], names=["one", "two", "doc_id", "sig", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.slice(a, b - a).take(row), ties.slice(a, b - a).take(row), pa.array(w.at[chosen].astype(np.int32))], names=["one", "two", "doc_id", "tie", "at"])
 
-    found = written(single.mapInArrow(candidates, f"one bigint, two int, doc_id {id_type}, sig binary, at int"), "windows")
-    start = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", F.substring("sig", 1, 8).alias("tie"), "at")
-    first = found.groupBy("one", "two").agg(F.min(start).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("one", "two", "first")
-    later = found.join(first, ["one", "two"]).where(start > F.col("first")).groupBy("doc_id", "sig").agg(F.collect_list("at").alias("starts"))
+    found = written(single.mapInArrow(candidates, f"one bigint, two int, doc_id {id_type}, tie bigint, at int"), "windows")
+    start = F.struct("doc_id", "tie", "at")  # nulls come first
+    first = found.groupBy("one", "two").agg(F.min(start).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    first = written(first.select("one", "two", "first.*").toDF("one", "two", "f_id", "f_tie", "f_at"), "first")
+    later = found.join(first, ["one", "two"]).where(start > F.struct("f_id", "f_tie", "f_at")).groupBy("doc_id", "tie").agg(F.collect_list("at").alias("starts"))
+    later = written(later, "later")
+    dropped(found)
+    dropped(first)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +217,8 @@ def remove_repeats(df: DataFrame, n: int = 20, bits: int = CELL_BITS, id_col: st
                 kept.append(b" ".join(left + words[at:]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string())], names=["doc_id", "n_words", "removed", "kept"])
 
-    keyed = later.select(F.col("doc_id").alias("l_id"), F.col("sig").alias("l_sig"), "starts")
-    whole = marked.join(keyed, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.col("sig") == F.col("l_sig")), "left")
+    keyed = later.select(F.col("doc_id").alias("l_id"), F.col("tie").alias("l_tie"), "starts")
+    whole = marked.join(keyed, F.col("doc_id").eqNullSafe(F.col("l_id")) & (F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("bigint") == F.col("l_tie")), "left")
     gone = gone.withColumn("copy", F.lit(True))
     whole = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("sig") == F.col("gone_sig")), "left")
     return whole.select("doc_id", "text", "starts", "copy").mapInArrow(cut, f"doc_id {id_type}, n_words bigint, removed array<struct<start:int,stop:int>>, kept string")
