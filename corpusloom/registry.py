@@ -1,6 +1,11 @@
-"""Name -> query, and name -> the same in DuckDB SQL."""
+"""Name -> query (spark, sf_dir), and name -> the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+from corpusloom.plans import analytics, retrieval, search, text
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (retrieval, analytics, search, text):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
