@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -39,11 +40,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()  # shuffle files that only this table needed are deleted once nothing refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the shuffle files of finished jobs deleted now; Spark does so when nothing refers to them, once both sides have collected garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a table of written() that no later step reads."""
     spark = df.sparkSession

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WordHashes, dropped, mix, slices, small_batches, tokens_of, windows_hash, written
+from corpusloom.llm.common import WordHashes, dropped, mix, release, slices, small_batches, tokens_of, windows_hash, written
 
 #: Cells of the sketch, and chunks in which parts send theirs.
 CELL_BITS, CHUNK_BITS = 28, 8
@@ -186,10 +186,12 @@ def remove_repeats(df: DataFrame, n: int = 20, bits: int = CELL_BITS, id_col: st
     start = F.struct("doc_id", "tie", "at")  # nulls come first
     first = found.groupBy("one", "two").agg(F.min(start).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1")
     first = written(first.select("one", "two", "first.*").toDF("one", "two", "f_id", "f_tie", "f_at"), "first")
+    release(spark)
     later = found.join(first, ["one", "two"]).where(start > F.struct("f_id", "f_tie", "f_at")).groupBy("doc_id", "tie").agg(F.collect_list("at").alias("starts"))
     later = written(later, "later")
     dropped(found)
     dropped(first)
+    release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

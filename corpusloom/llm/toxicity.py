@@ -10,6 +10,7 @@ and broadcast: its size does not depend on the data. Scoring is a map over all r
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
@@ -294,25 +295,34 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A network fitted to the first `each` labelled rows of either label in hash order, held-out rows left out.
 
     Null ids and labels are left out, an id labelled twice counts as toxic if one label says so. If the sample has more than
-    `chars` characters, texts later in that order are left out, which also bounds the driver's memory.
+    `chars` characters, texts later in that order are left out, which also bounds the memory of the one task that fits.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order).limit(each).unionByName(known.where("toxic = 0").orderBy(order).limit(each))
     ids = df.sparkSession.createDataFrame(ids.toArrow().to_pandas()[["doc_id", "toxic"]], "doc_id bigint, toxic int")  # 2 * each rows at most
     found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars // 40)
-    texts, toxic, total = [], [], 0
-    for r in found.orderBy(order, "text").limit(2 * each).toLocalIterator():
-        total += len(r["text"])
-        if total > chars:
-            break
-        texts.append(r["text"])
-        toxic.append(r["toxic"])
-    y = np.array(toxic, np.int64)
-    net = fit(texts, y)
-    if 0 < y.sum() < len(y):  # the sample holds more toxic texts than there are
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, total = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total += len(text)
+                if total <= chars:
+                    texts.append(text)
+                    toxic.append(label)
+        y = np.array(toxic, np.int64)
+        net = fit(texts, y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.words, net.p))]), pa.array([int(y.sum())], pa.int64()), pa.array([len(y)], pa.int64())], names=["net", "toxic", "many"])
+
+    # one task fits the bounded sample, away from the driver's memory
+    small_batches(df.sparkSession)
+    done = found.orderBy(order, "text").limit(2 * each).select("text", "toxic").mapInArrow(learn, "net binary, toxic bigint, many bigint").collect()
+    if not done:
+        return fit([], np.zeros(0, np.int64))
+    net, positive, many = Net(*pickle.loads(done[0]["net"])), done[0]["toxic"], done[0]["many"]
+    if 0 < positive < many:  # the sample holds more toxic texts than there are
         share = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-        net.p["bo"][0] += np.log(share[1] / share[0]) - np.log(y.sum() / (len(y) - y.sum()))
+        net.p["bo"][0] += np.log(share[1] / share[0]) - np.log(positive / (many - positive))
     return net
 
 
