@@ -22,7 +22,7 @@ from corpusloom.llm.common import WordHashes, dropped, mix, slices, small_batche
 from corpusloom.llm.components import components
 
 WIDTH = 1 << 18
-MINS, BUCKETED, AGREEING = 8, 3, 4
+MINS, BUCKETED, AGREEING = 8, 5, 3
 FACTOR = 0x9E3779B97F4A7C15
 #: Ids up to so many are sent to every task (1.6 MB), more are joined.
 BROADCAST_IDS = 200_000
@@ -75,7 +75,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 
 
 def leading(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, central, mins, prefix) of rows with shingles: min-hashes, how common its rarer shingles are, and its rarest shingles in global order."""
+    """(doc_id, n, central, mins, prefix) of rows with shingles: min-hashes, its rarest shingles in global order, and how few of all are rare.
+
+    A shingle is rare if it is counted less than half as often as the text's middle one. In a group of near copies those are the
+    shingles of edits, so the most central text is the one closest to what all were made from, and a star around it holds most.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # WIDTH counters
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -95,11 +99,13 @@ def leading(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> Da
                 often = counts[flat & np.uint64(WIDTH - 1)]
                 order = np.lexsort((flat, often, np.repeat(np.arange(len(n)), n)))
                 flat, often = flat[order].view(np.int64), often[order]
+                middle = often[starts + n // 2]
+                rare = np.add.reduceat((often * 2 < np.repeat(middle, n)).astype(np.int64), starts)
                 long = np.array([prefix_length(int(k), percent) for k in n])
                 take = np.concatenate([np.arange(s, s + p) for s, p in zip(starts, long, strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a).take(pa.array(full)), pa.array(n), pa.array(often[starts + long // 2].astype(np.int64)),
+                        batch.column(0).slice(a, b - a).take(pa.array(full)), pa.array(n), pa.array(-(rare * 10_000 // n)),
                         pa.FixedSizeListArray.from_arrays(pa.array(mins.ravel()), MINS).cast(pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(long)).astype(np.int32)), pa.array(flat[take])),
                     ],
