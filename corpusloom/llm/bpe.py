@@ -208,7 +208,7 @@ def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id
 
 
 def ids_digest(ids: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(ids, lambda x: x.cast("string")), " "), 256)
+    return F.sha2(F.concat_ws(" ", ids.cast("array<string>")), 256)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
