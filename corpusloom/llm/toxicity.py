@@ -4,7 +4,7 @@ Each word enters with a word vector and a character vector (vectors of its hashe
 overlapping windows of words; every window is scored and the highest score is the text's. Training knows labels of texts only:
 each round picks the most suspicious window of every text by the model so far, and learns from it (and from others of clean texts).
 
-The network is fitted on a bounded sample of labelled texts (TRAIN_EACH of either label, TRAIN_CHARS in all, both parameters)
+The network is fitted on a bounded sample of labelled texts (TRAIN_EACH of the two labels, TRAIN_CHARS in all, both parameters)
 and broadcast: its size does not depend on the data. Scoring is a map over all rows and whole texts.
 """
 
@@ -26,14 +26,14 @@ WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 8, 8
 RUNS = (3, 4, 5, 6)
 BUCKETS = 1 << 15
-#: Bound of the training sample: texts of either label, and characters in all.
-TRAIN_EACH, TRAIN_CHARS = 1000, 8_000_000
+#: Bound of the training sample: texts labelled toxic and others, and characters in all.
+TRAIN_EACH, TRAIN_CHARS = (1000, 2000), 12_000_000
 #: A training word is known if it is in so many texts.
 LEAST_TEXTS = 4
 #: In each round, so many steps of BATCH windows, or one pass if that is more.
-ROUNDS, STEPS, BATCH = 4, 48, 128
+ROUNDS, STEPS, BATCH = 6, 64, 128
 #: Steps of the network's weights and of word and character vectors; power of the label's probability that weighs an error, against wrong labels.
-RATE, VECTOR_RATE, TRUST = 0.01, 0.0005, 0.7
+RATE, VECTOR_RATE, TRUST = 0.005, 0.0003, 0.4
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -223,7 +223,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Net:
     run_pairs = np.unique(np.concatenate([np.zeros(0, np.int64)] + [np.unique(t * BUCKETS + np.concatenate([runs[ends[c] - run_n[c] : ends[c]] for c in pairs[pairs[:, 0] == t, 1]]).astype(np.int64)) for t in np.unique(pairs[:, 0])]))
     run_value, _ = odds(np.stack([run_pairs // BUCKETS, run_pairs % BUCKETS], axis=1), toxic, BUCKETS)
     net = Net.start(words, value[known], run_value * 0.5)
-    net.p["bo"][0] = np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 0.5))
+    net.p["bo"][0] = np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 2.0))
     if not len(cores) or not 0 < toxic.sum() < len(toxic):
         net.p["wo"][:] = 0
         return net
@@ -291,16 +291,16 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: int = TRAIN_EACH, chars: int = TRAIN_CHARS) -> Net:
-    """A network fitted to the first `each` labelled rows of either label in hash order, held-out rows left out.
+def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: tuple[int, int] = TRAIN_EACH, chars: int = TRAIN_CHARS) -> Net:
+    """A network fitted to the first `each` (toxic, other) labelled rows in hash order, held-out rows left out.
 
     Null ids and labels are left out, an id labelled twice counts as toxic if one label says so. If the sample has more than
     `chars` characters, texts later in that order are left out, which also bounds the memory of the one task that fits.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
-    ids = known.where("toxic = 1").orderBy(order).limit(each).unionByName(known.where("toxic = 0").orderBy(order).limit(each))
-    ids = df.sparkSession.createDataFrame(ids.toArrow().to_pandas()[["doc_id", "toxic"]], "doc_id bigint, toxic int")  # 2 * each rows at most
+    ids = known.where("toxic = 1").orderBy(order).limit(each[0]).unionByName(known.where("toxic = 0").orderBy(order).limit(each[1]))
+    ids = df.sparkSession.createDataFrame(ids.toArrow().to_pandas()[["doc_id", "toxic"]], "doc_id bigint, toxic int")  # sum(each) rows at most
     found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars // 40)
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic, total = [], [], 0
@@ -316,7 +316,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     # one task fits the bounded sample, away from the driver's memory
     small_batches(df.sparkSession)
-    done = found.orderBy(order, "text").limit(2 * each).select("text", "toxic").mapInArrow(learn, "net binary, toxic bigint, many bigint").collect()
+    done = found.orderBy(order, "text").limit(sum(each)).select("text", "toxic").mapInArrow(learn, "net binary, toxic bigint, many bigint").collect()
     if not done:
         return fit([], np.zeros(0, np.int64))
     net, positive, many = Net(*pickle.loads(done[0]["net"])), done[0]["toxic"], done[0]["many"]
