@@ -273,12 +273,12 @@ def test_edit_distance_and_keys(spark, edits):
         pairs.append(tuple(sorted((a, changed(rnd, a, edits + 1)), key=len)))
     df = spark.createDataFrame(pairs, "a string, b string")
     a, b = F.col("a"), F.col("b")
-    rows = df.select("a", "b", line_dedup.within_edits(a, b, edits).alias("w"), line_dedup.near(a, b, edits).alias("n"), F.arrays_overlap(line_dedup.index_keys(a, F.length(a), edits), line_dedup.probe_keys(b, F.length(b), edits)).alias("k")).collect()
+    rows = df.select("a", "b", line_dedup.within_edits(a, b, edits).alias("w"), line_dedup.near(a, b, edits).alias("n"), *[F.arrays_overlap(line_dedup.index_keys(a, F.length(a), edits + c, c), line_dedup.probe_keys(b, F.length(b), edits, edits + c, c)).alias(f"k{c}") for c in (1, 2)]).collect()
     for r in rows:
         close = edit_distance(r["a"], r["b"]) <= edits
         assert r["w"] == r["n"] == close
         if close and len(r["a"]) >= edits + 2:
-            assert r["k"]
+            assert r["k1"] and r["k2"]
 
 
 def lines_brute(rows, edits, least):
@@ -299,7 +299,9 @@ def lines_brute(rows, edits, least):
     return out
 
 
-def test_lines(spark, odd, empty):
+@pytest.mark.parametrize("crowd", [0, 1, 32])
+def test_lines(spark, odd, empty, crowd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
     rnd = random.Random(2)
     pool = ["".join(rnd.choices("abcdefgh ", k=rnd.randint(8, 20))).strip() + "xyz" for _ in range(12)]
     rows = [(i, "\n".join(changed(rnd, rnd.choice(pool), 1) if rnd.random() < 0.7 else rnd.choice(["", "  ", "a", pool[0] + " "]) for _ in range(rnd.randint(1, 6)))) for i in range(30)] + [(30, None), (31, "")]
