@@ -4,6 +4,11 @@ Numbers, names and units of measure become typed placeholders, so that a questio
 template. Windows of template words are hashed and joined with those of the benchmark; then the slots are compared: along one
 alignment, each value of the benchmark must stand for one and the same value in the document.
 
+There are three forms, each compared with itself only. PLAIN: the words as they are, so every literal window is found, and every
+item as a whole if it is shorter than a window, however short. NAMED: a name is a capitalised word that no end of a sentence
+stands before. CAPITALS: every capitalised word is a name, so what stands before an item does not matter; words at starts
+of sentences that agree count as literals. The two templates need LEAST_WORDS and LITERALS.
+
 The index of the benchmark is broadcast only up to INDEX_ROWS windows (its rows are counted), and joined by shuffle beyond.
 """
 
@@ -17,92 +22,117 @@ from corpusloom.llm.common import written
 WINDOW = 10
 #: Words of a window that must not be placeholders.
 LITERALS = 6
-#: Items of fewer words are too short to tell; those shorter than a window are matched whole.
+#: Items of fewer words are matched word for word only; those shorter than a window are matched whole.
 LEAST_WORDS = 7
 INDEX_ROWS = 500_000
 DOC_KEYS = 200_000
-NAME, NUMBER, UNIT = "§", "№", "¤"
+#: START marks a capitalised word that is no name by what stands before it.
+NAME, NUMBER, UNIT, START = "§", "№", "¤", "¶"
+MARKS = NAME + NUMBER + UNIT + START
+PLAIN, NAMED, CAPITALS = 0, 1, 2
 UNITS = "kilograms?|kilometers?|kilometres?|meters?|metres?|centimeters?|liters?|litres?|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|pounds?|dollars?|euros?|cents?|percent|kg|km|cm|mm|mg|ml|mph|ft|lb|oz|kwh|ghz|mhz"
 
 
 def words_of(text: Column) -> Column:
-    """Words in lower case, with a mark before each name, number and unit after a number.
+    """Words in lower case, with a mark before each name, number, unit after a number, and other capitalised word.
 
     A name is a capitalised word that no end of a sentence stands before. Points and commas between digits stay in a number.
     """
-    clean = F.translate(text, NAME + NUMBER + UNIT, "   ")
+    clean = F.translate(text, MARKS, " " * len(MARKS))
     named = F.regexp_replace(clean, r"(?<=[^.!?:\s]\s)(\p{Lu}\p{Ll}+)", f"{NAME}$1")
     counted = F.regexp_replace(named, r"(?<![\p{L}\p{N}])(\p{N}+(?:[.,:/]\p{N}+)*)", f"{NUMBER}$1")
     counted = F.regexp_replace(counted, rf"(?i)({NUMBER}\S+\s)({UNITS})(?!\p{{L}})", f"$1{UNIT}$2")
     marked = F.when(clean.rlike(r"\p{N}"), counted).otherwise(named)
-    return F.filter(F.split(F.lower(marked), rf"(?:(?![.,:/]\p{{N}})[^\p{{L}}\p{{N}}{NAME}{NUMBER}{UNIT}])+"), lambda w: w != "")
+    marked = F.regexp_replace(marked, rf"(?<![\p{{L}}\p{{N}}{MARKS}])(\p{{Lu}}\p{{Ll}}+)", f"{START}$1")
+    return F.filter(F.split(F.lower(marked), rf"(?:(?![.,:/]\p{{N}})[^\p{{L}}\p{{N}}{MARKS}])+"), lambda w: w != "")
+
+
+def plain(word: Column) -> Column:
+    return F.translate(word, MARKS, "")
+
+
+def is_slot(word: Column) -> Column:
+    return F.substring(word, 1, 1).isin(NAME, NUMBER, UNIT)
+
+
+def form_hashes(words: Column, form: int) -> Column:
+    """Hash of each word in the form."""
+    if form == PLAIN:
+        return F.transform(words, lambda w: F.xxhash64(plain(w)))
+
+    def placeholder(w: Column) -> Column:
+        name = w.startswith(NAME) | w.startswith(START) if form == CAPITALS else w.startswith(NAME)
+        return F.when(name, NAME).when(w.startswith(NUMBER), NUMBER).when(w.startswith(UNIT), UNIT).otherwise(w if form == CAPITALS else F.translate(w, START, ""))
+
+    return F.transform(words, lambda w: F.xxhash64(placeholder(w)))
 
 
-def template(words: Column) -> Column:
-    return F.transform(words, lambda w: F.when(w.startswith(NAME), NAME).when(w.startswith(NUMBER), NUMBER).when(w.startswith(UNIT), UNIT).otherwise(w))
+def window_hash(hashes: Column, at: Column, size: Column | int, form: int) -> Column:
+    return F.xxhash64(F.slice(hashes, at, size), F.lit(form))
 
 
-def window_hashes(words: Column, size: int) -> Column:
-    """Hash of each window of size template words, in order."""
+def window_hashes(words: Column, size: int, form: int) -> Column:
+    """Hash of each window of size words in the form, in order."""
 
-    def hashes(w: Column) -> Column:
-        n = F.size(w) - size + 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    def hashes(h: Column) -> Column:
+        n = F.size(h) - size + 1
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: window_hash(h, i, size, form))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.element_at(F.transform(F.array(words), hashes), 1)  # words are built once, not for each window
+    return F.element_at(F.transform(F.array(form_hashes(words, form)), hashes), 1)  # word hashes are built once, not for each window
 
 
 def index_of(items: DataFrame, window: int) -> DataFrame:
-    """(size, hash, item_id, i_at) of the benchmark's windows with enough words that are no placeholders."""
+    """(size, form, hash, item_id, i_at) of all windows of the benchmark word for word, and as templates of those with enough words that are no placeholders."""
     n = F.size("words")
-    size = F.when(n >= window, window).otherwise(n)
-    at = items.where(n >= LEAST_WORDS).select("item_id", "words", template(F.col("words")).alias("t"), size.alias("size")).select("*", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("size") + 1)).alias("i_at"))
-    piece = F.slice("t", F.col("i_at"), F.col("size"))
-    literal = F.size(F.filter(piece, lambda w: ~w.isin(NAME, NUMBER, UNIT)))
-    return at.where(literal >= F.least(F.lit(LITERALS), F.col("size"))).select("size", F.xxhash64(piece).alias("hash"), "item_id", "i_at")
+    hashes = [form_hashes(F.col("words"), form).alias(f"h{form}") for form in (PLAIN, NAMED, CAPITALS)]
+    at = items.where(n > 0).select("item_id", "words", F.least(n, F.lit(window)).alias("size"), *hashes).select("*", F.explode(F.sequence(F.lit(1), n - F.col("size") + 1)).alias("i_at"))
+    literal = F.size(F.filter(F.slice("words", F.col("i_at"), F.col("size")), lambda w: ~is_slot(w)))
+    enough = (n >= LEAST_WORDS) & (literal >= F.least(F.lit(LITERALS), F.col("size")))
+    entries = [F.struct(F.lit(form).alias("form"), window_hash(F.col(f"h{form}"), F.col("i_at"), F.col("size"), form).alias("hash")) for form in (PLAIN, NAMED, CAPITALS)]
+    rows = at.select("size", "item_id", "i_at", F.explode(F.when(enough, F.array(*entries)).otherwise(F.array(entries[PLAIN]))).alias("e"))
+    return rows.select("size", "e.form", "e.hash", "item_id", "i_at")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, tie, item_id, n_windows, n_slots) of documents that hold a benchmark item's words, figures and names aside.
 
     tie is the hash of the document's text: rows that repeat id and text count as one document, a null id is an id like any
-    other. Null and empty texts and items match nothing. Of several alignments of a pair the one with most windows is reported;
-    a pair none of whose alignments has consistent slots is left out.
+    other. Null and empty texts and items match nothing. Of several alignments and forms of a pair the one with most windows is
+    reported; a pair none of whose alignments has consistent slots is left out.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text).cast("string")).alias("words")).where("words is not null")
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").select("doc_id", F.xxhash64("text").alias("tie"), words_of(F.col("text")).alias("words"))
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("tie", F.xxhash64("text"))
     index = written(index_of(items, window), "index")
-    sizes = {r["size"]: r["n"] for r in index.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as sizes
-    hits = None
-    for size, many in sizes.items():
-        own = index.where(F.col("size") == size).drop("size")
-        if many <= INDEX_ROWS:
-            own = F.broadcast(own)
-        at = docs.select("doc_id", "tie", F.posexplode(window_hashes(template(F.col("words")), size)).alias("d_at", "hash"))
-        found = at.join(own, "hash").select("doc_id", "tie", "item_id", (F.col("d_at") + 1).alias("d_at"), "i_at", F.lit(size).alias("size"))
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = docs.crossJoin(items.limit(0)).select("doc_id", "tie", "item_id", F.lit(1).alias("d_at"), F.lit(1).alias("i_at"), F.lit(1).alias("size"))
+    kinds = index.groupBy("size", "form").agg(F.count(F.lit(1)).alias("n")).collect()  # as many rows as sizes and forms
+    many = sum(r["n"] for r in kinds)
+    own = F.broadcast(index) if many <= INDEX_ROWS else index
+    lists = [window_hashes(F.col("words"), r["size"], r["form"]) for r in kinds] or [F.array().cast("array<bigint>")]
+    at = docs.select("doc_id", "tie", words_of(F.col("text")).alias("words")).select("doc_id", "tie", F.explode(F.array(*lists)).alias("list")).select("doc_id", "tie", F.posexplode("list").alias("d_at", "hash"))
+    hits = at.join(own, "hash").select("doc_id", "tie", "item_id", (F.col("d_at") + 1).alias("d_at"), "i_at", "size", "form")
     hits = written(hits.distinct(), "hits")
 
     # the slots: only texts with a hit are looked at again
     keys = hits.select(F.col("doc_id").alias("k_id"), F.col("tie").alias("k_tie")).distinct()
-    if hits.count() <= DOC_KEYS:
+    if keys.count() <= DOC_KEYS:
         keys = F.broadcast(keys)
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_semi").distinct()
-    texts = texts.select(F.col("doc_id").alias("t_id"), F.col("tie").alias("t_tie"), F.col("words").alias("d_words"))
-    aligned = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("tie") == F.col("t_tie"))).join(items.distinct(), "item_id")
-    pairs = F.filter(
-        F.zip_with(F.slice("d_words", F.col("d_at"), F.col("size")), F.slice("words", F.col("i_at"), F.col("size")), lambda d, i: F.struct(d.alias("d"), i.alias("i"))),
-        lambda p: F.substring(p["i"], 1, 1).isin(NAME, NUMBER, UNIT),
-    )
-    slots = aligned.select("doc_id", "tie", "item_id", (F.col("d_at") - F.col("i_at")).alias("shift"), F.explode(pairs).alias("p"))
-    slots = slots.groupBy("doc_id", "tie", "item_id", "shift", "p.i").agg(F.countDistinct("p.d").alias("values"))
-    slots = slots.groupBy("doc_id", "tie", "item_id", "shift").agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("values") > 1).alias("odd"))
-    whole = hits.groupBy("doc_id", "tie", "item_id", (F.col("d_at") - F.col("i_at")).alias("shift")).agg(F.count(F.lit(1)).alias("n_windows"))
-    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in ("doc_id", "tie", "item_id", "shift")), "n_slots", "odd")
-    both = whole.join(slots, F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & (F.col("tie") == F.col("s_tie")) & F.col("item_id").eqNullSafe(F.col("s_item_id")) & (F.col("shift") == F.col("s_shift")), "left")
-    fair = both.where("odd is null or odd = 0")
+    texts = texts.select(F.col("doc_id").alias("t_id"), F.col("tie").alias("t_tie"), words_of(F.col("text")).alias("d_words"))
+    own_items = items.select(F.col("item_id").alias("own_id"), "words").distinct()
+    aligned = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("tie") == F.col("t_tie"))).join(own_items, F.col("item_id").eqNullSafe(F.col("own_id")))
+    both = F.zip_with(F.slice("d_words", F.col("d_at"), F.col("size")), F.slice("words", F.col("i_at"), F.col("size")), lambda d, i: F.struct(plain(d).alias("d"), plain(i).alias("i"), F.substring(i, 1, 1).alias("mark")))
+    aligned = aligned.select("doc_id", "tie", "item_id", "form", (F.col("d_at") - F.col("i_at")).alias("shift"), "d_at", "size", both.alias("both"))
+    # at a start of a sentence, a word counts if it is the same
+    literal = F.size(F.filter("both", lambda p: ~p["mark"].isin(NAME, NUMBER, UNIT) & ((p["mark"] != START) | (p["d"] == p["i"]))))
+    aligned = aligned.where((F.col("form") != CAPITALS) | (literal >= F.least(F.lit(LITERALS), F.col("size"))))
+    pairs = F.filter("both", lambda p: p["mark"].isin(NAME, NUMBER, UNIT) | ((F.col("form") == CAPITALS) & (p["mark"] == START)))
+    aligned = written(aligned.select("doc_id", "tie", "item_id", "form", "shift", "d_at", pairs.alias("pairs")), "aligned")
+    along = ("doc_id", "tie", "item_id", "form", "shift")
+    slots = aligned.select(*along, F.explode("pairs").alias("p")).groupBy(*along, "p.i").agg(F.countDistinct("p.d").alias("values"))
+    slots = slots.groupBy(*along).agg(F.count(F.lit(1)).alias("n_slots"), F.count_if(F.col("values") > 1).alias("odd"))
+    whole = aligned.groupBy(*along).agg(F.countDistinct("d_at").alias("n_windows"))
+    slots = slots.select(*(F.col(c).alias(f"s_{c}") for c in along), "n_slots", "odd")
+    same = (F.col("tie") == F.col("s_tie")) & (F.col("form") == F.col("s_form")) & (F.col("shift") == F.col("s_shift"))
+    fair = whole.join(slots, F.col("doc_id").eqNullSafe(F.col("s_doc_id")) & F.col("item_id").eqNullSafe(F.col("s_item_id")) & same, "left").where("odd is null or odd = 0")
     best = fair.groupBy("doc_id", "tie", "item_id").agg(F.max(F.struct("n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"))).alias("best"))
     return best.select("doc_id", "tie", "item_id", "best.n_windows", "best.n_slots")
 

@@ -238,6 +238,18 @@ def test_decontamination_finds_every_literal_window(spark):
     assert want <= got
 
 
+def test_decontamination_of_short_items_and_starts(spark):
+    items = ["Who discovered penicillin in 1928?", "Who wrote the novel Dracula in 1897?", "What is the boiling point of pure water in kelvin?", "Alice sells seven red apples at the weekly market"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    rows = [
+        (0, "Notes. Who discovered penicillin in 1928? Done."), (1, "Notes\nWho wrote the novel Dracula in 1897?"), (2, f"Quiz night item {items[2]}"), (3, "Carol sells seven red apples at the weekly market"),
+        (4, "Who discovered penicillin in 1929?"), (5, "Who wrote the novel Emma in 1815?"),  # too few literals: word for word only
+        (6, "Once Carol sells seven red apples at the weekly market"),
+    ]
+    got = decontaminate.contaminated(docs_of(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 3), (6, 3)]
+
+
 # line dedup
 
 
