@@ -5,8 +5,8 @@ vectors add up to a prediction, whose product with the symbol vectors gives logi
 normaliser of each pair of context symbols, so token probabilities are normalised. A word outside the vocabulary has the
 probability of its class times its share of the class, add-one smoothed from the counts of all training tokens.
 
-Counts cover all training texts (one distributed aggregate). The vectors are trained by local passes over every part of a
-fixed fraction of the training texts and averaged, so what is gathered grows with the input. Only tables of bounded size are
+Counts cover all training texts (one distributed aggregate). The vectors are trained in rounds of local passes over every part of
+the round's share of the training texts, averaged after each round; every training text is in one round. Only tables of bounded size are
 broadcast: the vocabulary, the vectors, and the counts of at most TOP_WORDS words; counts of rarer words are joined.
 """
 
@@ -36,9 +36,9 @@ NOISE = 64
 BATCH = 1024
 #: Adagrad starts from so small a sum.
 SEEN = 1e-6
-#: In each round one of so many training texts is learnt from.
+#: In each round one of so many training texts is learnt from; the rounds together learn from each text once.
 FRACTION = 6
-ROUNDS = 2
+ROUNDS = FRACTION
 #: Tokens that one local pass should have at least.
 LOCAL_TOKENS = 400_000
 
@@ -163,8 +163,7 @@ def trained(docs: DataFrame, head: dict[bytes, int], counts: np.ndarray, tokens:
             def learn() -> int:
                 symbols, counts = np.concatenate([p[0] for p in parts_of]), np.concatenate([p[1] for p in parts_of])
                 w, c1, c2, _ = with_ends(symbols, counts)
-                for again in range(min(2, max(1, 400_000 // len(w)))):  # a small part is gone through more than once
-                    nce_pass(v, c1, c2, w, noise, 0.15 if turn == 0 else 0.08, turn * 1000 + again)
+                nce_pass(v, c1, c2, w, noise, 0.15 if turn == 0 else 0.08, turn * 1000)
                 return len(w)
 
             for batch in batches:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -159,6 +160,22 @@ def test_lm_probabilities_add_up():
     assert abs((10**lp).sum() - 1) < 1e-4
 
 
+def test_lm_learns_from_every_text_once(spark, monkeypatch, tmp_path):
+    """Each training text is one token of its own, so the tokens of all passes are the training texts."""
+
+    def note(v, c1, c2, w, *rest):
+        (tmp_path / str(time.time_ns())).write_text(" ".join(map(str, w.tolist())))
+
+    docs = docs_of(spark, [(i, f"w{i}") for i in range(300)])
+    head = {f"w{i}".encode(): i for i in range(300)}
+    counts = np.zeros(lm_score.SYMBOLS)
+    counts[:300], counts[lm_score.END] = 1, 300
+    monkeypatch.setattr(lm_score, "nce_pass", note)
+    lm_score.trained(docs, head, counts, 600)
+    seen = [int(x) for p in tmp_path.iterdir() for x in p.read_text().split()]
+    assert sorted(x for x in seen if x < 300) == list(range(300))
+
+
 def test_lm_odd_rows(odd, empty):
     out = lm_score.lm_scores(odd).collect()
     assert len(out) == odd.count() and all(np.isfinite(r["score"]) and np.isfinite(r["base_score"]) for r in out)
