@@ -339,6 +339,19 @@ def test_lines(spark, odd, empty, crowd, monkeypatch):
     assert line_dedup.dedup_lines(odd, keep=("lang",)).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_go_if_equal(spark):
+    import corpus_pipeline
+
+    long = "a line of more than thirty letters, to be compared"
+    rows = [(1, f"menu\n{long}\n\nx\nend", "en", "s", 0), (2, f"Menu\n menu \n{long}!\n\nx", "en", "s", 0), (3, "menu\nx", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {1: rows[0][1], 2: "Menu\n", 3: ""}
+    got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(docs, exact_chars=1).collect()}
+    assert got == want
+    staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, DATA).collect()}
+    assert staged == {1: want[1], 2: want[2]}  # a document that keeps no word goes
+
+
 # BPE
 
 
