@@ -24,6 +24,11 @@ def query_trend(spark, d):
     return A.daily_trend(M.messages(spark, d).where("role = 'user'"), "created_at", M.AS_OF, 14)
 
 
+def dense_search_trend_all(spark, d):
+    """dense_search_trend of all attempts."""
+    return A.dense_trend(M.attempts(spark, d), "at", FIRST, LAST, requests=F.lit(True), failed=~F.col("ok"))
+
+
 def dense_search_trend(spark, d):
     rows = M.attempts(spark, d).where("at < timestamp '2024-01-20'")
     return A.dense_trend(rows, "at", FIRST, LAST, requests=F.lit(True), failed=~F.col("ok"))
@@ -147,7 +152,7 @@ def breaker_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        usage_stats, popular_queries, query_trend, dense_search_trend, agent_metrics, agent_trend, error_distribution, steps_per_run, latency_summary_p95, engine_health, fastest_engine, first_success, document_page, document_status_counts, document_progress, kb_visibility,
+        usage_stats, popular_queries, query_trend, dense_search_trend, dense_search_trend_all, agent_metrics, agent_trend, error_distribution, steps_per_run, latency_summary_p95, engine_health, fastest_engine, first_success, document_page, document_status_counts, document_progress, kb_visibility,
         conversation_counts, latest_run, recent_messages, oldest_messages, idempotent_receipts, old_vector_documents, migration_audit, run_history, miss_mode, counters_daily_stream, receipts_stream, breaker_batch, breaker_stream,
     )
 }
@@ -163,6 +168,7 @@ ORACLE_SQL = {
     ),
     "popular_queries": V("SELECT content, count(*) AS n FROM messages WHERE role = 'user' AND content <> '' GROUP BY 1 ORDER BY n DESC, content LIMIT 10", "messages"),
     "query_trend": V("SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM messages WHERE role = 'user' AND created_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY GROUP BY 1", "messages"),
+    "dense_search_trend_all": V("SELECT CAST(s.day AS DATE) AS day, coalesce(requests, 0) AS requests, coalesce(failed, 0) AS failed FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS day) s LEFT JOIN (SELECT CAST(at_time AS DATE) AS day, count(*) AS requests, count(*) FILTER (NOT ok) AS failed FROM attempts GROUP BY 1) a ON a.day = CAST(s.day AS DATE)", "attempts"),
     "dense_search_trend": V("SELECT CAST(s.day AS DATE) AS day, coalesce(requests, 0) AS requests, coalesce(failed, 0) AS failed FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS day) s LEFT JOIN (SELECT CAST(at_time AS DATE) AS day, count(*) AS requests, count(*) FILTER (NOT ok) AS failed FROM attempts WHERE at_time < TIMESTAMP '2024-01-20' GROUP BY 1) a ON a.day = CAST(s.day AS DATE)", "attempts"),
     "agent_metrics": V(
         "WITH p AS (SELECT run_id, count(*) AS n, max(CAST(step_type = 'retry_decision' AS INT)) AS retried FROM steps GROUP BY 1), "

@@ -142,11 +142,24 @@ def adjacent_context(spark, d):
     return C.expand_hits(hits, M.chunks(spark, d)).select("hit_id", "before_ids", "after_ids", F.md5("context").alias("context_md5"))
 
 
+def adjacent_context_all(spark, d):
+    """adjacent_context of every chunk."""
+    chunks = M.chunks(spark, d)
+    hits = chunks.select(F.lit(1).alias("query_id"), "chunk_id", "document_id", "sequence_no")
+    return C.expand_hits(hits, chunks).select("hit_id", "before_ids", "after_ids", F.md5("context").alias("context_md5"))
+
+
 def interval_merge_groups(spark, d):
     hits = M.chunks(spark, d).where("chunk_id % 5 = 0").select(F.col("kb_id").alias("query_id"), "chunk_id", "document_id", "sequence_no", F.col("chunk_id").alias("final_rank"))
     return C.context_groups(hits)
 
 
+def interval_merge_groups_hits(spark, d):
+    """interval_merge_groups of the hits of bm25_multi_query."""
+    hits = bm25_multi_query(spark, d).join(M.chunks(spark, d).select("chunk_id", "document_id", "sequence_no"), "chunk_id")
+    return C.context_groups(hits.select("query_id", "chunk_id", "document_id", "sequence_no", F.col("bm25_rank").alias("final_rank")))
+
+
 def context_budget(spark, d):
     rows = M.chunks(spark, d).select("kb_id", "chunk_id", F.length("content").cast("bigint").alias("chars"))
     return C.budget(rows, ["kb_id"], ["chunk_id"])
@@ -174,7 +187,7 @@ def prompt_context(spark, d):
     return C.prompt_context(rows, ["document_id"], "rank", "kb_id", "content").select("document_id", F.md5("prompt").alias("prompt_md5"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_index_docs, lexical_index_terms, kb_corpus_stats, bm25_search, bm25_multi_query, bm25_filtered, vector_topk, vector_threshold_search, vector_blend_topk, rrf_fusion, rerank_decision, rerank_threshold, hybrid_search, post_process, adjacent_context, interval_merge_groups, context_budget, context_blocks, context_block_diff, index_incremental_diff, prompt_context)}
+QUERIES = {f.__name__: f for f in (lexical_index_docs, lexical_index_terms, kb_corpus_stats, bm25_search, bm25_multi_query, bm25_filtered, vector_topk, vector_threshold_search, vector_blend_topk, rrf_fusion, rerank_decision, rerank_threshold, hybrid_search, post_process, adjacent_context, adjacent_context_all, interval_merge_groups, interval_merge_groups_hits, context_budget, context_blocks, context_block_diff, index_incremental_diff, prompt_context)}
 
 STOPS = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
 TOKENS = f"list_filter(regexp_extract_all(lower({{0}}), '([\\p{{{{L}}}}\\p{{{{N}}}}]+)', 1), lambda t: t NOT IN ({STOPS}))"
@@ -260,6 +273,19 @@ ORACLE_SQL = {
         "SELECT hit_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no < at0), '') AS before_ids, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no > at0), '') AS after_ids, md5(string_agg(content, chr(10) ORDER BY sequence_no)) AS context_md5 FROM x GROUP BY 1",
         "chunks",
     ),
+    "adjacent_context_all": sql(
+        "x AS (SELECT h.chunk_id AS hit_id, h.sequence_no AS at0, c.* FROM chunks h JOIN chunks c ON c.document_id = h.document_id AND c.sequence_no BETWEEN h.sequence_no - 1 AND h.sequence_no + 1) "
+        "SELECT hit_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no < at0), '') AS before_ids, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no > at0), '') AS after_ids, md5(string_agg(content, chr(10) ORDER BY sequence_no)) AS context_md5 FROM x GROUP BY 1",
+        "chunks",
+    ),
+    "interval_merge_groups_hits": sql(
+        f"{INDEX}, {bm25_sql(ALL_ASKED, READY, 10)}, h AS (SELECT query_id, c.document_id, sequence_no - 1 AS lo, sequence_no + 1 AS hi, bm25_rank AS r FROM best JOIN chunks c USING (chunk_id)), "
+        "m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY query_id, document_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM h), "
+        "i AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, document_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m), "
+        "g AS (SELECT query_id, document_id, min(lo) AS lo, max(hi) AS hi, count(*) AS hits, min(r) AS best_rank FROM i GROUP BY query_id, document_id, island) "
+        "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best_rank, document_id, lo) AS group_rank FROM g",
+        *VIEW,
+    ),
     "interval_merge_groups": sql(
         "h AS (SELECT kb_id AS query_id, document_id, sequence_no - 1 AS lo, sequence_no + 1 AS hi, chunk_id AS r FROM chunks WHERE chunk_id % 5 = 0), "
         "m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY query_id, document_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM h), "
