@@ -65,6 +65,26 @@ def test_toxicity_learns_and_scores_every_row(spark, odd, empty):
     assert len({r["score"] for r in toxicity.toxicity_scores(docs, none).collect()}) == 1
 
 
+def test_toxicity_learns_from_long_texts_and_scores_all_windows(spark):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choices(WORDS, k=30)) + (" ogre" if i % 3 == 0 else "")) for i in range(60)] + [(60, None), (61, ""), (62, " ".join(rnd.choices(WORDS, k=70_000)))]
+    marks = [(i, int(i % 3 == 0)) for i in range(63)] + [(1, 1), (1, None), (None, 1)]
+    assert len(rows[62][1]) > 300_000
+    net = toxicity.train(docs_of(spark, rows), spark.createDataFrame(marks, "doc_id bigint, toxic int"))
+    small = toxicity.train(docs_of(spark, rows), spark.createDataFrame(marks, "doc_id bigint, toxic int"), chars=1000)
+    assert net.words and len(small.words) <= len(net.words)
+    # the highest score of single windows, one at a time
+    texts = [r[1] for r in rows[:8]] + [" ".join(rnd.choices([*WORDS, "ogre"], k=k)) for k in (1, 31, 32, 33, 48, 49, 200)]
+    for text, got in zip(texts, toxicity.score_texts(net, texts), strict=True):
+        words, best = text.split(), 0.0
+        starts = sorted({*range(0, max(1, len(words) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(words) - toxicity.WINDOW)})
+        for a in starts:
+            x = net.inputs([toxicity.core(w.encode()) for w in words[a : a + toxicity.WINDOW]])[3] @ net.p["wx"] + net.p["bx"]
+            at = np.append(np.arange(len(x)), np.full(toxicity.WINDOW - len(x), -1))[:, None]
+            best = max(best, float(toxicity.sigmoid(net.forward(x, at)[0])[0]))
+        assert abs(best - got) < 1e-5
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Net.start({b"a": 0}, np.ones(1, np.float32), np.zeros(toxicity.BUCKETS, np.float32))
@@ -302,12 +322,15 @@ def test_edit_distance_and_keys(spark, edits):
         pairs.append(tuple(sorted((a, changed(rnd, a, edits + 1)), key=len)))
     df = spark.createDataFrame(pairs, "a string, b string")
     a, b = F.col("a"), F.col("b")
-    rows = df.select("a", "b", line_dedup.within_edits(a, b, edits).alias("w"), line_dedup.near(a, b, edits).alias("n"), *[F.arrays_overlap(line_dedup.index_keys(a, F.length(a), edits + c, c), line_dedup.probe_keys(b, F.length(b), edits, edits + c, c)).alias(f"k{c}") for c in (1, 2)]).collect()
+    rows = df.select("a", "b", line_dedup.within_edits(a, b, edits).alias("w"), line_dedup.near(a, b, edits).alias("n"), *[F.arrays_overlap(line_dedup.index_keys(a, F.length(a), edits + c, c), F.concat(line_dedup.index_keys(b, F.length(b), edits + c, c), line_dedup.probe_keys(b, F.length(b), edits, edits + c, c))).alias(f"k{c}") for c in line_dedup.LEVELS], line_dedup.alike(line_dedup.mask_of(a), line_dedup.mask_of(b), edits).alias("m")).collect()
     for r in rows:
         close = edit_distance(r["a"], r["b"]) <= edits
         assert r["w"] == r["n"] == close
-        if close and len(r["a"]) >= edits + 2:
-            assert r["k1"] and r["k2"]
+        assert r["m"] or not close
+        if close and len(r["a"]) >= edits + 1:
+            assert r["k1"]
+        if close and len(r["a"]) >= edits + 4:
+            assert r["k4"]
 
 
 def lines_brute(rows, edits, least):
@@ -339,6 +362,19 @@ def test_lines(spark, odd, empty, crowd, monkeypatch):
     assert line_dedup.dedup_lines(odd, keep=("lang",)).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_are_compared_in_letters(spark):
+    import duckdb
+
+    line = "éine zeile mit mehr als dreißig buchstaben, größer"
+    rows = [(1, line), (2, line.replace("é", "e").replace("ö", "o")), (3, line.replace("é", "x").replace("ö", "o").replace("ß", "s")), (4, None), (5, "kurz\nkurz")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[2] for r in con.execute(line_dedup.SQL).fetchall()}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(docs_of(spark, rows), exact_chars=1).collect()}
+    assert got == want | {4: 0} and [got[i] for i in (1, 2, 3, 5)] == [0, 1, 0, 1]
+
+
 def test_short_lines_go_if_equal(spark):
     import corpus_pipeline
 
@@ -481,6 +517,17 @@ def test_pipeline_stages(spark):
     assert last.count() == before.count() > 0.5 * docs.count()
 
 
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    import corpus_pipeline as cp
+
+    rnd = random.Random(4)
+    a, b, c = (" ".join(rnd.choices([f"w{i}" for i in range(300)], k=60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (3, c), (None, c), (None, None), (4, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.drop_near_copies(spark, docs, DATA).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (None, c), (None, None), (4, None), (4, "")], key=str)
+
+
 def test_pipeline_handles_empty_and_odd_tables(spark, odd, empty, tmp_path):
     import corpus_pipeline as cp
 
