@@ -186,6 +186,7 @@ def trained(docs: DataFrame, head: dict[bytes, int], counts: np.ndarray, tokens:
 
         def merge(table: pa.Table) -> pa.Table:
             total, n = 0, 0
+            table = table.sort_by([("tokens", "ascending"), ("data", "ascending")])  # sums do not depend on the order of arrival
             for d, t in zip(table.column("data"), table.column("tokens"), strict=True):
                 t = t.as_py()
                 total, n = total + np.frombuffer(d.as_buffer(), np.float32) * np.float64(t), n + t
@@ -209,19 +210,24 @@ class Scorer:
         self.norm = np.full(SYMBOLS * SYMBOLS, np.nan, np.float32)
         self.bias = v["bias"].copy()
         self.bias[BOS] = -np.inf  # never a token
+        # the bias is the weight of a last context entry that is always one
+        self.weights = np.ascontiguousarray(np.concatenate([v["out"], self.bias[:, None]], axis=1).T)
+        self.ones, self.room = np.ones(SYMBOLS, np.float32), np.empty((2048, SYMBOLS), np.float32)
 
     def __call__(self, w: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
         key = c1.astype(np.int64) * SYMBOLS + c2
         fresh = np.unique(key[np.isnan(self.norm[key])])
-        out_t = np.ascontiguousarray(self.v["out"].T)
         for a in range(0, len(fresh), 2048):
             k = fresh[a : a + 2048]
-            logits = (self.v["near"][k // SYMBOLS] + self.v["far"][k % SYMBOLS]) @ out_t
-            logits += self.bias
-            top = logits.max(axis=1, keepdims=True)
-            logits -= top
-            np.exp(logits, out=logits)
-            self.norm[k] = np.log(logits.sum(axis=1)) + top[:, 0]
+            logits = np.concatenate([self.v["near"][k // SYMBOLS] + self.v["far"][k % SYMBOLS], np.ones((len(k), 1), np.float32)], axis=1) @ self.weights
+            with np.errstate(over="ignore"):
+                total = np.exp(logits, out=self.room[: len(k)]) @ self.ones
+            odd = ~((total > 1e-30) & (total < 1e30))  # out of the range of single precision: from the largest on
+            if odd.any():
+                top = logits[odd].max(axis=1)
+                self.norm[k[odd]] = np.log(np.exp(logits[odd] - top[:, None]).sum(axis=1)) + top
+                total[odd], k = 1, np.where(odd, -1, k)
+            self.norm[k[k >= 0]] = np.log(total[k >= 0])
         out = np.empty(len(w), np.float64)
         for a in range(0, len(w), 1 << 16):
             b = slice(a, a + (1 << 16))
