@@ -67,30 +67,52 @@ def form_hashes(words: Column, form: int) -> Column:
     return F.transform(words, lambda w: F.xxhash64(placeholder(w)))
 
 
-def window_hash(hashes: Column, at: Column, size: Column | int, form: int) -> Column:
-    return F.xxhash64(F.slice(hashes, at, size), F.lit(form))
+def with_windows(rows: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
+    """rows (with words) and a column windows: for each kind (size, form) the hashes of all windows of size words in the form, in order.
 
+    Hashes of runs of 1, 2, 4, ... words come from two of half the length, each in a projection of its own, so that each list is
+    built once for all sizes; a window is put together from the runs that its size is made of.
+    """
+    forms, n = sorted({form for _, form in kinds}), F.size("words")
+    out = rows.select("*", *(form_hashes(F.col("words"), form).alias(f"run1_{form}") for form in forms))
+    run = 1
+    while 2 * run <= max((size for size, _ in kinds), default=0):
+        out = out.select("*", *(followed_by(F.col(f"run{run}_{form}"), F.col(f"run{run}_{form}"), run).alias(f"run{2 * run}_{form}") for form in forms))
+        run *= 2
+
+    def list_of(size: int, form: int) -> Column:
+        whole, done = None, 0
+        for k in range(run.bit_length() - 1, -1, -1):
+            if size >> k & 1:
+                part = F.col(f"run{1 << k}_{form}")
+                whole, done = part if whole is None else followed_by(whole, part, done), done + (1 << k)
+        return F.slice(whole, F.lit(1), F.greatest(n - size + 1, F.lit(0)))
 
-def window_hashes(words: Column, size: int, form: int) -> Column:
-    """Hash of each window of size words in the form, in order."""
+    lists = [list_of(size, form) for size, form in kinds] or [F.array().cast("array<bigint>")]
+    return out.select(*rows.columns, F.array(*lists).alias("windows"))
 
-    def hashes(h: Column) -> Column:
-        n = F.size(h) - size + 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: window_hash(h, i, size, form))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.element_at(F.transform(F.array(form_hashes(words, form)), hashes), 1)  # word hashes are built once, not for each window
+def followed_by(runs: Column, others: Column, after: int) -> Column:
+    """Hashes of each run and the other one that starts `after` words later; those near the end, which have none, mean nothing."""
+    return F.zip_with(runs, F.slice(others, F.lit(after + 1), F.greatest(F.size(others) - after, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
 def index_of(items: DataFrame, window: int) -> DataFrame:
-    """(size, form, hash, item_id, i_at) of all windows of the benchmark word for word, and as templates of those with enough words that are no placeholders."""
+    """(kind, hash, item_id, i_at, size, form) of all windows of the benchmark word for word, and as templates of those with enough words that are no placeholders.
+
+    kind numbers the pairs of size and form that occur. Sizes are those of the window and of shorter items, so they are few.
+    """
     n = F.size("words")
-    hashes = [form_hashes(F.col("words"), form).alias(f"h{form}") for form in (PLAIN, NAMED, CAPITALS)]
-    at = items.where(n > 0).select("item_id", "words", F.least(n, F.lit(window)).alias("size"), *hashes).select("*", F.explode(F.sequence(F.lit(1), n - F.col("size") + 1)).alias("i_at"))
+    items = items.where(n > 0).withColumn("size", F.least(n, F.lit(window)))
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # `window` rows at most
+    kinds = [(size, form) for size in sizes for form in (PLAIN, NAMED, CAPITALS)]
+    rows = [(i, size, form) for i, (size, form) in enumerate(kinds)]
+    named = items.sparkSession.createDataFrame(rows, "kind int, kind_size int, form int")
+    each = with_windows(items, kinds).select("item_id", "words", "size", F.posexplode("windows").alias("kind", "hashes"))
+    at = each.join(F.broadcast(named), "kind").where("size = kind_size").select("kind", "item_id", "words", "size", "form", F.posexplode("hashes").alias("place", "hash")).withColumn("i_at", F.col("place") + 1)
     literal = F.size(F.filter(F.slice("words", F.col("i_at"), F.col("size")), lambda w: ~is_slot(w)))
     enough = (n >= LEAST_WORDS) & (literal >= F.least(F.lit(LITERALS), F.col("size")))
-    entries = [F.struct(F.lit(form).alias("form"), window_hash(F.col(f"h{form}"), F.col("i_at"), F.col("size"), form).alias("hash")) for form in (PLAIN, NAMED, CAPITALS)]
-    rows = at.select("size", "item_id", "i_at", F.explode(F.when(enough, F.array(*entries)).otherwise(F.array(entries[PLAIN]))).alias("e"))
-    return rows.select("size", "e.form", "e.hash", "item_id", "i_at")
+    return at.where((F.col("form") == PLAIN) | enough).select("kind", "hash", "item_id", "i_at", "size", "form")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -103,12 +125,13 @@ def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_c
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text).cast("string")).alias("words")).where("words is not null")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null").withColumn("tie", F.xxhash64("text"))
     index = written(index_of(items, window), "index")
-    kinds = index.groupBy("size", "form").agg(F.count(F.lit(1)).alias("n")).collect()  # as many rows as sizes and forms
-    many = sum(r["n"] for r in kinds)
-    own = F.broadcast(index) if many <= INDEX_ROWS else index
-    lists = [window_hashes(F.col("words"), r["size"], r["form"]) for r in kinds] or [F.array().cast("array<bigint>")]
-    at = docs.select("doc_id", "tie", words_of(F.col("text")).alias("words")).select("doc_id", "tie", F.explode(F.array(*lists)).alias("list")).select("doc_id", "tie", F.posexplode("list").alias("d_at", "hash"))
-    hits = at.join(own, "hash").select("doc_id", "tie", "item_id", (F.col("d_at") + 1).alias("d_at"), "i_at", "size", "form")
+    kinds = [(r["size"], r["form"]) for r in index.select("kind", "size", "form").distinct().orderBy("kind").collect()]  # as many rows as sizes and forms
+    numbers = [r["kind"] for r in index.select("kind").distinct().orderBy("kind").collect()]
+    own = F.broadcast(index) if index.count() <= INDEX_ROWS else index
+    # outer explodes, since a plain one adds a filter that parses every text once more
+    parsed = with_windows(docs.select("doc_id", "tie", words_of(F.col("text")).alias("words")), kinds)
+    at = parsed.select("doc_id", "tie", F.posexplode_outer("windows").alias("list", "hashes")).select("doc_id", "tie", F.get(F.lit(numbers or [0]), F.col("list")).alias("kind"), F.posexplode_outer("hashes").alias("d_at", "hash"))
+    hits = at.join(own, ["hash", "kind"]).select("doc_id", "tie", "item_id", (F.col("d_at") + 1).alias("d_at"), "i_at", "size", "form")
     hits = written(hits.distinct(), "hits")
 
     # the slots: only texts with a hit are looked at again
