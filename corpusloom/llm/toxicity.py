@@ -294,29 +294,38 @@ def held_out(id_col: Column) -> Column:
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", each: tuple[int, int] = TRAIN_EACH, chars: int = TRAIN_CHARS) -> Net:
     """A network fitted to the first `each` (toxic, other) labelled rows in hash order, held-out rows left out.
 
-    Null ids and labels are left out, an id labelled twice counts as toxic if one label says so. If the sample has more than
-    `chars` characters, texts later in that order are left out, which also bounds the memory of the one task that fits.
+    Null ids and labels are left out, an id labelled twice counts as toxic if one label says so; null and empty texts are texts
+    without words. If the sample has more than `chars` characters, a text that would exceed them is left out and shorter ones later
+    in that order still count, which bounds the memory of the one task that fits; no text is left out for its own length unless it
+    has more than `chars` itself. Ids are whole numbers. Without labelled texts the network only knows that it knows nothing.
     """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     ids = known.where("toxic = 1").orderBy(order).limit(each[0]).unionByName(known.where("toxic = 0").orderBy(order).limit(each[1]))
     ids = df.sparkSession.createDataFrame(ids.toArrow().to_pandas()[["doc_id", "toxic"]], "doc_id bigint, toxic int")  # sum(each) rows at most
-    found = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "doc_id").where(F.length("text") <= chars // 40)
+    texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(ids), "doc_id").withColumn("tie", F.xxhash64("text"))
+    sizes = found.groupBy("doc_id", "tie").agg(F.any_value(F.length("text")).alias("size")).orderBy(order, "tie").limit(2 * sum(each)).collect()  # ids may repeat
+    chosen, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= chars and len(chosen) < sum(each):
+            chosen.append((r["doc_id"], r["tie"]))
+            total += r["size"]
+    chosen = df.sparkSession.createDataFrame(chosen, "doc_id bigint, tie bigint")
+    found = found.join(F.broadcast(chosen), ["doc_id", "tie"]).groupBy("doc_id", "tie", "toxic").agg(F.any_value("text").alias("text"))
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic, total = [], [], 0
+        texts, toxic = [], []
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += len(text)
-                if total <= chars:
-                    texts.append(text)
-                    toxic.append(label)
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
         y = np.array(toxic, np.int64)
         net = fit(texts, y)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((net.words, net.p))]), pa.array([int(y.sum())], pa.int64()), pa.array([len(y)], pa.int64())], names=["net", "toxic", "many"])
 
     # one task fits the bounded sample, away from the driver's memory
     small_batches(df.sparkSession)
-    done = found.orderBy(order, "text").limit(sum(each)).select("text", "toxic").mapInArrow(learn, "net binary, toxic bigint, many bigint").collect()
+    done = found.orderBy(order, "tie").limit(sum(each)).select("text", "toxic").mapInArrow(learn, "net binary, toxic bigint, many bigint").collect()
     if not done:
         return fit([], np.zeros(0, np.int64))
     net, positive, many = Net(*pickle.loads(done[0]["net"])), done[0]["toxic"], done[0]["many"]
