@@ -14,9 +14,10 @@ import json
 import re
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,11 @@ _ENCODERS: dict = {}
 BEFORE, AFTER = list(range(-1, 63)), list(range(1, 65))
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids, of which there are fewer than 65536, as two bytes each: a list would hold an object for every one of millions."""
+    return array("H", ids).tobytes()
+
+
 class Words(dict):
     """Word to what make() has for it."""
 
@@ -70,7 +76,7 @@ class Words(dict):
         super().__init__()
         self.make = make
 
-    def __missing__(self, raw: bytes) -> tuple[list[int], str]:
+    def __missing__(self, raw: bytes) -> tuple[bytes, str]:
         found = self.make(raw)
         if len(raw) <= LONGEST_REMEMBERED:
             self[raw] = found
@@ -127,30 +133,30 @@ class Encoder:
                 heapq.heappush(queue, m << shift | k)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[list[int], str]:
+    def piece(self, piece: str) -> tuple[bytes, str]:
         found = self.known_pieces.get(piece)
         if found is None:
             raw = piece.encode("utf-8", "surrogatepass")
             ids = [self.inner[b] for b in raw]
             ids[-1] = self.last[raw[-1]]
             ids = self.merged([i for i in ids if i is not None])
-            found = ids, " ".join([self.string[i] for i in ids])
+            found = packed(ids), " ".join([self.string[i] for i in ids])
             if len(raw) <= LONGEST_REMEMBERED:
                 if len(self.known_pieces) >= REMEMBERED:
                     self.known_pieces.clear()
                 self.known_pieces[piece] = found
         return found
 
-    def word(self, raw: bytes) -> tuple[list[int], str]:
-        """Ids of a word, and their strings joined by a space."""
+    def word(self, raw: bytes) -> tuple[bytes, str]:
+        """Packed ids of a word, and their strings joined by a space."""
         text = raw.decode("utf-8", "surrogatepass")
         if text.isascii() and text.isalpha():
             return self.piece(text.lower())
-        ids: list[int] = []
+        ids = b""
         strings: list[str] = []
         for part in self.marks.split(text) if self.marks and "<" in text else [text]:
             if part in self.special:
-                ids.append(self.special[part])
+                ids += packed([self.special[part]])
                 strings.append(part)
                 continue
             if part.isascii():
@@ -167,11 +173,16 @@ class Encoder:
                     strings.append(string)
         return ids, " ".join(strings)
 
-    def encode(self, text: str | None) -> tuple[list[int], str]:
+    def packed(self, text: str | None) -> tuple[bytes, str]:
+        """Packed ids of a text, and what they decode to."""
         if len(self.words) >= REMEMBERED:
             self.words.clear()
         found = [self.words[raw] for raw in (text.encode("utf-8", "surrogatepass").split() if text else ())]
-        return list(chain.from_iterable([f[0] for f in found])), " ".join([f[1] for f in found if f[1]])
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+
+    def encode(self, text: str | None) -> tuple[list[int], str]:
+        ids, decoded = self.packed(text)
+        return np.frombuffer(ids, np.uint16).tolist(), decoded
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.string[i] for i in ids)
@@ -190,19 +201,24 @@ def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the tables of known words hold no cycles, and scanning them time and again costs a seventh of the run
         encoder = _ENCODERS.get(number)
         if encoder is None:  # kept for the next tasks of this worker, with the words it knows
             _ENCODERS.clear()
             encoder = _ENCODERS[number] = Encoder(shared.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 1_000_000):
-                done = [encoder.encode(t) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([d[0] for d in done], pa.list_(pa.int32())), pa.array([d[1] for d in done], pa.string())],
-                    names=["doc_id", "token_ids", "decoded"],
-                )
+        gc.disable()  # the tables of known words hold no cycles, and scanning them time and again costs a seventh of the run
+        try:
+            for batch in batches:
+                texts = batch.column(1).to_pylist()
+                for a, b in slices(texts, 1_000_000):
+                    done = [encoder.packed(t) for t in texts[a:b]]
+                    ends = np.cumsum([0, *(len(d[0]) // 2 for d in done)]).astype(np.int32)
+                    ids = np.frombuffer(b"".join([d[0] for d in done]), np.uint16).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array([d[1] for d in done], pa.string())],
+                        names=["doc_id", "token_ids", "decoded"],
+                    )
+        finally:
+            gc.enable()
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, token_ids array<int>, decoded string")
 
