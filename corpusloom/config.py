@@ -33,6 +33,7 @@ class Config:
     chunk_other_overlap: int = 50
     # context
     window: int = 1
+    context_version: str = "v1"
     block_target: int = 1400
     block_max: int = 1800
     block_min_children: int = 4

@@ -66,12 +66,25 @@ def known_route(raw: Column) -> Column:
 
 
 def base_route(queries: DataFrame, bases: DataFrame) -> DataFrame:
-    """(query_id, kb_id): the base of the asker's own department, else of a department named in the query, else the first."""
-    own = bases.groupBy("department_id").agg(F.min("kb_id").alias("own"))
-    rows = queries.join(own, "department_id", "left")
-    named = queries.select("query_id", "text").join(bases.select("kb_id", "keyword"), F.contains("text", "keyword")).groupBy("query_id").agg(F.min("kb_id").alias("named"))
-    first = bases.agg(F.min("kb_id").alias("first"))
-    return rows.join(named, "query_id", "left").crossJoin(F.broadcast(first)).select("query_id", F.coalesce("own", "named", "first").alias("kb_id"))
+    """(query_id, kb_id) of queries (query_id, text, department_id): the base of the asker's own department, else one named in the query, else the first.
+
+    bases (kb_id, department_id, keyword, place) are listed in order of place; the first listed wins. The query is lowered, and its
+    substrings of the few lengths that keywords have meet them by an equi-join.
+    """
+    first_by = lambda rows, *by: rows.groupBy(*by).agg(F.min_by("kb_id", "place").alias("kb"))
+    own = first_by(bases.where("department_id is not null"), "department_id").withColumnRenamed("kb", "own")
+    words = bases.where("keyword <> ''").select("kb_id", "place", F.lower("keyword").alias("word"))
+    sizes = [r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()]  # as many rows as lengths of keywords
+    text = F.lower(F.coalesce("text", F.lit("")))
+
+    def cut(n: int) -> Column:
+        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
+
+    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    named = first_by(queries.select("query_id", F.explode(pieces).alias("word")).join(words, "word"), "query_id").withColumnRenamed("kb", "named")
+    first = bases.agg(F.min_by("kb_id", "place").alias("first"))
+    return queries.join(own, "department_id", "left").join(named, "query_id", "left").crossJoin(F.broadcast(first)).select("query_id", F.coalesce("own", "named", "first").alias("kb_id"))
 
 
 def error_class(message: Column) -> Column:
@@ -121,17 +134,18 @@ def step_history(steps: DataFrame, keep: int = 5, clip: int = 500) -> DataFrame:
 
 
 def miss_mode(rows: DataFrame, key: str = "conversation_id", order: str = "at", limit: int = 3) -> DataFrame:
-    """rows (key, at, hit) -> mode after each: the third miss in a row turns search on, fewer ask first, a hit resets.
+    """rows (key, at, hit, and bypass if there is one) -> misses and mode after each: the third miss in a row turns search on for good, fewer ask first.
 
-    Misses since the last hit are a running count per island, so no state is carried by hand.
+    A hit sets the count back and leaves the mode; a row that bypasses (attachments, no active base) changes nothing. Misses since
+    the last hit are a running count per island, so no state is carried by hand.
     """
+    bypass = F.col("bypass") if "bypass" in rows.columns else F.lit(False)
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    island = F.sum(F.col("hit").cast("int")).over(w)
-    rows = rows.withColumn("_island", island)
-    run = F.sum((~F.col("hit")).cast("int")).over(Window.partitionBy(key, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("misses", run.cast("bigint"))
-    on = F.max((F.col("misses") >= limit).cast("int")).over(w)
-    return rows.withColumn("mode", F.when(on == 1, "on").when(F.col("misses") > 0, "ask_pending").otherwise("off")).drop("_island")
+    rows = rows.withColumn("_miss", (~F.col("hit") & ~bypass).cast("int")).withColumn("_island", F.sum((F.col("hit") & ~bypass).cast("int")).over(w))
+    rows = rows.withColumn("_run", F.sum("_miss").over(Window.partitionBy(key, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+    on = F.max((F.col("_run") >= limit).cast("int")).over(w) == 1
+    mode = F.when(on, "on").when(F.max("_miss").over(w) == 1, "ask_pending").otherwise("off")
+    return rows.withColumn("misses", F.when(on, F.lit(0)).otherwise(F.col("_run")).cast("bigint")).withColumn("mode", mode).drop("_island", "_run", "_miss")
 
 
 def import_outcome(status: Column) -> Column:

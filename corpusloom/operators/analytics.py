@@ -43,12 +43,13 @@ def rate(part: Column, whole: Column) -> Column:
 
 
 def agent_metrics(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """One row: runs by status, runs that retried and how many of them completed, rates, steps per run that has any."""
-    per = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("step_type") == "retry_decision").cast("int")).alias("retried"))
+    """One row: runs by status, runs that retried and those with a retry step that was a success, rates, steps per run that has any."""
+    retry = F.col("step_type") == "retry_decision"
+    per = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max(retry.cast("int")).alias("retried"), F.max((retry & (F.col("status") == "success")).cast("int")).alias("worked"))
     rows = runs.join(per, "run_id", "left")
-    done, retried = F.col("status") == "completed", F.coalesce("retried", F.lit(0)) == 1
-    out = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(retried).alias("retry_runs"), F.count_if(retried & done).alias("retry_completed"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 4).alias("steps_per_run"))
-    return out.select("*", rate(F.col("completed"), F.col("total")).alias("completion_rate"), rate(F.col("retry_completed"), F.col("retry_runs")).alias("retry_success_rate"))
+    done, bad = F.col("status") == "completed", F.col("status") == "failed"
+    out = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("completed"), F.count_if(bad).alias("failed"), F.count_if(F.col("retried") == 1).alias("retry_runs"), F.count_if(F.col("worked") == 1).alias("retry_success_runs"), F.round(F.coalesce(F.avg("n"), F.lit(0.0)), 4).alias("steps_per_run"))
+    return out.select("*", rate(F.col("completed"), F.col("total")).alias("completion_rate"), rate(F.col("failed"), F.col("total")).alias("failure_rate"), rate(F.col("retry_success_runs"), F.col("retry_runs")).alias("retry_success_rate"))
 
 
 def agent_trend(runs: DataFrame, steps: DataFrame) -> DataFrame:
@@ -60,8 +61,9 @@ def agent_trend(runs: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def error_distribution(runs: DataFrame) -> DataFrame:
-    kind = F.split_part(F.coalesce("error", F.lit("")), F.lit(":"), F.lit(1))
-    return runs.where("status = 'failed'").groupBy(F.when(kind == "", "unknown").otherwise(kind).alias("error_type")).agg(F.count(F.lit(1)).alias("n"))
+    """(error_type, n) of all runs with an error text, whatever their status: what stands before the first colon, unknown if that is empty."""
+    kind = F.split_part("error", F.lit(":"), F.lit(1))
+    return runs.where("error is not null and error <> ''").groupBy(F.when(kind == "", "unknown").otherwise(kind).alias("error_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def status_counts(documents: DataFrame) -> DataFrame:
@@ -87,16 +89,24 @@ def latency_summary(attempts: DataFrame) -> DataFrame:
     return total.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(p95)).select("total", F.col("n").alias("succeeded"), "failed", "min_ms", "max_ms", "avg_ms", "p95_ms")
 
 
-def engine_health(attempts: DataFrame) -> DataFrame:
-    """(engine, calls, failures, avg_ok_ms, state): healthy below a tenth of failures, degraded below a half."""
-    per = attempts.groupBy("engine").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.round(F.avg(F.when(F.col("ok"), F.col("latency_ms"))), 4).alias("avg_ok_ms"))
-    part = F.col("failures") / F.col("calls")
-    return per.withColumn("state", F.when(part < 0.1, "healthy").when(part < 0.5, "degraded").otherwise("unhealthy"))
+def engine_stats(attempts: DataFrame) -> DataFrame:
+    """(engine, calls, failures, avg_ok_ms)."""
+    return attempts.groupBy("engine").agg(F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failures"), F.round(F.avg(F.when(F.col("ok"), F.col("latency_ms"))), 4).alias("avg_ok_ms"))
+
+
+def engine_state(initialized: Column, circuit: Column) -> Column:
+    return F.when(circuit == "open", "circuit_open").when(~initialized, "not_initialized").otherwise("ready")
+
+
+def engine_health(engines: DataFrame, keys: list[str]) -> DataFrame:
+    """engines (keys, engine, initialized, circuit) -> (keys, engines, available, status): healthy if all are available, degraded if some, unhealthy if none."""
+    per = engines.groupBy(*keys).agg(F.count(F.lit(1)).alias("engines"), F.count_if(engine_state(F.col("initialized"), F.col("circuit")) == "ready").alias("available"))
+    return per.withColumn("status", F.when(F.col("available") == 0, "unhealthy").when(F.col("available") < F.col("engines"), "degraded").otherwise("healthy"))
 
 
 def fastest_engine(attempts: DataFrame) -> DataFrame:
     """One row: the engine with the least average latency of good calls, by engine on ties."""
-    return engine_health(attempts).where("avg_ok_ms is not null").agg(F.min_by("engine", F.struct("avg_ok_ms", "engine")).alias("engine"), F.min("avg_ok_ms").alias("avg_ok_ms"))
+    return engine_stats(attempts).where("avg_ok_ms is not null").agg(F.min_by("engine", F.struct("avg_ok_ms", "engine")).alias("engine"), F.min("avg_ok_ms").alias("avg_ok_ms"))
 
 
 def first_success(attempts: DataFrame, order: str = "engine") -> DataFrame:
@@ -140,9 +150,9 @@ def document_page(documents: DataFrame, page: int = 1, size: int = 20, q: str |
 
 
 def visible_bases(bases: DataFrame, role: str, tenant, department) -> DataFrame:
-    """bases (kb_id, tenant_id, department_id): an admin sees the tenant's, others their department's and those of none."""
+    """bases (kb_id, tenant_id, department_id): a super-admin sees the tenant's, all others, admins too, their department's and those of none."""
     rows = bases.where(F.col("tenant_id") == F.lit(tenant))
-    if role == "admin":
+    if role == "super_admin":
         return rows
     free = F.col("department_id").isNull()
     return rows.where(free if department is None else free | (F.col("department_id") == F.lit(department)))

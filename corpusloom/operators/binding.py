@@ -13,7 +13,7 @@ def bind_images(chunks: DataFrame, uploads: DataFrame) -> DataFrame:
     """(document_id, segment_id, attachment_id): for each image a chunk names, the first upload of the tenant whose key holds its id.
 
     chunks: (chunk_id, document_id, tenant_id, content); uploads: (id, tenant_id, key). Ids are exploded first, and an upload's
-    key is taken apart at its signs, so that the match is an equi-join; ids with signs inside fall back to containment.
+    key is taken apart at its signs, so that the match is an equi-join; ids hold none of these signs.
     """
     named = chunks.select("document_id", F.col("chunk_id").alias("segment_id"), "tenant_id", F.explode(F.array_distinct(image_ids(F.col("content")))).alias("image"))
     parts = uploads.select("id", "tenant_id", F.explode(F.array_distinct(F.array_append(F.split("key", r"[/.]"), F.col("key")))).alias("image"))

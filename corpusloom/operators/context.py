@@ -52,14 +52,15 @@ def block_numbers(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
 
 
 def context_blocks(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
-    """(document_id, block_no, start_sequence, end_sequence, children, token_count, content, content_hash), overlaps between children removed."""
+    """(document_id, block_no, start_sequence, end_sequence, children, token_count, content, content_hash), overlaps between children removed; tokens are those of the joined text."""
     numbered = block_numbers(chunks, cfg).join(chunks.select("chunk_id", "content"), "chunk_id")
     before = F.lag("content").over(Window.partitionBy("document_id", "block_no").orderBy("sequence_no"))
     piece = F.when(before.isNull(), F.col("content")).otherwise(strip_overlap(before, F.col("content"), cfg.chunk_overlap))
     rows = numbered.withColumn("piece", piece)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("sequence_no", "piece"))), lambda x: x["piece"])
-    blocks = rows.groupBy("document_id", "block_no").agg(F.min("sequence_no").alias("start_sequence"), F.max("sequence_no").alias("end_sequence"), F.count(F.lit(1)).alias("children"), F.sum("tokens").alias("token_count"), F.array_join(ordered, "\n").alias("content"))
-    return blocks.withColumn("content_hash", F.sha2(F.concat(F.lit(f"{cfg.index_version}::"), "content"), 256))
+    blocks = rows.groupBy("document_id", "block_no").agg(F.min("sequence_no").alias("start_sequence"), F.max("sequence_no").alias("end_sequence"), F.count(F.lit(1)).alias("children"), F.array_join(ordered, "").alias("content"))
+    hashed = F.sha2(F.concat(F.lit(f"{cfg.context_version}::"), "content"), 256)
+    return blocks.select("document_id", "block_no", "start_sequence", "end_sequence", "children", token_estimate(F.col("content")).alias("token_count"), "content", hashed.alias("content_hash"))
 
 
 def block_diff(now: DataFrame, old: DataFrame) -> DataFrame:

@@ -29,13 +29,20 @@ def index_text(title: Column, section: Column, meta: Column, content: Column) ->
     return F.array_join(F.filter(parts, lambda p: p.isNotNull() & (p != "")), "\n")
 
 
+def text_to_index(chunks: DataFrame) -> Column:
+    """index_text of the columns that chunks have: title, section, content, and the white-listed metadata by their own names."""
+    have = lambda c: F.col(c).cast("string") if c in chunks.columns else F.lit(None).cast("string")
+    meta = F.create_map(*[x for k in META_KEYS if k in chunks.columns for x in (F.lit(k), have(k))]) if set(META_KEYS) & set(chunks.columns) else F.create_map().cast("map<string,string>")
+    return index_text(have("title"), have("section"), meta, F.col("content"))
+
+
 def index_hash(text: Column, cfg: Config = CONFIG) -> Column:
     return F.sha2(F.concat(F.lit(f"{cfg.index_version}::"), F.substring(text, 1, cfg.max_text)), 256)
 
 
 def term_index(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """(chunk_id, document_id, kb_id, term, tf): the first max_terms distinct terms of each chunk, in order of first occurrence."""
-    at = chunks.select("chunk_id", "document_id", "kb_id", F.posexplode(tokens(F.substring("content", 1, cfg.max_text))).alias("at", "term"))
+    at = chunks.select("chunk_id", "document_id", "kb_id", F.posexplode(tokens(F.substring(text_to_index(chunks), 1, cfg.max_text))).alias("at", "term"))
     terms = at.groupBy("chunk_id", "document_id", "kb_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first"))
     rank = F.row_number().over(Window.partitionBy("chunk_id").orderBy("first"))
     return terms.withColumn("rank", rank).where(F.col("rank") <= cfg.max_terms).select("chunk_id", "document_id", "kb_id", "term", "tf")
@@ -44,7 +51,8 @@ def term_index(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
 def lexical_documents(chunks: DataFrame, terms: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """(chunk_id, document_id, kb_id, token_count, content_hash): a row for every chunk, tokens counted after the cut."""
     counts = terms.groupBy("chunk_id").agg(F.sum("tf").alias("token_count"))
-    return chunks.join(counts, "chunk_id", "left").select("chunk_id", "document_id", "kb_id", F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"), index_hash(F.col("content"), cfg).alias("content_hash"))
+    rows = chunks.select("chunk_id", "document_id", "kb_id", index_hash(text_to_index(chunks), cfg).alias("content_hash"))
+    return rows.join(counts, "chunk_id", "left").select("chunk_id", "document_id", "kb_id", F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"), "content_hash")
 
 
 def corpus_stats(lexical: DataFrame) -> DataFrame:
@@ -95,7 +103,7 @@ def allowed_chunks(chunks: DataFrame, documents: DataFrame, filters: dict | None
 
 def index_diff(chunks: DataFrame, documents: DataFrame, existing: DataFrame, cfg: Config = CONFIG, force: bool = False) -> DataFrame:
     """(document_id, action): skipped_no_chunk, indexed (nothing there yet), updated (a chunk differs) or skipped."""
-    now = chunks.select("document_id", "chunk_id", index_hash(F.col("content"), cfg).alias("now_hash"))
+    now = chunks.select("document_id", "chunk_id", index_hash(text_to_index(chunks), cfg).alias("now_hash"))
     there = existing.select("chunk_id", F.col("content_hash").alias("old_hash"))
     per = now.join(there, "chunk_id", "left").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("old_hash").alias("old"), F.max((~F.col("now_hash").eqNullSafe(F.col("old_hash"))).cast("int")).alias("differs"))
     action = F.when(F.col("chunks").isNull(), "skipped_no_chunk").when(F.col("old") == 0, "indexed").when(F.lit(force) | (F.col("differs") == 1), "updated").otherwise("skipped")

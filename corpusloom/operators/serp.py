@@ -133,14 +133,17 @@ def page_class(html: Column) -> Column:
     return F.when(h.rlike("captcha|unusual traffic|smartcaptcha|verify you are human"), "captcha").when(h.rlike("access denied|403 forbidden|too many requests"), "blocked").when(h.rlike("did not match any documents|no results|ничего не найдено|没有找到"), "empty").otherwise("ok")
 
 
-def search_error(message: Column) -> Column:
-    """struct(status, code) of an error text; the first rule that fits."""
-    m = F.lower(F.coalesce(message, F.lit("")))
-    rules = [("captcha", 503, "captcha"), ("timeout|deadline exceeded|timed out", 504, "timeout"), ("circuit", 503, "circuit_open"), ("rate limit|too many", 429, "rate_limited"), ("invalid|bad request", 400, "bad_request"), ("not found|no results", 404, "not_found"), ("connection|proxy|refused|reset|eof|tls", 502, "upstream")]
-    status, code = F.lit(500), F.lit("internal")
-    for pattern, s, c in reversed(rules):
-        status, code = F.when(m.rlike(pattern), s).otherwise(status), F.when(m.rlike(pattern), c).otherwise(code)
-    return F.struct(status.alias("status"), code.alias("code"))
+#: Status and code of each kind of failure.
+SEARCH_ERRORS = {
+    "captcha": (429, "captcha_detected"), "blocked": (403, "blocked"), "rate_limited": (429, "rate_limited"), "search_timeout": (504, "search_timeout"), "proxy_auth": (503, "proxy_auth"), "proxy_connect": (503, "proxy_connect"), "proxy_timeout": (503, "proxy_timeout"),
+    "proxy_unavailable": (503, "proxy_unavailable"), "parser": (502, "parser_failure"), "engine_internal": (502, "engine_internal"), "all_engines_failed": (502, "all_engines_failed"), "circuit_open": (503, "circuit_open"), "deadline_exceeded": (504, "request_timeout"), "canceled": (503, "request_canceled"),
+}
+
+
+def search_error(kind: Column) -> Column:
+    """struct(status, code) of a kind of failure; any other kind is internal to the engine."""
+    known = F.create_map(*[x for k, (s, c) in SEARCH_ERRORS.items() for x in (F.lit(k), F.struct(F.lit(s).alias("status"), F.lit(c).alias("code")))])
+    return F.coalesce(F.element_at(known, F.coalesce(kind, F.lit(""))), F.struct(F.lit(502).alias("status"), F.lit("engine_internal").alias("code")))
 
 
 def escape_markdown(text: Column) -> Column:
@@ -166,5 +169,26 @@ def response_format(asked: Column, accept: Column) -> Column:
     return F.when(known.isin("json", "markdown", "text", "ndjson"), known).when(known == "md", "markdown").when(a.rlike("text/markdown"), "markdown").when(a.rlike("ndjson"), "ndjson").when(a.rlike("text/plain"), "text").otherwise("json")
 
 
-def pagination(total: Column, start: Column, limit: Column) -> Column:
-    return F.struct((F.floor(start / limit) + 1).alias("page"), F.pmod(start, limit).alias("offset"), (start + limit < total).alias("has_more"), F.when(start + limit < total, start + limit).alias("next_start"))
+def pagination(results: Column, start: Column, limit: Column) -> Column:
+    """struct(page, has_more, next_start) of so many results: there may be more if the page is full; a limit below 1 stands for 25."""
+    limit = F.when(limit > 0, limit).otherwise(25)
+    return F.struct((F.floor(start / limit) + 1).cast("bigint").alias("page"), (results >= limit).alias("has_more"), (start + limit).cast("bigint").alias("next_start"))
+
+
+def quoted(text: Column) -> Column:
+    """The text in double quotes, with those and backslashes inside escaped."""
+    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def render_markdown(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(query_id, body) of heads (query_id, text, engines array, took_ms, failed array) and rows (query_id, at, title, display_url, type, ad, snippet, url).
+
+    A heading, the engines that failed if any did, and the results in order; a query without results has its heading only.
+    """
+    kind = F.when(F.col("ad"), "ad").otherwise(F.col("type"))
+    snippet = F.when(F.coalesce("snippet", F.lit("")) != "", F.concat("snippet", F.lit("\n\n"))).otherwise("")
+    line = F.concat(F.lit("## "), F.col("at").cast("string"), F.lit(". "), escape_markdown(F.col("title")), F.lit("\n\n**"), F.col("display_url"), F.lit("** · "), kind, F.lit("\n\n"), snippet, F.lit("→ "), F.col("url"), F.lit("\n\n"))
+    body = rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "").alias("results"))
+    head = F.concat(F.lit("# Search results for "), quoted(F.col("text")), F.lit("\n\n**Query:** "), F.col("text"), F.lit(" · **Engines:** "), F.array_join("engines", ", "), F.lit(" · **Took:** "), F.col("took_ms").cast("string"), F.lit("ms\n\n"))
+    failed = F.when(F.size("failed") > 0, F.concat(F.lit("> ⚠️ Engines that failed: "), F.array_join("failed", ", "), F.lit("\n\n"))).otherwise("")
+    return heads.join(body, "query_id", "left").select("query_id", F.concat(head, failed, F.coalesce("results", F.lit(""))).alias("body"))

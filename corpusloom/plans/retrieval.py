@@ -138,7 +138,7 @@ def post_process(spark, d):
 
 
 def adjacent_context(spark, d):
-    hits = M.chunks(spark, d).where("chunk_id % 37 = 0").select(F.lit(1).alias("query_id"), "chunk_id", "document_id", "sequence_no")
+    hits = M.chunks(spark, d).select(F.lit(1).alias("query_id"), "chunk_id", "document_id", "sequence_no")
     return C.expand_hits(hits, M.chunks(spark, d)).select("hit_id", "before_ids", "after_ids", F.md5("context").alias("context_md5"))
 
 
@@ -150,7 +150,7 @@ def adjacent_context_all(spark, d):
 
 
 def interval_merge_groups(spark, d):
-    hits = M.chunks(spark, d).where("chunk_id % 5 = 0").select(F.col("kb_id").alias("query_id"), "chunk_id", "document_id", "sequence_no", F.col("chunk_id").alias("final_rank"))
+    hits = M.chunks(spark, d).select(F.col("kb_id").alias("query_id"), "chunk_id", "document_id", "sequence_no", F.col("chunk_id").alias("final_rank"))
     return C.context_groups(hits)
 
 
@@ -178,7 +178,7 @@ def context_block_diff(spark, d):
 
 def index_incremental_diff(spark, d):
     chunks = M.chunks(spark, d)
-    old = chunks.where("document_id % 3 <> 0").select("chunk_id", F.when(F.col("document_id") % 10 == 1, "old").otherwise(L.index_hash(F.col("content"))).alias("content_hash"))
+    old = chunks.where("document_id % 3 <> 0").select("chunk_id", F.when(F.col("document_id") % 10 == 1, "old").otherwise(L.index_hash(L.text_to_index(chunks))).alias("content_hash"))
     return L.index_diff(chunks, M.documents(spark, d), old)
 
 
@@ -198,10 +198,10 @@ def toks(column: str) -> str:
 
 
 INDEX = (
-    f"toks AS (SELECT chunk_id, document_id, kb_id, {toks('content')} AS ts FROM chunks), "
+    f"toks AS (SELECT chunk_id, document_id, kb_id, {toks('index_text')} AS ts FROM chunks), "
     "spots AS (SELECT chunk_id, document_id, kb_id, ts[i] AS term, i FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM toks)), "
     "terms AS (SELECT chunk_id, document_id, kb_id, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY f) AS r FROM (SELECT chunk_id, document_id, kb_id, term, count(*) AS tf, min(i) AS f FROM spots GROUP BY ALL)) WHERE r <= 2000), "
-    "lexical AS (SELECT c.chunk_id, c.document_id, c.kb_id, CAST(coalesce(n, 0) AS BIGINT) AS token_count, sha256('v1::' || content) AS content_hash FROM chunks c LEFT JOIN (SELECT chunk_id, sum(tf) AS n FROM terms GROUP BY 1) USING (chunk_id)), "
+    "lexical AS (SELECT c.chunk_id, c.document_id, c.kb_id, CAST(coalesce(n, 0) AS BIGINT) AS token_count, sha256('v1::' || index_text) AS content_hash FROM chunks c LEFT JOIN (SELECT chunk_id, sum(tf) AS n FROM terms GROUP BY 1) USING (chunk_id)), "
     "stats AS (SELECT kb_id, count(*) AS n, coalesce(avg(nullif(token_count, 0)), 0) AS avgdl FROM lexical GROUP BY 1)"
 )
 
@@ -246,9 +246,21 @@ def sql(body: str, *views: str) -> str:
 VIEW = ("kb_documents", "chunks", "asked")
 VQ = f"WITH {UNIT}, q AS (SELECT id AS query_id, vector FROM v WHERE id % 100 = 0)"
 RANKED = "SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS vector_rank FROM (SELECT query_id, v.id, round(list_cosine_similarity(q.vector, v.vector), 6) AS similarity FROM q, v)"
-BLOCKS_OLD = ""
+#: Blocks by a fold over each document, a chunk of each in every step.
+BLOCKS = (
+    r"RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY sequence_no, chunk_id) AS rn, greatest(1, length(content) // 3) AS t, regexp_matches(split_part(trim(content, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1), '^#{1,2} ') AS head FROM chunks), "
+    "f AS (SELECT document_id, chunk_id, rn, 0 AS block_no, 0 AS block, 1 AS children, t AS tokens FROM c WHERE rn = 1 UNION ALL "
+    "SELECT document_id, chunk_id, rn, b, b + CAST(full_ AS INT), CASE WHEN full_ THEN 0 ELSE n END, CASE WHEN full_ THEN 0 ELSE s END FROM (SELECT *, s >= 1400 AND n >= 4 AS full_ FROM ("
+    "SELECT document_id, chunk_id, rn, block + CAST(shut AS INT) AS b, CASE WHEN shut THEN 1 ELSE children + 1 END AS n, CASE WHEN shut THEN t ELSE tokens + t END AS s FROM ("
+    "SELECT c.document_id, c.chunk_id, c.rn, c.t, f.block, f.children, f.tokens, (children >= 4 AND head) OR children >= 8 OR (children >= 4 AND tokens + c.t > 1800) AS shut FROM f JOIN c ON c.document_id = f.document_id AND c.rn = f.rn + 1)))), "
+    "p AS (SELECT c.*, block_no, lag(content) OVER (PARTITION BY c.document_id, block_no ORDER BY sequence_no) AS before FROM f JOIN c USING (document_id, chunk_id)), "
+    "q AS (SELECT *, CASE WHEN before IS NULL THEN content ELSE substring(content, coalesce(list_max(list_filter(range(1, least(length(before), length(content), 300) + 1), lambda i: right(before, CAST(i AS INT)) = left(content, CAST(i AS INT)))), 0) + 1) END AS piece FROM p), "
+    "blocks AS (SELECT document_id, block_no, min(sequence_no) AS start_sequence, max(sequence_no) AS end_sequence, count(*) AS children, string_agg(piece, '' ORDER BY sequence_no) AS content FROM q GROUP BY 1, 2)"
+)
 
 ORACLE_SQL = {
+    "context_blocks": M.with_views("WITH " + BLOCKS.removeprefix("RECURSIVE ") + " SELECT document_id, block_no, start_sequence, end_sequence, children, CAST(greatest(1, length(content) // 3) AS BIGINT) AS token_count, sha256('v1::' || content) AS content_hash FROM blocks", "chunks").replace("WITH ", "WITH RECURSIVE ", 1),
+    "context_block_diff": M.with_views("WITH " + BLOCKS.removeprefix("RECURSIVE ") + " SELECT DISTINCT document_id, CASE WHEN document_id % 2 = 1 THEN 'created' WHEN document_id % 7 = 5 THEN 'updated' ELSE 'skipped' END AS action FROM blocks", "chunks").replace("WITH ", "WITH RECURSIVE ", 1),
     "lexical_index_docs": sql(INDEX + " SELECT * FROM lexical", *VIEW),
     "lexical_index_terms": sql(INDEX + " SELECT kb_id, term, CAST(sum(tf) AS BIGINT) AS tf, count(DISTINCT chunk_id) AS df FROM terms GROUP BY 1, 2", *VIEW),
     "kb_corpus_stats": sql(INDEX + " SELECT kb_id, n, round(avgdl, 6) AS avgdl FROM stats", *VIEW),
@@ -269,7 +281,7 @@ ORACLE_SQL = {
     "hybrid_search": sql(f"{HYBRID}, {OVERLAP}, " + post_sql("SELECT query_id, chunk_id, document_id, content, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rank FROM ov WHERE rerank_score >= 0.02", 5), *VIEW),
     "post_process": sql(post_sql("SELECT kb_id AS query_id, chunk_id, document_id % 500 AS document_id, content, row_number() OVER (PARTITION BY kb_id ORDER BY length(content) DESC, chunk_id) AS rank FROM chunks", 100), "chunks"),
     "adjacent_context": sql(
-        "h AS (SELECT * FROM chunks WHERE chunk_id % 37 = 0), x AS (SELECT h.chunk_id AS hit_id, h.sequence_no AS at0, c.* FROM h JOIN chunks c ON c.document_id = h.document_id AND c.sequence_no BETWEEN h.sequence_no - 1 AND h.sequence_no + 1) "
+        "h AS (SELECT * FROM chunks), x AS (SELECT h.chunk_id AS hit_id, h.sequence_no AS at0, c.* FROM h JOIN chunks c ON c.document_id = h.document_id AND c.sequence_no BETWEEN h.sequence_no - 1 AND h.sequence_no + 1) "
         "SELECT hit_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no < at0), '') AS before_ids, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no > at0), '') AS after_ids, md5(string_agg(content, chr(10) ORDER BY sequence_no)) AS context_md5 FROM x GROUP BY 1",
         "chunks",
     ),
@@ -287,7 +299,7 @@ ORACLE_SQL = {
         *VIEW,
     ),
     "interval_merge_groups": sql(
-        "h AS (SELECT kb_id AS query_id, document_id, sequence_no - 1 AS lo, sequence_no + 1 AS hi, chunk_id AS r FROM chunks WHERE chunk_id % 5 = 0), "
+        "h AS (SELECT kb_id AS query_id, document_id, sequence_no - 1 AS lo, sequence_no + 1 AS hi, chunk_id AS r FROM chunks), "
         "m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY query_id, document_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM h), "
         "i AS (SELECT *, sum(fresh) OVER (PARTITION BY query_id, document_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS island FROM m), "
         "g AS (SELECT query_id, document_id, min(lo) AS lo, max(hi) AS hi, count(*) AS hits, min(r) AS best_rank FROM i GROUP BY query_id, document_id, island) "
@@ -296,8 +308,8 @@ ORACLE_SQL = {
     ),
     "context_budget": sql("r AS (SELECT kb_id, chunk_id, length(content) AS chars, coalesce(sum(length(content)) OVER (PARTITION BY kb_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM chunks) SELECT kb_id, chunk_id, chars, CAST(greatest(0, least(chars, 24000 - b)) AS BIGINT) AS taken, greatest(0, least(chars, 24000 - b)) < chars AS truncated FROM r", "chunks"),
     "index_incremental_diff": sql(
-        "o AS (SELECT chunk_id, CASE WHEN document_id % 10 = 1 THEN 'old' ELSE sha256('v1::' || content) END AS h FROM chunks WHERE document_id % 3 <> 0), "
-        "p AS (SELECT document_id, count(*) AS n, count(h) AS olds, max(CAST(sha256('v1::' || content) IS DISTINCT FROM h AS INT)) AS differs FROM chunks LEFT JOIN o USING (chunk_id) GROUP BY 1) "
+        "o AS (SELECT chunk_id, CASE WHEN document_id % 10 = 1 THEN 'old' ELSE sha256('v1::' || index_text) END AS h FROM chunks WHERE document_id % 3 <> 0), "
+        "p AS (SELECT document_id, count(*) AS n, count(h) AS olds, max(CAST(sha256('v1::' || index_text) IS DISTINCT FROM h AS INT)) AS differs FROM chunks LEFT JOIN o USING (chunk_id) GROUP BY 1) "
         "SELECT document_id, CASE WHEN n IS NULL THEN 'skipped_no_chunk' WHEN olds = 0 THEN 'indexed' WHEN differs = 1 THEN 'updated' ELSE 'skipped' END AS action FROM kb_documents LEFT JOIN p USING (document_id)",
         "kb_documents",
         "chunks",

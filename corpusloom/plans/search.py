@@ -38,7 +38,18 @@ def serp_first_url(spark, d):
     return P.first_of_url(M.serp(spark, d), ["rank", "engine"]).select("query_id", "engine", "rank", "url")
 
 
+def placed(spark, d):
+    return P.enrich(P.dedup(M.serp(spark, d)).drop("at", "normalized")).join(P.dedup(M.serp(spark, d)).select("query_id", "engine", "url", "at"), ["query_id", "engine", "url"])
+
+
 def serp_markdown(spark, d):
+    rows = placed(spark, d).withColumn("snippet", F.when(F.col("at") % 2 == 0, F.concat(F.lit("found by "), "engine")))
+    heads = M.serp(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("engine")).alias("engines")).withColumn("text", F.concat(F.lit('say "'), F.col("query_id").cast("string"), F.lit('"')))
+    heads = heads.withColumn("took_ms", F.col("query_id") * 7).withColumn("failed", F.when(F.col("query_id") % 2 == 0, F.array(F.lit("bing"), F.lit("baidu"))).otherwise(F.array().cast("array<string>")))
+    return P.render_markdown(rows, heads).select("query_id", F.md5("body").alias("body_md5"))
+
+
+def serp_text(spark, d):
     rows = P.enrich(P.dedup(M.serp(spark, d)).drop("at", "normalized")).join(P.dedup(M.serp(spark, d)).select("query_id", "engine", "url", "at"), ["query_id", "engine", "url"])
     return P.render(rows, "text").select("query_id", F.md5("body").alias("body_md5"))
 
@@ -55,8 +66,8 @@ def domain_details(spark, d):
 
 
 def search_urls(spark, d):
-    """The address of each engine's result page for every benchmark item's first words."""
-    q = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    """The address of each engine's result page for every benchmark item."""
+    q = F.col("text")
     item = M.table(spark, d, "benchmark")
     cols = [U.search_url(e, q, F.lit("e.org"), F.lit("pdf"), F.lit("de"), F.lit(10), F.lit(20), F.lit("20240101..20240107")).alias(e) for e in P.ENGINES]
     return item.select("item_id", *cols)
@@ -70,7 +81,7 @@ def html_results(spark, d):
     return page_results(M.table(spark, d, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, serp_enrich, serp_dedup, serp_clusters, serp_merge_policy, serp_first_url, serp_markdown, content_type_classify, domain_details, search_urls, page_classes, html_results)}
+QUERIES = {f.__name__: f for f in (url_normalize, serp_enrich, serp_dedup, serp_clusters, serp_merge_policy, serp_first_url, serp_markdown, serp_text, content_type_classify, domain_details, search_urls, page_classes, html_results)}
 
 V = M.with_views
 HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')"
@@ -89,7 +100,17 @@ def norm(url: str, more: str = "[]") -> str:
 
 
 HINTS = "CASE " + " ".join(f"WHEN h = '{k}' THEN '{v}'" for k, v in P.SOURCE_HINTS.items()) + " ELSE '' END"
+#: Domain and parts of the path, cut to 60 letters.
+CRUMB = f"(SELECT CASE WHEN length(c) > 60 THEN substring(c, 1, 59) || '…' ELSE c END FROM (SELECT array_to_string([{HOST.format('url')}] || list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> ''), ' › ') AS c))"
+FIRST = f"SELECT query_id, engine, rank, url, title, ad, row_number() OVER (PARTITION BY query_id ORDER BY rank, engine, url) AS nr FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {norm('url')} ORDER BY CAST(rank <= 0 AS INT), rank, engine, url) AS n FROM serp) WHERE n = 1"
 ORACLE_SQL = {
+    "serp_markdown": V(
+        f"WITH f AS ({FIRST}), r AS (SELECT query_id, string_agg('## ' || nr || '. ' || title || chr(10) || chr(10) || '**' || {CRUMB} || '** · ' || CASE WHEN ad THEN 'ad' ELSE 'organic' END || chr(10) || chr(10) || CASE WHEN nr % 2 = 0 THEN 'found by ' || engine || chr(10) || chr(10) ELSE '' END || '→ ' || url || chr(10) || chr(10), '' ORDER BY nr) AS results FROM f GROUP BY 1), "
+        "h AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT engine)), ', ') AS engines FROM serp GROUP BY 1) "
+        "SELECT query_id, md5('# Search results for \"say \\\"' || query_id || '\\\"\"' || chr(10) || chr(10) || '**Query:** say \"' || query_id || '\" · **Engines:** ' || engines || ' · **Took:** ' || query_id * 7 || 'ms' || chr(10) || chr(10) || CASE WHEN query_id % 2 = 0 THEN '> ⚠️ Engines that failed: bing, baidu' || chr(10) || chr(10) ELSE '' END || results) AS body_md5 FROM h JOIN r USING (query_id)",
+        "serp",
+    ),
+    "serp_text": V(f"WITH f AS ({FIRST}) SELECT query_id, md5(string_agg('[' || nr || '] ' || title || ' (' || {HOST.format('url')} || ')' || chr(10) || 'URL: ' || url || chr(10), chr(10) ORDER BY nr)) AS body_md5 FROM f GROUP BY 1", "serp"),
     "url_normalize": f"SELECT page_id, regexp_replace({norm("regexp_replace(url, '#.*$', '')", "['b=2', 'a=1']")}, '^http:', CASE WHEN page_id % 2 = 0 THEN 'https:' ELSE 'http:' END) AS normalized, {HOST.format('url')} AS domain FROM pages",
     "serp_enrich": V(f"WITH s AS (SELECT *, {norm('url')} AS norm, {HOST.format('url')} AS h FROM serp) SELECT query_id, engine, rank, 's_' || substring(md5(engine || '|' || norm), 1, 16) AS result_id, h AS domain, CASE WHEN ad THEN 'ad' ELSE 'organic' END AS type, CAST(2 AS BIGINT) AS page, CASE WHEN rank > 10 THEN rank ELSE rank + 10 END AS absolute, CASE WHEN rank > 10 THEN rank - 10 ELSE rank END AS on_page, {KIND.format('lower(url)')} AS content_type, {HINTS} AS source_hint FROM s", "serp"),
     "serp_dedup": V(f"SELECT query_id, engine, rank, url, row_number() OVER (PARTITION BY query_id ORDER BY rank, engine, url) AS at FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {norm('url')} ORDER BY CAST(rank <= 0 AS INT), rank, engine, url) AS n FROM serp) WHERE n = 1", "serp"),

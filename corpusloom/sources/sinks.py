@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def replace_documents(rows: DataFrame, path: str, partition: str = "kb_id") -> None:
-    """Overwrites only the partitions that rows hold (dynamic partition overwrite), so a repeated run leaves the same table."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+def replace_documents(rows: DataFrame, path: str, partition: str = "kb_id", key: str = "document_id", buckets: int = 64) -> None:
+    """Replaces the documents that rows hold and leaves all others; a repeated run leaves the same table.
+
+    The table is partitioned by base and by bucket of the document. Only partitions that get rows are read, without the documents
+    that are replaced, and overwritten with what is left and the new rows, so a call costs the touched buckets, not a base. A
+    document that has moved to another base is also taken out of the partitions it left, if they are among the touched ones.
+    """
+    spark = rows.sparkSession
+    new = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    try:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        touched = new.select(partition, "bucket").distinct()
+        rest = old.join(F.broadcast(touched), [partition, "bucket"], "left_semi").join(new.select(key).distinct(), key, "left_anti")
+        new = new.unionByName(rest)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition, "bucket").parquet(path)

@@ -28,11 +28,12 @@ def drained(stream: DataFrame, mode: str, keep: str = "all") -> DataFrame:
     at = _shared(spark)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if keep == "last" else "append").parquet(f"{at}/out")
+        # a folder for each batch, so one that is repeated after a failure replaces itself
+        batch.write.mode("overwrite").parquet(f"{at}/out" if keep == "last" else f"{at}/out/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{at}/out")
 
 
 def daily_counters(events: DataFrame, late: str = "1 day") -> DataFrame:

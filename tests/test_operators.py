@@ -185,4 +185,4 @@ def test_breaker_opens_and_recovers():
 
 def test_miss_mode(spark):
     rows = spark.createDataFrame([(1, i, h) for i, h in enumerate([False, False, True, False, False, False, False])], "conversation_id int, at int, hit boolean")
-    assert [r["mode"] for r in rules.miss_mode(rows).orderBy("at").collect()] == ["ask_pending", "ask_pending", "off", "ask_pending", "ask_pending", "on", "on"]
+    assert [r["mode"] for r in rules.miss_mode(rows).orderBy("at").collect()] == ["ask_pending", "ask_pending", "ask_pending", "ask_pending", "ask_pending", "on", "on"]
