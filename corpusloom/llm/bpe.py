@@ -15,7 +15,9 @@ import re
 import unicodedata
 import uuid
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, small_batches
+from corpusloom.llm.common import kept, slices, small_batches
 
 #: Code points that newer Unicode versions made letters or numbers, and that the library still takes for symbols.
 NEWER_LETTERS = [(0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F)]
 #: Lower case of capital letters newer than this Python's tables: (first, last, first of the lower case).
 NEWER_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
-#: Most words that a worker remembers.
-REMEMBERED = 800_000
+#: Most words, and most pieces of words, that a worker remembers.
+REMEMBERED = 600_000
 #: A word longer than this is encoded anew each time.
 LONGEST_REMEMBERED = 128
 
@@ -59,7 +61,6 @@ def load_vocabulary(path: str) -> dict:
     return {"vocab": model["vocab"], "merges": merges, "suffix": model.get("end_of_word_suffix") or "", "pattern": pattern, "special": special}
 
 
-_ENCODERS: dict = {}
 #: Links of short words, copied for each.
 BEFORE, AFTER = list(range(-1, 63)), list(range(1, 65))
 
@@ -69,22 +70,9 @@ def packed(ids: list[int]) -> bytes:
     return array("H", ids).tobytes()
 
 
-class Words(dict):
-    """Word to what make() has for it."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, raw: bytes) -> tuple[bytes, str]:
-        found = self.make(raw)
-        if len(raw) <= LONGEST_REMEMBERED:
-            self[raw] = found
-        return found
-
-
 class Encoder:
-    def __init__(self, spec: dict):
+    def __init__(self, spec: dict, remembered: int = REMEMBERED):
+        self.remembered = remembered
         vocab = spec["vocab"]
         self.suffix, self.special = spec["suffix"], spec["special"]
         letters = byte_letters()
@@ -100,7 +88,8 @@ class Encoder:
         # the same pattern for ASCII, where the classes are plain
         self.ascii_pieces = re.compile(spec["pattern"].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), re.ASCII)
         self.known_pieces: dict[str, tuple[list[int], str]] = {}
-        self.words = Words(self.word)
+        self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.again: set[bytes] = set()
 
     def merged(self, ids: list[int]) -> list[int]:
         """Lowest rank first, leftmost first among equals. A queue entry is rank, merged id and place in one integer."""
@@ -133,16 +122,20 @@ class Encoder:
                 heapq.heappush(queue, m << shift | k)
         return [x for x in ids if x >= 0]
 
+    def made(self, piece: str) -> tuple[bytes, str]:
+        raw = piece.encode("utf-8", "surrogatepass")
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        ids = self.merged([i for i in ids if i is not None])
+        return packed(ids), " ".join([self.string[i] for i in ids])
+
     def piece(self, piece: str) -> tuple[bytes, str]:
+        """made(), remembered: pieces of words with signs are mostly signs and words."""
         found = self.known_pieces.get(piece)
         if found is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            ids = [self.inner[b] for b in raw]
-            ids[-1] = self.last[raw[-1]]
-            ids = self.merged([i for i in ids if i is not None])
-            found = packed(ids), " ".join([self.string[i] for i in ids])
-            if len(raw) <= LONGEST_REMEMBERED:
-                if len(self.known_pieces) >= REMEMBERED:
+            found = self.made(piece)
+            if len(piece) <= LONGEST_REMEMBERED:
+                if len(self.known_pieces) >= self.remembered:
                     self.known_pieces.clear()
                 self.known_pieces[piece] = found
         return found
@@ -151,7 +144,7 @@ class Encoder:
         """Packed ids of a word, and their strings joined by a space."""
         text = raw.decode("utf-8", "surrogatepass")
         if text.isascii() and text.isalpha():
-            return self.piece(text.lower())
+            return self.made(text.lower())
         ids = b""
         strings: list[str] = []
         for part in self.marks.split(text) if self.marks and "<" in text else [text]:
@@ -173,26 +166,47 @@ class Encoder:
                     strings.append(string)
         return ids, " ".join(strings)
 
-    def packed(self, text: str | None) -> tuple[bytes, str]:
-        """Packed ids of a text, and what they decode to."""
-        if len(self.words) >= REMEMBERED:
-            self.words.clear()
-        found = [self.words[raw] for raw in (text.encode("utf-8", "surrogatepass").split() if text else ())]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+    def packed(self, texts: list) -> list[tuple[bytes, str]]:
+        """Packed ids of each text, and what they decode to; words are remembered."""
+        lists = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        if len(self.words) >= self.remembered:
+            self.forget()
+        known, here = self.words.get, {}
+        for raw, n in Counter(chain.from_iterable(lists)).items():
+            found = known(raw)
+            if found is None:
+                found = self.word(raw)
+                if len(raw) <= LONGEST_REMEMBERED:
+                    self.words[raw] = found
+                    if n > 1:
+                        self.again.add(raw)
+            else:
+                self.again.add(raw)
+            here[raw] = found
+        out = []
+        for words in lists:
+            found = [here[raw] for raw in words]
+            out.append((b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])))
+        return out
+
+    def forget(self) -> None:
+        """Drops the words met only once, which are most, and those not met since the last time: an idle worker holds little."""
+        self.words, self.again = {raw: self.words[raw] for raw in self.again}, set()
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
-        ids, decoded = self.packed(text)
+        ids, decoded = self.packed([text])[0]
         return np.frombuffer(ids, np.uint16).tolist(), decoded
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.string[i] for i in ids)
 
 
-def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row per row of df: (doc_id, token_ids array<int>, decoded string).
 
     A null or empty text has no tokens and decodes to the empty string; ids may be null or repeat, other columns are not read.
-    Map only: no shuffle, one text at a time in a Python worker.
+    remembered bounds the words that a Python worker keeps from task to task: fewer take less memory and more time. An empty table
+    gives an empty result. Map only: no shuffle, one text at a time in a Python worker.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -201,16 +215,13 @@ def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(number)
-        if encoder is None:  # kept for the next tasks of this worker, with the words it knows
-            _ENCODERS.clear()
-            encoder = _ENCODERS[number] = Encoder(shared.value)
+        encoder = kept(number, lambda: Encoder(shared.value, remembered))  # with the words it knows
         gc.disable()  # the tables of known words hold no cycles, and scanning them time and again costs a seventh of the run
         try:
             for batch in batches:
                 texts = batch.column(1).to_pylist()
                 for a, b in slices(texts, 1_000_000):
-                    done = [encoder.packed(t) for t in texts[a:b]]
+                    done = encoder.packed(texts[a:b])
                     ends = np.cumsum([0, *(len(d[0]) // 2 for d in done)]).astype(np.int32)
                     ids = np.frombuffer(b"".join([d[0] for d in done]), np.uint16).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
@@ -218,6 +229,7 @@ def bpe_encode_decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id
                         names=["doc_id", "token_ids", "decoded"],
                     )
         finally:
+            encoder.forget()
             gc.enable()
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {id_type}, token_ids array<int>, decoded string")

@@ -65,6 +65,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+_KEPT: dict = {}
+
+
+def kept(number: str, make):
+    """What make() gives, kept in this Python worker for its next tasks; a worker keeps one such thing, whichever operator it is of."""
+    found = _KEPT.get(number)
+    if found is None:
+        _KEPT.clear()
+        found = _KEPT[number] = make()
+    return found
+
+
 def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about limit characters each; one longer text stands alone."""
     start = total = 0

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, small_batches, written
+from corpusloom.llm.common import kept, slices, small_batches, written
 
 HEAD_WORDS = 1900
 CLASSES = 128
@@ -236,9 +236,6 @@ class Scorer:
         return out / np.log(10)
 
 
-_SCORERS: dict = {}
-
-
 def held_out(id_col: Column, mod: int, rest: int) -> Column:
     """crc32 of the id as text, modulo mod, is rest; a null id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod == rest
@@ -290,10 +287,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, head, hashes, logs, class_log, ends = shared.value
-        scorer = _SCORERS.get(number)
-        if scorer is None:  # kept for the next tasks of this worker
-            _SCORERS.clear()
-            scorer = _SCORERS[number] = Scorer(vectors)
+        scorer = kept(number, lambda: Scorer(vectors))
         end_log = float(np.log10(ends + 1))
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:

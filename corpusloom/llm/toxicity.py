@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices, small_batches
+from corpusloom.llm.common import kept, slices, small_batches
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 8, 8
@@ -335,9 +335,6 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return net
 
 
-_NETS: dict = {}
-
-
 def toxicity_scores(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: (doc_id, score 0 to 1), and the columns named in keep as they are.
 
@@ -350,10 +347,7 @@ def toxicity_scores(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: s
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = _NETS.get(number)
-        if net is None:
-            _NETS.clear()
-            net = _NETS[number] = Net(*shared.value)
+        net = kept(number, lambda: Net(*shared.value))
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, 3_000_000):
