@@ -34,6 +34,8 @@ LEAST_TEXTS = 4
 ROUNDS, STEPS, BATCH = 6, 64, 128
 #: Steps of the network's weights and of word and character vectors; power of the label's probability that weighs an error, against wrong labels.
 RATE, VECTOR_RATE, TRUST = 0.005, 0.0003, 0.4
+#: Words whose character runs are cut and gathered at once.
+BLOCK = 1 << 13
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -46,7 +48,12 @@ def core(word: bytes) -> bytes:
 
 
 def runs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character runs (bytes, with marks for both ends) of all words, and the number of runs of each."""
+    """Buckets of the character runs (bytes, with marks for both ends) of all words, and the number of runs of each. Block by block, for memory."""
+    parts = [runs_of_block(words[a : a + BLOCK]) for a in range(0, len(words), BLOCK)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def runs_of_block(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"".join([b"^" + w + b"$" for w in words]), np.uint8).astype(np.uint64) + np.uint64(1)
     size = np.array([len(w) + 2 for w in words], np.int64)
     word = np.repeat(np.arange(len(words)), size)
@@ -103,10 +110,14 @@ class Net:
     def vectors(self, ids: np.ndarray, runs: np.ndarray, n: np.ndarray) -> np.ndarray:
         x = np.zeros((len(ids), WORD_DIM + CHAR_DIM), np.float32)
         x[:, :WORD_DIM] = self.p["word"][ids]
-        has = n > 0
-        if has.any():
-            starts = (np.cumsum(n) - n)[has]
-            x[has, WORD_DIM:] = np.add.reduceat(self.p["char"][runs], starts, axis=0) / np.sqrt(n[has])[:, None]
+        ends = np.cumsum(n)
+        for a in range(0, len(n), BLOCK):
+            own = n[a : a + BLOCK]
+            has = np.flatnonzero(own)
+            if len(has):
+                first, stop = ends[a] - own[0], ends[a + len(own) - 1]
+                starts = (ends[a : a + len(own)] - own)[has] - first
+                x[a + has, WORD_DIM:] = np.add.reduceat(self.p["char"][runs[first:stop]], starts, axis=0) / np.sqrt(own[has])[:, None]
         return x
 
     def forward(self, table: np.ndarray, at: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict]:
@@ -183,26 +194,28 @@ def laid_out(n: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Windows of texts of n words each whose table rows follow each other: (steps x windows) table rows, and the text of each window."""
     text = np.concatenate([np.full(len(s), i) for i, s in enumerate(map(window_starts, n.tolist()))])
     inside = np.concatenate([window_starts(x) for x in n.tolist()])
-    first = (np.cumsum(n) - n)[text] + inside
-    at = first[None, :] + np.arange(WINDOW)[:, None]
-    real = np.arange(WINDOW)[:, None] < (n[text] - inside)[None, :]
-    return np.where(real, rows[np.minimum(at, max(len(rows) - 1, 0))] if len(rows) else -1, -1).astype(np.int32), text
+    first, left = (np.cumsum(n) - n)[text] + inside, n[text] - inside
+    at = np.full((WINDOW, len(text)), -1, np.int32)
+    for step in range(WINDOW):
+        real = left > step
+        at[step, real] = rows[first[real] + step]
+    return at, text
 
 
 def numbered(texts: list) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words per text, all words as numbers, and the core of each number."""
     seen: dict[bytes, int] = {}
-    lists = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    ids = np.array([seen.setdefault(w, len(seen)) for words in lists for w in words], np.int64)
+    # text by text: the words of all of them are never held at once
+    parts = [np.array([seen.setdefault(w, len(seen)) for w in t.encode("utf-8", "surrogatepass").split()] if t else [], np.int64) for t in texts]
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     cores: dict[bytes, int] = {}
     to = np.array([cores.setdefault(core(w), len(cores)) for w in seen], np.int64)
-    return np.array([len(x) for x in lists], np.int64), to[ids] if len(ids) else ids, list(cores)
+    return np.array([len(x) for x in parts], np.int64), to[ids] if len(ids) else ids, list(cores)
 
 
-def odds(rows: np.ndarray, toxic: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """rows: (text, item) pairs, distinct. Shrunken log odds of items, and their number of texts."""
-    a = np.bincount(rows[toxic[rows[:, 0]] == 1, 1], minlength=many)
-    b = np.bincount(rows[toxic[rows[:, 0]] == 0, 1], minlength=many)
+def odds(texts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """texts: number of clean and of toxic texts with each item. Shrunken log odds of items, and their number of texts."""
+    b, a = texts
     na, nb = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     value = np.log((a + 0.1) / (na + 0.2)) - np.log((b + 0.1) / (nb + 0.2))
     return np.clip(value * (a + b) / (a + b + 6), -3, 3).astype(np.float32), a + b
@@ -212,25 +225,30 @@ def fit(texts: list[str], toxic: np.ndarray) -> Net:
     """A network fitted to labelled texts; without both labels it only knows how frequent the label is."""
     n, ids, cores = numbered(texts)
     runs, run_n = runs_of(cores) if cores else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-    text = np.repeat(np.arange(len(n)), n)
-    pairs = np.unique(text * max(1, len(cores)) + ids)
-    pairs = np.stack([pairs // max(1, len(cores)), pairs % max(1, len(cores))], axis=1)
-    value, many = odds(pairs, toxic, len(cores))
+    # texts with each word and each character run, by label
+    with_word, with_run = np.zeros((2, len(cores)), np.int64), np.zeros((2, BUCKETS), np.int64)
+    ends, stops = np.cumsum(run_n), np.cumsum(n)
+    for label, a, b in zip(toxic.tolist(), (stops - n).tolist(), stops.tolist(), strict=True):
+        if b > a:
+            own = np.unique(ids[a:b])
+            with_word[label, own] += 1
+            with_run[label, np.unique(np.concatenate([runs[ends[c] - run_n[c] : ends[c]] for c in own]))] += 1
+    value, many = odds(with_word, toxic)
     known = np.flatnonzero(many >= LEAST_TEXTS)
     words = {cores[i]: j for j, i in enumerate(known.tolist())}
-    # character runs of each text, through its distinct words
-    ends = np.cumsum(run_n)
-    run_pairs = np.unique(np.concatenate([np.zeros(0, np.int64)] + [np.unique(t * BUCKETS + np.concatenate([runs[ends[c] - run_n[c] : ends[c]] for c in pairs[pairs[:, 0] == t, 1]]).astype(np.int64)) for t in np.unique(pairs[:, 0])]))
-    run_value, _ = odds(np.stack([run_pairs // BUCKETS, run_pairs % BUCKETS], axis=1), toxic, BUCKETS)
+    run_value, _ = odds(with_run, toxic)
     net = Net.start(words, value[known], run_value * 0.5)
     net.p["bo"][0] = np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 2.0))
     if not len(cores) or not 0 < toxic.sum() < len(toxic):
         net.p["wo"][:] = 0
         return net
-    word_ids, runs, run_n, x = net.inputs(cores)
+    word_ids = np.array([net.words.get(w, len(net.words)) for w in cores], np.int64)
+    x = net.vectors(word_ids, runs, run_n)
     at, owner = laid_out(n, ids)
     first = np.concatenate([x[:, 0] + x[:, WORD_DIM], [-9.0]])
-    score = first[at].max(axis=0)  # before anything is learnt: the most telling word
+    score = np.full(at.shape[1], -np.inf)
+    for step_rows in at:
+        np.maximum(score, first[step_rows], out=score)  # before anything is learnt: the most telling word
     rng, moments, step = np.random.default_rng(5), {}, 0
 
     def adam(name: str, grad: np.ndarray, rate: float, rows: np.ndarray | None = None) -> None:
