@@ -104,10 +104,44 @@ def consent(text: Column) -> Column:
     return ~has_any(t, NO) & has_any(t, YES)
 
 
+#: Key words of kinds of content, in order, and of leave to search outside.
+CONTENT_TYPES = (
+    ("person_experience_summary", ("工作经历", "简历", "履历", "任职经历", "职业经历", "人物经历", "工作背景")), ("training_plan", ("培训方案", "培训计划", "培训大纲", "培训课程")), ("analysis_report", ("调研", "分析报告", "方案", "总结")),
+)
+OUTSIDE = ("允许联网", "联网搜索", "外部搜索", "公开信息", "网上搜索")
+#: Tool, goal and end of routes that make a file; goals of the others.
+ARTIFACTS = {"pdf_generation": ("pdf_export", "artifact_pdf", "pdf_task_created"), "ppt_generation": ("ppt_generation", "artifact_ppt", "ppt_task_created")}
+GOALS = {"document_summary": "structured_summary", "content_generation": "structured_generation"}
+INTENTS = ("knowledge_query", "solution_query", "casual_chat")
+
+
 def task_profile(route_name: Column, query: Column) -> Column:
-    """struct(artifact, needs_evidence) of a route."""
-    artifact = F.when(route_name == "pdf_generation", "pdf").when(route_name == "ppt_generation", "ppt").when(route_name == "content_generation", "draft").otherwise("answer")
-    return F.struct(artifact.alias("artifact"), (route_name != "fallback_chat").alias("needs_evidence"), F.when(has_any(query, ("培训", "课件")), "training").when(has_any(query, ("制度", "规范")), "policy").otherwise("general").alias("content_type"))
+    """struct(goal_type, content_type, evidence_policy, search_focus_rule, artifact_tool, allow_external_search, completion_condition) of a request; the tool is null where no file is made."""
+    text, key = F.trim(F.coalesce(query, F.lit(""))), F.coalesce(route_name, F.lit(""))
+    content = F.lit("general_content")
+    for name, words in reversed(CONTENT_TYPES):
+        content = F.when(has_any(text, words), name).otherwise(content)
+    outside = has_any(text, OUTSIDE)
+    made = lambda i: F.element_at(F.create_map(*[F.lit(x) for r, v in ARTIFACTS.items() for x in (r, v[i])]), key)
+    goal = F.element_at(F.create_map(*[F.lit(x) for kv in GOALS.items() for x in kv]), key)
+    return F.struct(
+        F.coalesce(made(1), goal, F.lit("answer")).alias("goal_type"), content.alias("content_type"), F.when(outside, "internal_first_external_supplement").otherwise("internal_only").alias("evidence_policy"),
+        F.when(outside, "focus_entities_in_materials").otherwise("none").alias("search_focus_rule"), made(0).alias("artifact_tool"), (outside & key.isin("content_generation", *ARTIFACTS)).alias("allow_external_search"), F.coalesce(made(2), F.lit("final_answer_ready")).alias("completion_condition"),
+    )
+
+
+def intent(reply: Column) -> Column:
+    """struct(intent, kb_index) of a model's JSON reply, fenced or inside other text; an unknown intent is knowledge_query, an index below 1 or no whole number is null."""
+    text = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(reply, F.lit(""))), r"^```[^\n]*\n", ""), r"```$", ""))
+    found = F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"\{[^}]+\}", 0)))
+    index = F.try_variant_get(found, "$.kb_index", "variant")
+    string, kind = F.try_variant_get(found, "$.kb_index", "string"), F.schema_of_variant(index)
+    number = (
+        F.when(kind == "STRING", F.when(string.rlike(r"^\s*[+-]?\d{1,9}\s*$"), F.trim(string).try_cast("bigint"))).when(kind == "BOOLEAN", F.when(string == "true", 1))
+        .otherwise(F.try_variant_get(found, "$.kb_index", "double").try_cast("bigint"))
+    )
+    name = F.try_variant_get(found, "$.intent", "string")
+    return F.struct(F.when(name.isin(*INTENTS), name).otherwise("knowledge_query").alias("intent"), F.when(number >= 1, number).alias("kb_index"))
 
 
 def plan_steps(rows: DataFrame, most: int = 5, key: str = "query_id") -> DataFrame:

@@ -70,6 +70,20 @@ def mega_key(query_key: Column, engines: Column) -> Column:
     return F.sha2(F.concat_ws("|", query_key, F.array_join(F.array_sort(F.array_distinct(engines)), ",")), 256)
 
 
+def cache_key(*, engine: Column, action: Column, text: Column, lang: Column, dates: Column, file: Column, site: Column, limit: Column, start: Column, filtered: Column, answers: Column, country: Column, kind: Column, provider: Column) -> Column:
+    """The key of a response: all that changes it, in this order. Without a proxy's country the language stands for its market."""
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    market = [F.coalesce(F.nullif(plain(country), F.lit("")), plain(lang)), plain(kind), plain(provider)]
+    fields = [engine, action, text, lang, dates, file, site, limit, start, filtered, answers]
+    return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields], *market), 256)
+
+
+def bypasses_cache(*, proxy: Column, override: Column, country: Column, kind: Column, provider: Column) -> Column:
+    """A proxy is named, but nothing tells its market."""
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return ~(empty(proxy) & empty(override)) & empty(country) & empty(kind) & empty(provider)
+
+
 #: The country a bare language stands for.
 COUNTRY = {"en": "US", "de": "DE", "fr": "FR", "es": "ES", "it": "IT", "ru": "RU", "pt": "BR", "ja": "JP", "zh": "CN", "ko": "KR", "hi": "IN", "pl": "PL", "nl": "NL", "tr": "TR", "ar": "SA", "uk": "UA", "kk": "KZ"}
 #: Time zones of countries.

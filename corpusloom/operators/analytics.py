@@ -175,3 +175,9 @@ def search_chunks(chunks: DataFrame, text: str, vector_status: str | None = None
     if vector_status in ("indexed", "pending"):
         return rows.where(F.col("vector").isNotNull() if vector_status == "indexed" else F.col("vector").isNull())
     return rows
+
+
+def retained(counters: DataFrame, as_of: Column, days: int = 35, day: str = "day") -> DataFrame:
+    """Counters of the so many days that end with as_of; older ones go."""
+    last = F.to_date(as_of)
+    return counters.where((F.col(day) > F.date_sub(last, days)) & (F.col(day) <= last))

@@ -48,14 +48,14 @@ def cache_hits(requests: DataFrame, ttl: int = 180, keys: tuple[str, ...] = ("en
 
     A miss starts a new span of ttl seconds, so this is a fold; it runs over the sorted times of one key without other columns.
     """
-    times = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("at").cast("double"))).alias("ts"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<at:double,hit:boolean>>").alias("out"))
+    times = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.unix_micros(F.col("at").cast("timestamp")))).alias("ts"))
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<at:bigint,hit:boolean>>").alias("out"))
 
     def step(s: Column, t: Column) -> Column:
-        hit = s["last"].isNotNull() & (t - s["last"] < ttl)
+        hit = s["last"].isNotNull() & (t - s["last"] < ttl * 1_000_000)
         return F.struct(F.when(hit, s["last"]).otherwise(t).alias("last"), F.array_append(s["out"], F.struct(t.alias("at"), hit.alias("hit"))).alias("out"))
 
-    return times.select(*keys, F.explode(F.aggregate("ts", start, step)["out"]).alias("r")).select(*keys, F.timestamp_seconds("r.at").alias("at"), "r.hit")
+    return times.select(*keys, F.explode(F.aggregate("ts", start, step)["out"]).alias("r")).select(*keys, F.timestamp_micros("r.at").alias("at"), "r.hit")
 
 
 def coalesced(requests: DataFrame, keys: tuple[str, ...] = ("engine", "query")) -> DataFrame:

@@ -98,14 +98,30 @@ def dedup(rows: DataFrame) -> DataFrame:
 
 
 def clusters(rows: DataFrame, engines_queried: int) -> DataFrame:
-    """(query_id, cluster_id, url, title, score, engines_count, best_rank): score is the capped mean of 1 / rank, half up to 2 places."""
+    """(query_id, cluster_id, url, domain, title, score, engines_count, best_rank, occurrences array<struct<engine,rank,result_id>>).
+
+    score is the capped sum of 1 / rank by the number of engines asked, half up to 2 places; ranked() numbers the clusters of a query.
+    """
     keyed = rows.withColumn("normalized", normalize_url(F.col("url"))).where("normalized <> ''")
     best = F.struct((F.col("rank") <= 0).cast("int").alias("late"), "rank", "engine")
     # summed as whole parts of a common denominator, so that the order of the sum does not matter
     part = F.round(1.0 / F.greatest("rank", F.lit(1)), 9).cast("decimal(20,9)")
-    out = keyed.groupBy("query_id", "normalized").agg(F.sum(part).cast("double").alias("total"), F.count(F.lit(1)).alias("engines_count"), F.min_by("url", best).alias("url"), F.min_by("title", best).alias("title"), F.min_by("rank", best).alias("best_rank"))
+    out = keyed.groupBy("query_id", "normalized").agg(F.sum(part).cast("double").alias("total"), F.count(F.lit(1)).alias("engines_count"), F.min_by("url", best).alias("url"), F.min_by("title", best).alias("title"), F.min_by("rank", best).alias("best_rank"),
+        F.array_sort(F.collect_list(F.struct("engine", "rank", result_id(F.col("engine"), F.col("normalized")).alias("result_id")))).alias("occurrences"))
     score = F.floor(F.least(F.lit(1.0), F.col("total") / max(1, engines_queried)) * 100 + 0.5) / 100
-    return out.select("query_id", cluster_id(F.col("normalized")).alias("cluster_id"), "url", "title", score.alias("score"), "engines_count", "best_rank")
+    return out.select("query_id", cluster_id(F.col("normalized")).alias("cluster_id"), "url", domain(F.col("url")).alias("domain"), "title", score.alias("score"), "engines_count", "best_rank", "occurrences")
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Clusters of each query numbered (at) by score, best rank and, among equals, id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "best_rank", "cluster_id")
+    return found.withColumn("at", F.row_number().over(order).cast("bigint"))
+
+
+def result_type(kind: Column) -> Column:
+    """struct(type, warning): an unknown kind of result is organic, with a warning; else the warning is empty."""
+    known = F.coalesce(kind.isin(*RESULT_TYPES), F.lit(False))
+    return F.struct(F.when(known, kind).otherwise("organic").alias("type"), F.when(known, "").otherwise(F.concat(F.lit("unknown result type "), quoted(F.coalesce(kind, F.lit(""))), F.lit(", defaulting to organic"))).alias("warning"))
 
 
 def merge_policy(rows: DataFrame, requested: list[str]) -> DataFrame:

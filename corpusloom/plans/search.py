@@ -26,7 +26,7 @@ def serp_dedup(spark, d):
 
 
 def serp_clusters(spark, d):
-    return P.clusters(M.serp(spark, d), 6)
+    return P.clusters(M.serp(spark, d), 6).drop("domain", "occurrences")
 
 
 def serp_merge_policy(spark, d):

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import analytics, more, retrieval, search, text
+from corpusloom.plans import analytics, more, requests, retrieval, search, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (retrieval, analytics, search, text, more):
+for _module in (retrieval, analytics, search, text, more, requests):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -110,14 +111,14 @@ def breaker_batch(attempts: DataFrame, rule: Breaker = Breaker()) -> DataFrame:
 
 
 def token_bucket(requests: DataFrame, rate: float, burst: int) -> DataFrame:
-    """requests (engine, at) -> with wait: seconds until a bucket of burst tokens, refilled at rate, lets each through (a fold)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, free, waits = pdf.sort_values("at"), 0.0, []
-        for at in rows["at"]:
-            now = at.timestamp()
-            free = max(free, now - burst / rate) + 1 / rate
-            waits.append(max(0.0, free - now))
-        return rows.assign(wait=waits)
-
-    return requests.select("engine", "at").groupBy("engine").applyInPandas(run, "engine bigint, at timestamp, wait double")
+    """requests (engine, at) -> with wait: seconds until a bucket of burst tokens, refilled at rate, lets each through.
+
+    A token is free one refill after the later of the token before and the time at which the bucket was full, so the k-th request
+    waits until the running maximum of (at of j) - j refills, plus k + 1 - burst refills: a window, in whole microseconds.
+    """
+    refill = round(1_000_000 / rate)
+    order = Window.partitionBy("engine").orderBy("at")
+    rows = requests.select("engine", "at", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), F.row_number().over(order).cast("bigint").alias("k"))
+    full = F.max(F.col("us") - F.col("k") * refill).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    wait = F.greatest(full + (F.col("k") + 1 - burst) * refill - F.col("us"), F.lit(0))
+    return rows.select("engine", "at", (wait / 1_000_000).alias("wait"))
