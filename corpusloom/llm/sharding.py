@@ -21,6 +21,8 @@ from corpusloom.llm.common import written
 
 SLICES = 4096
 VNODES = 96
+#: Equal rows that are written out at once.
+BLOCK = 10_000
 PLAN = "slice int, pieces array<struct<lo:bigint,hi:bigint,shard:int,base:bigint>>, grown_shard int"
 
 
@@ -68,7 +70,8 @@ def consistent_shards(df: DataFrame, shards: int = 8, law: str = "rows", vnodes:
     """One row per row of df: (doc_id, size, text_crc32, law, shard, slot, grown_shard).
 
     size: UTF-8 bytes of the text plus 1; a null text counts as empty (its crc32 is 0). Null ids are a key like any other,
-    told apart by their texts. Equal rows get neighbouring slots. An empty table gives an empty result.
+    told apart by their texts. Rows equal in id and text get neighbouring slots; rows that only share their text (a group of
+    copies) are spread over the shards like any others, and no size of text matters. An empty table gives an empty result.
     """
     if law not in ("rows", "key"):
         raise ValueError(f"law {law!r}: rows or key")
@@ -81,7 +84,9 @@ def consistent_shards(df: DataFrame, shards: int = 8, law: str = "rows", vnodes:
     plan = df.sparkSession.createDataFrame(fill(counts, shards, law, vnodes), PLAN)  # SLICES rows at most
     before = Window.partitionBy("slice").orderBy("hash", F.col("doc_id").asc_nulls_first(), "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = keyed.withColumn("first", F.coalesce(F.sum("copies").over(before), F.lit(0)))
-    rows = ranked.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy")).withColumn("rank", F.col("first") + F.col("copy"))
+    # in blocks, so that no list is as long as a row is often repeated
+    blocks = ranked.select("*", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(BLOCK))).alias("block"))
+    rows = blocks.select("*", F.explode(F.sequence("block", F.least(F.col("block") + BLOCK, "copies") - 1)).alias("copy")).withColumn("rank", F.col("first") + F.col("copy"))
     placed = rows.join(F.broadcast(plan), "slice").withColumn("piece", F.element_at(F.filter("pieces", lambda p: (F.col("rank") >= p["lo"]) & (F.col("rank") < p["hi"])), 1))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("piece.shard").alias("shard"), (F.col("piece.base") + F.col("rank") - F.col("piece.lo")).alias("slot"), F.col("grown_shard").cast(T.IntegerType()).alias("grown_shard")
