@@ -4,11 +4,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate as D
-from corpusloom.llm import fingerprint, sharding
+from corpusloom.llm import fingerprint, sharding, toxicity
 
 COMMON = "the of a train walks from market to river and sells red apples every day near old bridge".split()
 NAMES = ["Alice", "Bob", "Carol", "Boston", "Paris"]
@@ -145,3 +146,51 @@ def test_likeness_of_rows_by_loops(spark):
     for (i, _), (j, _) in zip(rows, rows[1:] + rows[:1], strict=True):
         assert got[i]["near_next"] == pytest.approx(like_by_loops(mark[i], mark[j]))
         assert got[i]["near_edited"] == pytest.approx(like_by_loops(mark[i], fingerprint.from_text(got[i]["edited_fingerprint"])))
+
+
+def text_logit(net, words):
+    """The highest logit of a text's windows, one window and one word at a time."""
+    p, out, n = net.p, [], len(words)
+    starts = [0] if n <= toxicity.WINDOW else [*range(0, n - toxicity.WINDOW, toxicity.STRIDE), n - toxicity.WINDOW]
+    gates, size = 2 * toxicity.HIDDEN, 3 * toxicity.HIDDEN
+    for start in starts:
+        rows = []
+        for w in words[start : start + toxicity.WINDOW]:
+            w = toxicity.core(w)
+            runs, _ = toxicity.runs_of_block([w])
+            x = np.concatenate([p["word"][net.words.get(w, len(net.words))], p["char"][runs].sum(axis=0) / np.sqrt(len(runs))])
+            rows.append(x @ p["wx"] + p["bx"])
+        states = []
+        for way, u in ((0, p["uf"]), (1, p["ub"])):
+            h, seen = np.zeros(toxicity.HIDDEN), []
+            for row in rows if way == 0 else rows[::-1]:
+                x = row[way * size : (way + 1) * size]
+                z, r = np.split(1 / (1 + np.exp(-(x[:gates] + h @ u[:, :gates]))), 2)
+                h = h + z * (np.tanh(x[gates:] + (r * h) @ u[:, gates:]) - h)
+                seen.append(h)
+            states.append(seen if way == 0 else seen[::-1])
+        if not rows:
+            out.append(float(p["bo"][0]))
+            continue
+        s = np.array([np.concatenate(x) for x in zip(*states, strict=True)])
+        a = np.exp(np.tanh(s @ p["wa"] + p["ba"]) @ p["va"])
+        out.append(float((a / a.sum()) @ s @ p["wo"] + p["bo"][0]))
+    return max(out)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 13])
+def test_scores_are_the_highest_of_all_windows(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rnd, rng = random.Random(6), np.random.default_rng(6)
+    words = {w.encode(): i for i, w in enumerate(COMMON)}
+    net = toxicity.Net.start(words, rng.normal(0, 1, len(words)).astype(np.float32), rng.normal(0, 0.5, toxicity.BUCKETS).astype(np.float32))
+    texts = [sentence(rnd, n) for n in (1, 5, 31, 32, 33, 48, 49, 200)] + ["", None, "?!", "A" * 3000]
+    got = toxicity.score_texts(net, texts)
+    want = [1 / (1 + np.exp(-text_logit(net, (t or "").encode().split()))) for t in texts]
+    assert got == pytest.approx(want, abs=1e-5) and np.ptp(got) > 0.01
+
+
+def test_no_labels_and_one_label():
+    for texts, marks in (([], []), (["a b", None], [1, 1]), (["", ""], [0, 1])):
+        net = toxicity.fit(texts, np.array(marks, np.int64))
+        assert len(set(toxicity.score_texts(net, ["", "x y", None]).tolist())) == 1
