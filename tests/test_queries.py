@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that SQL does not express or only in part; tests of their functions against plain loops and examples are in test_operators.
-TESTED = {"breaker_batch", "breaker_stream", "chunk_recursive", "chunk_split", "domain_details", "html_results", "search_urls", "sentence_split", "technical_tokens"}
+TESTED = {"breaker_batch", "breaker_stream", "chunk_recursive", "chunk_split", "html_results", "search_urls", "sentence_split", "technical_tokens"}
 
 
 @pytest.fixture(scope="module")
