@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["bpe", "chat_format", "decontaminate", "fingerprint", "jaccard_join", "line_dedup", "lm_score", "sharding", "substring_dedup", "toxicity"]
+MODULES = ["bpe", "byte_bpe", "chat_format", "decontaminate", "fingerprint", "jaccard_join", "line_dedup", "lm_score", "periodic_runs", "sharding", "substring_dedup", "toxicity", "whitening"]
 
 
 def _gathered(name: str) -> dict:
