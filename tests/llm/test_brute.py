@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate as D
-from corpusloom.llm import fingerprint, sharding, toxicity
+from corpusloom.llm import fingerprint, line_dedup, sharding, toxicity
 
 COMMON = "the of a train walks from market to river and sells red apples every day near old bridge".split()
 NAMES = ["Alice", "Bob", "Carol", "Boston", "Paris"]
@@ -194,3 +194,49 @@ def test_no_labels_and_one_label():
     for texts, marks in (([], []), (["a b", None], [1, 1]), (["", ""], [0, 1])):
         net = toxicity.fit(texts, np.array(marks, np.int64))
         assert len(set(toxicity.score_texts(net, ["", "x y", None]).tolist())) == 1
+
+
+# lines of a crowd
+
+
+def within_two(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        last = now
+    return last[-1] <= 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_crowded_lines_go_as_loops_say(spark, seed):
+    rnd = random.Random(seed)
+    base = ["".join(rnd.choices("ab", k=rnd.choice([0, 4, 6, 12]))) for _ in range(3)]
+    lines = set()
+    for _ in range(150):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.randrange(5)):
+            x, way = rnd.randrange(len(w) + 1), rnd.randrange(3)
+            if way == 0:
+                w.insert(x, rnd.choice("abc"))
+            elif x < len(w):
+                w[x : x + 1] = [] if way == 1 else [rnd.choice("abc")]
+        lines.add("".join(w))
+    lines = sorted(lines, key=lambda _: rnd.random())
+    df = spark.createDataFrame(list(enumerate(lines)), "h1 bigint, line string").selectExpr("h1", "line", "struct(h1 AS doc_id) AS first")
+    want = {i for i, x in enumerate(lines) if any(within_two(x, y) for y in lines[:i])}
+    assert {r["h1"] for r in line_dedup.crowded_repeats(df).collect()} == want and 0 < len(want) < len(lines)
+
+
+def test_rows_of_one_template(spark):
+    lines = [f"row {i} of a table that is here twice {i * 7919}" for i in range(400)]
+    text = "\n".join(lines)
+    old = line_dedup.SECOND_CROWD
+    line_dedup.SECOND_CROWD = 40  # so that few lines are a crowd
+    try:
+        got = line_dedup.dedup_lines(spark.createDataFrame([(1, text), (2, text)], "doc_id bigint, text string"), exact_chars=1).orderBy("doc_id").collect()
+    finally:
+        line_dedup.SECOND_CROWD = old
+    kept = [x for i, x in enumerate(lines) if not any(within_two(x, y) for y in lines[:i])]
+    assert got[0]["kept"].split("\n") == kept and got[1]["n_removed"] == 400 and got[1]["kept"] == ""
