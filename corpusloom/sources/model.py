@@ -18,15 +18,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.col("lang").alias("kb_id"), F.col("source").alias("title"), status.alias("status"), "n_chars")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chunk_id, document_id, kb_id, title, sequence_no, content, model): the non-blank lines of documents."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(chunk_id, document_id, kb_id, title, sequence_no, content, model): the non-blank lines of documents (doc_id, lang, source, text)."""
+    lines = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
     content = F.btrim("raw", F.lit(" \t\r"))
     return lines.select(
         (F.col("doc_id") * 100_000 + F.col("at")).alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("kb_id"), F.col("source").alias("title"), F.col("at").cast("bigint").alias("sequence_no"), content.alias("content"), F.concat(F.lit("M"), F.col("doc_id") % 7).alias("model")
     ).where("content <> ''")
 
 
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of all documents."""
+    return lines_of(table(spark, sf_dir, "documents"))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, kb_id, text): benchmark items, asked of the knowledge bases in turn."""
     kb = F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit("es")), (F.col("item_id") % 4 + 1).cast("int"))

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that driver and executors share; one of our own only under a local master without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/corpusloom-streams"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def replace_documents(rows: DataFrame, path: str, partition: str = "kb_id", key: str = "document_id", buckets: int = 64) -> None:
     """Replaces the documents that rows hold and leaves all others; a repeated run leaves the same table.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.sources.sinks import shared_folder
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as they arrive in files of the folder; a file's schema is declared, not inferred."""
@@ -18,19 +19,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(actual).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "/tmp/corpusloom-streams"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str, keep: str = "all") -> DataFrame:
     """Runs a stream over all that is there and gives what it wrote; each batch replaces (keep='last') or adds to the table."""
     spark = stream.sparkSession
-    at = _shared(spark)
+    at = shared_folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         # a folder for each batch, so one that is repeated after a failure replaces itself
