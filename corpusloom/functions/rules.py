@@ -65,24 +65,26 @@ def known_route(raw: Column) -> Column:
     return F.when(first.isin(*PLANS), first).otherwise("fallback_chat")
 
 
+#: Words of a question that name a department, departments and words in order.
+DEPARTMENT_WORDS = {
+    "tech": ["技术", "代码", "编程", "开发", "系统", "软件"],
+    "hr": ["制度", "请假", "报销", "薪资", "人事", "员工"],
+    "product": ["产品", "功能", "使用", "教程"],
+    "sales": ["销售", "客户", "业绩", "合同"],
+}
+
+
 def base_route(queries: DataFrame, bases: DataFrame) -> DataFrame:
-    """(query_id, kb_id) of queries (query_id, text, department_id): the base of the asker's own department, else one named in the query, else the first.
+    """(query_id, kb_id) of queries (query_id, text, department_id): the base of the asker's own department, else that of the first department named by a word of the query that has a base, else the first.
 
-    bases (kb_id, department_id, keyword, place) are listed in order of place; the first listed wins. The query is lowered, and its
-    substrings of the few lengths that keywords have meet them by an equi-join.
+    bases (kb_id, department_id, department_code, place) are listed in order of place; the first listed wins.
     """
     first_by = lambda rows, *by: rows.groupBy(*by).agg(F.min_by("kb_id", "place").alias("kb"))
     own = first_by(bases.where("department_id is not null"), "department_id").withColumnRenamed("kb", "own")
-    words = bases.where("keyword <> ''").select("kb_id", "place", F.lower("keyword").alias("word"))
-    sizes = [r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()]  # as many rows as lengths of keywords
     text = F.lower(F.coalesce("text", F.lit("")))
-
-    def cut(n: int) -> Column:
-        starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))
-
-    pieces = F.array_distinct(F.flatten(F.array(*[cut(n) for n in sizes]))) if sizes else F.array().cast("array<string>")
-    named = first_by(queries.select("query_id", F.explode(pieces).alias("word")).join(words, "word"), "query_id").withColumnRenamed("kb", "named")
+    codes = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.when(has_any(text, words), F.lit(code)).alias("code")) for n, (code, words) in enumerate(DEPARTMENT_WORDS.items())]), lambda x: x["code"].isNotNull())
+    coded = first_by(bases.where("department_code is not null"), "department_code").withColumnRenamed("department_code", "code")
+    named = queries.select("query_id", F.explode(codes).alias("c")).select("query_id", "c.*").join(coded, "code").groupBy("query_id").agg(F.min_by("kb", "n").alias("named"))
     first = bases.agg(F.min_by("kb_id", "place").alias("first"))
     return queries.join(own, "department_id", "left").join(named, "query_id", "left").crossJoin(F.broadcast(first)).select("query_id", F.coalesce("own", "named", "first").alias("kb_id"))
 
@@ -170,12 +172,14 @@ def step_history(steps: DataFrame, keep: int = 5, clip: int = 500) -> DataFrame:
 def miss_mode(rows: DataFrame, key: str = "conversation_id", order: str = "at", limit: int = 3) -> DataFrame:
     """rows (key, at, hit, and bypass if there is one) -> misses and mode after each: the third miss in a row turns search on for good, fewer ask first.
 
-    A hit sets the count back and leaves the mode; a row that bypasses (attachments, no active base) changes nothing. Misses since
-    the last hit are a running count per island, so no state is carried by hand.
+    A hit sets the count back and leaves the mode, with attachments (bypass) too; a miss with attachments, and any row without an
+    active base (active, if there is that column), changes nothing. Misses since the last hit are a running count per island, so no
+    state is carried by hand.
     """
-    bypass = F.col("bypass") if "bypass" in rows.columns else F.lit(False)
+    active = F.col("active") if "active" in rows.columns else F.lit(True)
+    bypass = (F.col("bypass") if "bypass" in rows.columns else F.lit(False)) | ~active
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_miss", (~F.col("hit") & ~bypass).cast("int")).withColumn("_island", F.sum((F.col("hit") & ~bypass).cast("int")).over(w))
+    rows = rows.withColumn("_miss", (~F.col("hit") & ~bypass).cast("int")).withColumn("_island", F.sum((F.col("hit") & active).cast("int")).over(w))
     rows = rows.withColumn("_run", F.sum("_miss").over(Window.partitionBy(key, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     on = F.max((F.col("_run") >= limit).cast("int")).over(w) == 1
     mode = F.when(on, "on").when(F.max("_miss").over(w) == 1, "ask_pending").otherwise("off")

@@ -69,10 +69,11 @@ def image_ids(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"!\[[^\]]*\]\(/files/([^/)]+)/file-preview\)"), F.lit(1))
 
 
-def display_name(title: Column, source_type: Column) -> Column:
-    """Last part of a path, with the kind of source before it unless it was uploaded."""
-    last = F.substring_index(title, "/", -1)
-    return F.when(source_type.isNull() | source_type.isin("", "local", "upload"), last).otherwise(F.concat(source_type, F.lit(": "), last))
+def display_name(source_type: Column, *names: Column) -> Column:
+    """The last part of the first name that is not empty (title, document title, file name, source file), behind the kind of source."""
+    some = F.coalesce(*[F.nullif(n, F.lit("")) for n in names], F.lit("未知文档"))
+    label = F.when(source_type == "feishu", "飞书文档").when(source_type == "google_drive", "Google Drive").otherwise("知识库")
+    return F.concat(label, F.lit("-"), F.substring_index(some, "/", -1))
 
 
 def chunk_policy(extension: Column, cfg: Config = CONFIG) -> Column:

@@ -58,8 +58,17 @@ def cluster_id(normalized: Column) -> Column:
 
 
 def mask_credentials(text: Column) -> Column:
-    """user:password before an @ in an address becomes ***."""
-    return F.regexp_replace(text, r"(://)[^/@\s]+@", "$1***@")
+    """Addresses with credentials in a text become scheme and host, or invalid-proxy if no proxy has such an address; signs after an address stay."""
+    marked = F.regexp_replace(text, r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/@]+(?::[^\s/@]*)?@[^\s]+", "\x00$0\x00")
+
+    def masked(piece: Column) -> Column:
+        plain = F.regexp_replace(piece, r"[.,;)\]}]+$", "")
+        scheme, host = F.lower(F.regexp_extract(plain, "^([^:]*)://", 1)), F.regexp_extract(plain, r"://(?:[^/?#]*@)?([^/?#@]*)", 1)
+        good = scheme.isin("http", "https", "socks5", "socks5h") & (host != "")
+        return F.concat(F.when(good, F.concat(scheme, F.lit("://"), host)).otherwise("invalid-proxy"), F.substr(piece, F.length(plain) + 1, F.length(piece)))
+
+    # every second piece is an address
+    return F.array_join(F.transform(F.split(marked, "\x00"), lambda p, i: F.when(i % 2 == 1, masked(p)).otherwise(p)), "")
 
 
 def query_hash(text: Column, site: Column, file: Column, lang: Column, date: Column) -> Column:

@@ -12,12 +12,12 @@ def since(column: str, as_of: str, days: int) -> Column:
 
 
 def usage_stats(messages: DataFrame, as_of: str) -> DataFrame:
-    """One row, in one pass: counts, today's counts and users, and averages over positive values, cut to whole numbers."""
+    """One row, in one pass: counts, today's counts and users, and averages over positive values, cut to whole numbers: latencies of assistants, tokens of all."""
     today = F.col("created_at") >= F.date_trunc("day", F.lit(as_of).cast("timestamp"))
     user = F.col("role") == "user"
-    mean = lambda c: F.coalesce(F.avg(F.when((F.col("role") == "assistant") & (F.col(c) > 0), F.col(c))), F.lit(0.0)).cast("bigint")
+    mean = lambda c, *of: F.coalesce(F.avg(F.when(F.col(c) > 0, F.when(of[0], F.col(c)) if of else F.col(c))), F.lit(0.0)).cast("bigint")
     return messages.agg(
-        F.count_if(user).alias("questions"), F.count(F.lit(1)).alias("messages"), F.count_if(user & today).alias("questions_today"), F.count_distinct(F.when(today, F.col("user_id"))).alias("users_today"), mean("latency_ms").alias("avg_latency_ms"), mean("token_count").alias("avg_tokens")
+        F.count_if(user).alias("questions"), F.count(F.lit(1)).alias("messages"), F.count_if(user & today).alias("questions_today"), F.count_distinct(F.when(today, F.col("user_id"))).alias("users_today"), mean("latency_ms", F.col("role") == "assistant").alias("avg_latency_ms"), mean("token_count").alias("avg_tokens")
     )
 
 
@@ -42,8 +42,25 @@ def rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole, 4)).otherwise(0.0)
 
 
-def agent_metrics(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """One row: runs by status, runs that retried and those with a retry step that was a success, rates, steps per run that has any."""
+def conversation_scope(conversations: DataFrame, bases: DataFrame, *, role: str, tenant, user) -> DataFrame:
+    """The conversations (conversation_id, tenant_id, user_id, kb_id) whose figures a user sees: of the tenant only, and of these a
+    super admin all, an admin those over visible bases (kb_id), anybody else the own ones."""
+    rows = conversations.where(F.col("tenant_id") == F.lit(tenant))
+    if role == "super_admin":
+        return rows
+    if role == "admin":
+        return rows.join(bases.select("kb_id").distinct(), "kb_id", "left_semi")
+    return rows.where(F.col("user_id") == F.lit(user))
+
+
+def scoped(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    """The messages or runs of the conversations in a scope, with the user of the conversation."""
+    return rows.drop("user_id").join(scope.select("conversation_id", "user_id"), "conversation_id")
+
+
+def agent_metrics(runs: DataFrame, steps: DataFrame, as_of: str | None = None, days: int = 7) -> DataFrame:
+    """One row: runs by status, runs that retried and those with a retry step that was a success, rates, steps per run that has any; of the days before as_of, if it is given."""
+    runs = runs if as_of is None else runs.where(since("created_at", as_of, days))
     retry = F.col("step_type") == "retry_decision"
     per = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max(retry.cast("int")).alias("retried"), F.max((retry & (F.col("status") == "success")).cast("int")).alias("worked"))
     rows = runs.join(per, "run_id", "left")
@@ -52,11 +69,12 @@ def agent_metrics(runs: DataFrame, steps: DataFrame) -> DataFrame:
     return out.select("*", rate(F.col("completed"), F.col("total")).alias("completion_rate"), rate(F.col("failed"), F.col("total")).alias("failure_rate"), rate(F.col("retry_success_runs"), F.col("retry_runs")).alias("retry_success_rate"))
 
 
-def agent_trend(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """(day, runs, completed, failed, retries): retries are merged by the day of their run."""
+def agent_trend(runs: DataFrame, steps: DataFrame, as_of: str | None = None, days: int = 7) -> DataFrame:
+    """(day, runs, completed, failed, retries) of the days before as_of, if it is given: retries are runs with such a step, by the day of the run."""
+    runs = runs if as_of is None else runs.where(since("created_at", as_of, days))
     day = F.to_date("created_at").alias("day")
     per = runs.groupBy(day).agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"))
-    retries = steps.where("step_type = 'retry_decision'").join(runs.select("run_id", day), "run_id").groupBy("day").agg(F.count(F.lit(1)).alias("retries"))
+    retries = steps.where("step_type = 'retry_decision'").join(runs.select("run_id", day), "run_id").groupBy("day").agg(F.count_distinct("run_id").alias("retries"))
     return per.join(retries, "day", "left").withColumn("retries", F.coalesce("retries", F.lit(0)).cast("bigint"))
 
 

@@ -115,11 +115,16 @@ def allowed_chunks(chunks: DataFrame, documents: DataFrame, filters: dict | None
 
 
 def index_diff(chunks: DataFrame, documents: DataFrame, existing: DataFrame, cfg: Config = CONFIG, force: bool = False) -> DataFrame:
-    """(document_id, action): skipped_no_chunk, indexed (nothing there yet), updated (a chunk differs) or skipped."""
+    """(document_id, action): skipped_no_chunk, indexed (nothing of the document is there yet), updated (a chunk is new or differs, or force) or skipped.
+
+    existing: (document_id, chunk_id, content_hash) of what is indexed.
+    """
     now = chunks.select("document_id", "chunk_id", index_hash(text_to_index(chunks), cfg).alias("now_hash"))
-    there = existing.select("chunk_id", F.col("content_hash").alias("old_hash"))
-    per = now.join(there, "chunk_id", "left").groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.count("old_hash").alias("old"), F.max((~F.col("now_hash").eqNullSafe(F.col("old_hash"))).cast("int")).alias("differs"))
-    action = F.when(F.col("chunks").isNull(), "skipped_no_chunk").when(F.col("old") == 0, "indexed").when(F.lit(force) | (F.col("differs") == 1), "updated").otherwise("skipped")
+    there = existing.select("document_id", "chunk_id", F.col("content_hash").alias("old_hash"))
+    both = now.join(there, ["document_id", "chunk_id"], "full_outer")
+    differs = F.col("now_hash").isNotNull() & ~F.col("now_hash").eqNullSafe(F.col("old_hash"))
+    per = both.groupBy("document_id").agg(F.count("now_hash").alias("chunks"), F.count("old_hash").alias("old"), F.max(differs.cast("int")).alias("differs"))
+    action = F.when(F.coalesce("chunks", F.lit(0)) == 0, "skipped_no_chunk").when(F.col("old") == 0, "indexed").when(F.lit(force) | (F.col("differs") == 1), "updated").otherwise("skipped")
     return documents.join(per, "document_id", "left").select("document_id", action.alias("action"))
 
 

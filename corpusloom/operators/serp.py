@@ -52,7 +52,7 @@ def domain_info(host: Column) -> Column:
     tld = F.when(double, last_two).otherwise(F.element_at(labels, -1))
     sld = F.coalesce(F.get(labels, n - F.when(double, 3).otherwise(2)), F.lit(""))
     return F.struct(
-        tld.alias("tld"), F.when(n > 1, sld).otherwise("").alias("sld"), ((tld == "gov") | tld.startswith("gov.") | host.endswith(".gov")).alias("is_gov"), ((tld == "edu") | (tld == "ac.uk") | host.endswith(".edu")).alias("is_edu"), (tld == "mil").alias("is_mil"),
+        tld.alias("tld"), F.when(n > 1, sld).otherwise("").alias("sld"), ((tld == "gov") | host.endswith(".gov")).alias("is_gov"), ((tld == "edu") | (tld == "ac.uk") | host.endswith(".edu") | host.endswith(".ac.uk")).alias("is_edu"), (tld == "mil").alias("is_mil"),
         host.isin(*NEWS).alias("is_news"), host.isin(*FORUMS).alias("is_forum"), host.isin(*MARKETS).alias("is_marketplace"), host.isin(*SOCIAL).alias("is_social"),
     )
 
@@ -75,9 +75,10 @@ def image_description(text: Column) -> Column:
     """struct(page, thumb, width, height) from a description like "Height:1, Width:2, Source page: .., thumb_url: .."."""
     web = lambda c: F.when(c.rlike("^https?://"), c).otherwise("")
     page = F.trim(F.coalesce(F.nullif(F.regexp_extract(text, r"(?i)source page:\s*([^,]*)", 1), F.lit("")), F.regexp_extract(text, r"(?is)^\s*source:\s*(.*)$", 1)))
+    page = F.when(F.lower(text).contains("source page:"), F.trim(F.regexp_extract(text, r"(?is)source page:([^,]*)", 1))).otherwise(page)
     thumb = F.trim(F.regexp_extract(text, r"(?i)thumb_url:\s*([^,]*)", 1))
-    tall = F.regexp_extract(text, r"(?i)height\D{0,3}(\d+)\D+width\D{0,3}(\d+)", 1), F.regexp_extract(text, r"(?i)height\D{0,3}(\d+)\D+width\D{0,3}(\d+)", 2)
-    wide = F.regexp_extract(text, r"(\d+)\s*[x×]\s*(\d+)", 1), F.regexp_extract(text, r"(\d+)\s*[x×]\s*(\d+)", 2)
+    tall = [F.regexp_extract(text, r"(?i)height:\s*(\d+),\s*width:\s*(\d+)", i) for i in (1, 2)]
+    wide = [F.regexp_extract(text, r"(?i)\b(\d+)x(\d+)\b", i) for i in (1, 2)]
     number = lambda c: F.nullif(c, F.lit("")).cast("int")
     return F.struct(web(page).alias("page"), web(thumb).alias("thumb"), F.coalesce(number(tall[1]), number(wide[0]), F.lit(0)).alias("width"), F.coalesce(number(tall[0]), number(wide[1]), F.lit(0)).alias("height"))
 
@@ -138,9 +139,10 @@ def resolve_engines(text: Column) -> Column:
     return F.array_distinct(F.filter(full, lambda e: e.isin(*ENGINES)))
 
 
-def check_request(limit: Column, start: Column, text: Column) -> Column:
-    """Error code of a request, null if it is fine; a null limit means 25."""
-    return F.when(F.coalesce(text, F.lit("")) == "", "empty_query").when((F.coalesce(limit, F.lit(25)) < 1) | (F.coalesce(limit, F.lit(25)) > 100), "bad_limit").when(F.coalesce(start, F.lit(0)) < 0, "bad_start")
+def check_request(limit: Column, start: Column, text: Column, site: Column | None = None, file_type: Column | None = None) -> Column:
+    """Error code of a request, null if it is fine: limit (null means 25), then start, then whether text, site and file type are all empty."""
+    nothing = F.concat_ws("", text, *(c for c in (site, file_type) if c is not None)) == ""
+    return F.when((F.coalesce(limit, F.lit(25)) < 1) | (F.coalesce(limit, F.lit(25)) > 100), "bad_limit").when(F.coalesce(start, F.lit(0)) < 0, "bad_start").when(nothing, "empty_query")
 
 
 def page_class(html: Column) -> Column:
@@ -180,9 +182,12 @@ def render(rows: DataFrame, form: str = "markdown") -> DataFrame:
 
 
 def response_format(asked: Column, accept: Column) -> Column:
-    known = F.lower(F.coalesce(asked, F.lit("")))
+    """struct(format, error): what was asked for by name, else by the Accept header, else json; any other name is an error."""
+    name = F.trim(F.lower(F.coalesce(asked, F.lit(""))))
     a = F.lower(F.coalesce(accept, F.lit("")))
-    return F.when(known.isin("json", "markdown", "text", "ndjson"), known).when(known == "md", "markdown").when(a.rlike("text/markdown"), "markdown").when(a.rlike("ndjson"), "ndjson").when(a.rlike("text/plain"), "text").otherwise("json")
+    name = F.when(name != "", name).when(a.contains("text/markdown"), "markdown").when(a.contains("text/plain"), "text").when(a.contains("application/x-ndjson"), "ndjson").otherwise("json")
+    known = name.isin("json", "markdown", "text", "ndjson")
+    return F.struct(F.when(known, name).alias("format"), F.when(~known, "UNKNOWN_FORMAT").alias("error"))
 
 
 def pagination(results: Column, start: Column, limit: Column) -> Column:
@@ -196,6 +201,16 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def render_text(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """(query_id, body): heads and rows as for render_markdown, in plain text: the query, engines asked and failed if any, then the results in order."""
+    snippet = F.when(F.coalesce("snippet", F.lit("")) != "", F.concat("snippet", F.lit("\n"))).otherwise("")
+    line = F.concat(F.lit("["), F.col("at").cast("string"), F.lit("] "), F.col("title"), F.lit(" ("), F.col("domain"), F.lit(")\n"), snippet, F.lit("URL: "), F.col("url"), F.lit("\n\n"))
+    body = rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda x: x["line"]), "").alias("results"))
+    listed = lambda label, names: F.when(F.size(names) > 0, F.concat(F.lit(label), F.array_join(names, ", "), F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("Search: "), F.col("text"), F.lit("\n"), listed("Engines: ", F.col("engines")), listed("Failed: ", F.col("failed")), F.lit("\n"))
+    return heads.join(body, "query_id", "left").select("query_id", F.concat(head, F.coalesce("results", F.lit(""))).alias("body"))
+
+
 def render_markdown(rows: DataFrame, heads: DataFrame) -> DataFrame:
     """(query_id, body) of heads (query_id, text, engines array, took_ms, failed array) and rows (query_id, at, title, display_url, type, ad, snippet, url).
 

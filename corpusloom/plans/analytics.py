@@ -170,7 +170,7 @@ HEALTH = "SELECT engine, count(*) AS calls, count(*) FILTER (NOT ok) AS failures
 ORACLE_SQL = {
     "usage_stats": V(
         "SELECT count(*) FILTER (role = 'user') AS questions, count(*) AS messages, count(*) FILTER (role = 'user' AND created_at >= TIMESTAMP '2024-01-30') AS questions_today, count(DISTINCT user_id) FILTER (created_at >= TIMESTAMP '2024-01-30') AS users_today, "
-        "CAST(floor(avg(latency_ms) FILTER (role = 'assistant' AND latency_ms > 0)) AS BIGINT) AS avg_latency_ms, CAST(floor(avg(token_count) FILTER (role = 'assistant' AND token_count > 0)) AS BIGINT) AS avg_tokens FROM messages",
+        "CAST(floor(avg(latency_ms) FILTER (role = 'assistant' AND latency_ms > 0)) AS BIGINT) AS avg_latency_ms, CAST(floor(avg(token_count) FILTER (token_count > 0)) AS BIGINT) AS avg_tokens FROM messages",
         "messages",
     ),
     "popular_queries": V("SELECT content, count(*) AS n FROM messages WHERE role = 'user' AND content <> '' GROUP BY 1 ORDER BY n DESC, content LIMIT 10", "messages"),
@@ -183,7 +183,7 @@ ORACLE_SQL = {
         "SELECT *, round(completed / total, 4) AS completion_rate, round(failed / total, 4) AS failure_rate, round(retry_success_runs / retry_runs, 4) AS retry_success_rate FROM a",
         "runs", "steps",
     ),
-    "agent_trend": V("SELECT day, runs, completed, failed, coalesce(retries, 0) AS retries FROM (SELECT CAST(created_at AS DATE) AS day, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1) LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, count(*) AS retries FROM steps JOIN runs USING (run_id) WHERE step_type = 'retry_decision' GROUP BY 1) USING (day)", "runs", "steps"),
+    "agent_trend": V("SELECT day, runs, completed, failed, coalesce(retries, 0) AS retries FROM (SELECT CAST(created_at AS DATE) AS day, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM runs GROUP BY 1) LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, count(DISTINCT run_id) AS retries FROM steps JOIN runs USING (run_id) WHERE step_type = 'retry_decision' GROUP BY 1) USING (day)", "runs", "steps"),
     "error_distribution": V("SELECT CASE WHEN split_part(error, ':', 1) = '' THEN 'unknown' ELSE split_part(error, ':', 1) END AS error_type, count(*) AS n FROM runs WHERE error <> '' GROUP BY 1", "runs"),
     "steps_per_run": V("SELECT round(avg(n), 6) AS steps_per_run FROM (SELECT run_id, count(*) AS n FROM steps GROUP BY 1)", "steps"),
     "latency_summary_p95": V(
@@ -206,7 +206,7 @@ ORACLE_SQL = {
     "old_vector_documents": V("SELECT document_id, count(*) AS chunks, count(*) FILTER (length(content) < 40) AS stale FROM chunks GROUP BY 1 HAVING stale > 0", "chunks"),
     "migration_audit": V("SELECT 'all' AS part, count(*) AS n FROM kb_documents UNION ALL SELECT 'ready', count(*) FILTER (status = 'ready') FROM kb_documents UNION ALL SELECT 'pending', count(*) FILTER (status = 'pending') FROM kb_documents", "kb_documents"),
     "run_history": V("SELECT run_id, string_agg(step_type, ' > ' ORDER BY step_no, step_type) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY step_no DESC, step_type DESC) AS n FROM steps) WHERE n <= 5 GROUP BY 1", "steps"),
-    "miss_mode": '''WITH e AS (SELECT user_id AS conversation_id, event_id AS "at", event_type IN ('view', 'click') AND event_id % 9 <> 0 AS hit, event_type NOT IN ('view', 'click') AND event_id % 9 <> 0 AS miss, event_type IN ('view', 'click') AS given, event_id % 9 = 0 AS bypass FROM events), i AS (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY conversation_id ORDER BY "at") AS isl FROM e), m AS (SELECT *, sum(CAST(miss AS INT)) OVER (PARTITION BY conversation_id, isl ORDER BY "at") AS run FROM i), o AS (SELECT *, max(CAST(run >= 3 AS INT)) OVER (PARTITION BY conversation_id ORDER BY "at") = 1 AS turned, max(CAST(miss AS INT)) OVER (PARTITION BY conversation_id ORDER BY "at") = 1 AS missed FROM m) SELECT conversation_id, "at", given AS hit, bypass, CAST(CASE WHEN turned THEN 0 ELSE run END AS BIGINT) AS misses, CASE WHEN turned THEN 'on' WHEN missed THEN 'ask_pending' ELSE 'off' END AS mode FROM o''',
+    "miss_mode": '''WITH e AS (SELECT user_id AS conversation_id, event_id AS "at", event_type IN ('view', 'click') AS hit, event_type NOT IN ('view', 'click') AND event_id % 9 <> 0 AS miss, event_type IN ('view', 'click') AS given, event_id % 9 = 0 AS bypass FROM events), i AS (SELECT *, sum(CAST(hit AS INT)) OVER (PARTITION BY conversation_id ORDER BY "at") AS isl FROM e), m AS (SELECT *, sum(CAST(miss AS INT)) OVER (PARTITION BY conversation_id, isl ORDER BY "at") AS run FROM i), o AS (SELECT *, max(CAST(run >= 3 AS INT)) OVER (PARTITION BY conversation_id ORDER BY "at") = 1 AS turned, max(CAST(miss AS INT)) OVER (PARTITION BY conversation_id ORDER BY "at") = 1 AS missed FROM m) SELECT conversation_id, "at", given AS hit, bypass, CAST(CASE WHEN turned THEN 0 ELSE run END AS BIGINT) AS misses, CASE WHEN turned THEN 'on' WHEN missed THEN 'ask_pending' ELSE 'off' END AS mode FROM o''',
     "counters_daily_stream": "SELECT CAST(ts AS DATE) AS day, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1",
     "receipts_stream": "SELECT DISTINCT user_id || ':' || event_type AS message_key FROM events",
 }

@@ -76,7 +76,10 @@ def serp_pagination(spark, d):
 
 
 def response_formats(spark, d):
-    return events(spark, d).select("event_id", P.response_format(pick(FORMATS, F.col("event_id")), pick(ACCEPTS, F.col("event_id"))).alias("format"))
+    """Formats asked for in the properties of events, an Accept header by their kind."""
+    asked = pick(FORMATS, F.length("props"))
+    r = P.response_format(asked, pick(ACCEPTS, F.length("event_type")))
+    return events(spark, d).select("event_id", r.alias("r")).select("event_id", "r.format", "r.error")
 
 
 def degrade_modes(spark, d):
@@ -101,13 +104,17 @@ def query_keys(spark, d):
 
 
 def masked_proxies(spark, d):
-    url = F.concat(pick(["http://u:p@", "socks5://name@", "https://"], F.col("c_custkey")), F.lit("h"), F.col("c_custkey"), F.lit(".e.org/a@b"))
-    return M.table(spark, d, "customer").select("c_custkey", U.mask_credentials(url).alias("url"))
+    """Error texts that hold addresses with and without credentials, some of which no proxy has."""
+    url = F.concat(pick(["http://u:p@", "SOCKS5://name@", "https://", "ftp://u:p@"], F.col("c_custkey")), F.lower("c_mktsegment"), F.lit(".e.org:80/a"), pick(["", ").", "?x=1;"], F.length("c_name")))
+    return M.table(spark, d, "customer").select("c_custkey", U.mask_credentials(F.concat(F.lit("dial "), url, F.lit(" failed"))).alias("detail"))
 
 
 def display_names(spark, d):
-    title = F.concat(F.lit("a/b/"), "source")
-    return M.table(spark, d, "documents").select("doc_id", T.display_name(title, pick(SOURCES, F.col("doc_id"))).alias("name"))
+    """Documents by title, else file name, else unknown; kinds of source by language."""
+    title = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("a/b/"), "source"))
+    name = F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("/files/"), "source", F.lit(".md")))
+    kind = F.when(F.col("lang") == "en", "feishu").when(F.col("lang") == "de", "google_drive").when(F.col("lang") == "fr", "")
+    return M.table(spark, d, "documents").select("doc_id", T.display_name(kind, title, name).alias("name"))
 
 
 def chunk_policies(spark, d):
@@ -173,13 +180,14 @@ def bound_images(spark, d):
     return B.bind_images(chunks, uploads)
 
 
+#: Words that name departments, one that names two, and none.
+NAMING = ["系统 down", "请假", "报销 and 销售", "合同", "weather", "产品 教程"]
+
+
 def base_routes(spark, d):
-    """Customers' comments as queries; nations as bases named by their words, listed backwards."""
-    nation = M.table(spark, d, "nation")
-    bases = nation.select(F.col("n_nationkey").alias("kb_id"), F.when(F.col("n_nationkey") < 5, F.col("n_nationkey")).alias("department_id"), F.upper("n_name").alias("keyword"), (-F.col("n_nationkey")).alias("place"))
-    named = nation.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("about "), F.lower("n_name"), F.lit(" and more"))).otherwise(F.lit("about nothing"))
-    asked = M.table(spark, d, "customer").join(named, "c_nationkey").select(F.col("c_custkey").alias("query_id"), text.alias("text"), (F.col("c_custkey") % 10).alias("department_id"))
+    """Turns of conversations, each with a word, as questions; nations as bases listed backwards, some of the departments without one."""
+    bases = M.table(spark, d, "nation").select(F.col("n_nationkey").alias("kb_id"), F.when(F.col("n_nationkey") < 5, F.col("n_nationkey")).alias("department_id"), pick(["tech", "hr", "product", None], F.col("n_nationkey")).alias("department_code"), (-F.col("n_nationkey")).alias("place"))
+    asked = M.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.concat_ws(" ", F.col("text"), pick(NAMING, F.length("text"))).alias("text"), (F.length("text") % 10).cast("bigint").alias("department_id"))
     return rules.base_route(asked, bases)
 
 
@@ -228,13 +236,13 @@ ORACLE_SQL = {
     "consents": f"SELECT event_id, NOT ({NO}) AND ({YES}) AS agrees FROM (SELECT event_id, lower(trim({sql_pick(ANSWERS, E)})) AS t FROM events)",
     "search_errors": f"SELECT event_id, CAST(coalesce(status, 502) AS INT) AS status, coalesce(code, 'engine_internal') AS code FROM (SELECT event_id, {sql_pick(ERRORS, E)} AS kind FROM events) LEFT JOIN (VALUES {CODES}) c(kind, status, code) USING (kind)",
     "serp_pagination": V("SELECT query_id, engine, CAST(start // lim + 1 AS BIGINT) AS page, n >= lim AS has_more, CAST(start + lim AS BIGINT) AS next_start FROM (SELECT query_id, engine, count(*) AS n, query_id % 5 * 10 AS start, CASE WHEN query_id % 4 = 0 THEN 25 ELSE query_id % 4 * 10 END AS lim FROM serp GROUP BY ALL)", "serp"),
-    "response_formats": f"SELECT event_id, CASE WHEN f IN ('json', 'markdown', 'text', 'ndjson') THEN f WHEN f = 'md' THEN 'markdown' WHEN contains(a, 'text/markdown') THEN 'markdown' WHEN contains(a, 'ndjson') THEN 'ndjson' WHEN contains(a, 'text/plain') THEN 'text' ELSE 'json' END AS format FROM (SELECT event_id, lower(coalesce({sql_pick(FORMATS, E)}, '')) AS f, coalesce({sql_pick(ACCEPTS, E)}, '') AS a FROM events)",
+    "response_formats": f"SELECT event_id, CASE WHEN r IN ('json', 'markdown', 'text', 'ndjson') THEN r END AS format, CASE WHEN r NOT IN ('json', 'markdown', 'text', 'ndjson') THEN 'UNKNOWN_FORMAT' END AS error FROM (SELECT event_id, CASE WHEN f <> '' THEN f WHEN contains(a, 'text/markdown') THEN 'markdown' WHEN contains(a, 'text/plain') THEN 'text' WHEN contains(a, 'application/x-ndjson') THEN 'ndjson' ELSE 'json' END AS r FROM (SELECT event_id, trim(lower(coalesce({sql_pick(FORMATS, 'length(props)')}, ''))) AS f, lower(coalesce({sql_pick(ACCEPTS, 'length(event_type)')}, '')) AS a FROM events))",
     "degrade_modes": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'both_failed' WHEN event_id % 2 = 0 THEN 'bm25_only' WHEN event_id % 3 = 0 THEN 'vector_only' ELSE 'none' END AS mode FROM events",
     "sigmoids": "SELECT event_id, round(1 / (1 + exp(-CAST(least(500, greatest(-500, event_id % 2001 - 1000)) AS DOUBLE))), 9) AS score FROM events",
     "cosine_of_neighbours": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "query_keys": "SELECT item_id, query_key, sha256(query_key || '|baidu,bing') AS mega_key FROM (SELECT item_id, md5(lower(trim(concat_ws('|', text, CASE WHEN item_id % 2 = 0 THEN 'e.org' ELSE '' END, '', 'de', '')))) AS query_key FROM benchmark)",
-    "masked_proxies": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'http://***@' WHEN 1 THEN 'socks5://***@' ELSE 'https://' END || 'h' || c_custkey || '.e.org/a@b' AS url FROM customer",
-    "display_names": f"SELECT doc_id, CASE WHEN k IS NULL OR k IN ('', 'local', 'upload') THEN source ELSE k || ': ' || source END AS name FROM (SELECT doc_id, source, {sql_pick(SOURCES, 'doc_id')} AS k FROM documents)",
+    "masked_proxies": "SELECT c_custkey, 'dial ' || CASE c_custkey % 4 WHEN 0 THEN 'http://' || h || t WHEN 1 THEN 'socks5://' || h || t WHEN 2 THEN 'https://' || h || p || q ELSE 'invalid-proxy' || t END || ' failed' AS detail FROM (SELECT c_custkey, lower(c_mktsegment) || '.e.org:80' AS h, '/a' AS p, (['', ').', '?x=1;'])[length(c_name) % 3 + 1] AS q, (['', ').', ';'])[length(c_name) % 3 + 1] AS t FROM customer)",
+    "display_names": "SELECT doc_id, CASE lang WHEN 'en' THEN '飞书文档-' WHEN 'de' THEN 'Google Drive-' ELSE '知识库-' END || CASE WHEN n_chars % 3 = 0 THEN source WHEN n_chars % 2 = 0 THEN source || '.md' ELSE '未知文档' END AS name FROM documents",
     "chunk_policies": f"SELECT doc_id, CASE WHEN k = 'md' THEN {CONFIG.chunk_md} WHEN k IN ('png', 'jpeg', 'gif') THEN {CONFIG.chunk_image} WHEN k = 'docx' THEN {CONFIG.chunk_word} ELSE {CONFIG.chunk_other} END AS size, CASE WHEN k IN ('md', 'docx') THEN 100 ELSE 50 END AS overlap, CASE WHEN k = 'md' THEN 'md_structured' WHEN k IN ('png', 'jpeg', 'gif') THEN 'image_vision' WHEN k = 'docx' THEN 'word_structured' ELSE 'recursive' END AS kind FROM (SELECT doc_id, {sql_pick(KINDS, 'doc_id')} AS k FROM documents)",
     "embedding_texts": V("SELECT chunk_id, md5(CASE chunk_id % 4 WHEN 0 THEN '图片内容检索文本：' WHEN 1 THEN 'Markdown文档片段：' WHEN 2 THEN 'Word文档片段：' ELSE '' END || trim(content)) AS text_md5 FROM chunks", "chunks"),
     "header_split": f"SELECT doc_id, CAST(len(ps) AS BIGINT) AS parts, md5(array_to_string(ps, '|')) AS parts_md5 FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || '# '), chr(10) || '# '), lambda x, i: regexp_replace(CASE WHEN i > 1 THEN '# ' ELSE '' END || x, {EDGE}, '', 'g')), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL)",
@@ -250,7 +258,7 @@ ORACLE_SQL = {
     "coalesced_requests": V("SELECT engine, query_id AS query, count(*) AS requests FROM attempts GROUP BY ALL", "attempts"),
     "proxy_stats": "WITH p AS (SELECT c_custkey % 5 AS f, CASE c_custkey % 4 WHEN 0 THEN ['eu', 'fast'] WHEN 1 THEN ['us'] ELSE [] END AS tags FROM customer), t AS (SELECT f, unnest(tags) AS tag FROM p UNION ALL SELECT f, NULL FROM p) SELECT tag, count(*) AS configured, count(*) FILTER (f < 3) AS healthy, count(*) FILTER (f >= 3) AS unhealthy FROM t GROUP BY 1",
     "bound_images": V("SELECT document_id, chunk_id AS segment_id, min(d.doc_id) AS attachment_id FROM chunks JOIN documents d ON d.doc_id - d.doc_id % 2 = document_id WHERE document_id % 3 = 0 GROUP BY ALL", "chunks"),
-    "base_routes": "SELECT c_custkey AS query_id, CASE WHEN c_custkey % 10 < 5 THEN c_custkey % 10 WHEN c_custkey % 3 = 0 THEN (SELECT max(x.n_nationkey) FROM nation x WHERE contains(lower(n.n_name), lower(x.n_name))) ELSE (SELECT max(n_nationkey) FROM nation) END AS kb_id FROM customer JOIN nation n ON n_nationkey = c_nationkey",
+    "base_routes": f"WITH q AS (SELECT conv_id * 1000 + turn AS query_id, text || ' ' || {sql_pick(NAMING, 'length(text)')} AS t, length(text) % 10 AS dep FROM conversations), b AS (SELECT n_nationkey AS kb, (['tech', 'hr', 'product', NULL])[n_nationkey % 4 + 1] AS code FROM nation) SELECT query_id, CASE WHEN dep < 5 THEN dep WHEN regexp_matches(t, '技术|代码|编程|开发|系统|软件') THEN (SELECT max(kb) FROM b WHERE code = 'tech') WHEN regexp_matches(t, '制度|请假|报销|薪资|人事|员工') THEN (SELECT max(kb) FROM b WHERE code = 'hr') WHEN regexp_matches(t, '产品|功能|使用|教程') THEN (SELECT max(kb) FROM b WHERE code = 'product') ELSE (SELECT max(kb) FROM b) END AS kb_id FROM q",
     "image_links": "SELECT page_id, url, 'https://e.org/' || page_id AS page, CAST(CASE WHEN page_id % 2 = 0 THEN page_id % 900 END AS INT) AS width, CAST(CASE WHEN page_id % 2 = 0 THEN 20 END AS INT) AS height FROM pages",
     "stage_counts": V("SELECT query_id, count(*) AS found, count(*) FILTER (rank <= 3) AS top, count(*) FILTER (ad) AS ads FROM serp GROUP BY 1", "serp"),
     "error_kinds": f"SELECT page_id, kind, kind NOT IN ('auth', 'permission', 'validation', 'not_found') AS retryable FROM (SELECT page_id, {sql_class('m')} AS kind FROM (SELECT page_id, lower({KIND_TEXT} || url) AS m FROM pages))",

@@ -54,8 +54,11 @@ def resolved_engines(spark, d):
 
 
 def checked_requests(spark, d):
-    limit, start = F.when(F.col(ID) % 5 > 0, F.col(ID) % 104 - 1), F.when(F.col(ID) % 3 > 0, F.col(ID) % 9 - 4)
-    return events(spark, d).select(ID, P.check_request(limit, start, pick(["a", "", None, "b", "c"], F.col(ID))).alias("error"))
+    """Documents as requests: their texts, sites by language, limits and starts by length."""
+    n = F.col("n_chars")
+    limit, start = F.when(n % 5 > 0, n % 104 - 1), F.when(n % 3 > 0, n % 9 - 4)
+    text = F.when(n % 2 == 0, F.col("text")).otherwise("")
+    return M.table(spark, d, "documents").select("doc_id", P.check_request(limit, start, text, F.when(F.col("lang") == "en", "e.org"), F.when(F.col("lang") == "de", "pdf")).alias("error"))
 
 
 def cache_keys(spark, d):
@@ -101,19 +104,23 @@ def image_addresses(spark, d):
 
 def image_details(spark, d):
     n = F.col("page_id")
-    forms = [F.concat(F.lit("Height:"), n, F.lit(", Width:"), n + 1, F.lit(", Source page: "), "url", F.lit(", thumb_url: "), "url"), F.concat(n, F.lit(" x "), n + 2), F.concat(F.lit("Source: "), "url"), F.lit("Source page: ftp://e.org, thumb_url: x")]
-    return M.table(spark, d, "pages").select("page_id", P.image_description(F.element_at(F.array(*forms), (n % 4 + 1).cast("int"))).alias("i")).select("page_id", "i.*")
+    forms = [
+        F.concat(F.lit("Height: "), n, F.lit(", Width:"), n + 1, F.lit(", Source page: "), "url", F.lit(", thumb_url: "), "url"), F.concat(n, F.lit(" x "), n + 2), F.concat(F.lit("Source: "), "url"), F.lit("Source page: ftp://e.org, thumb_url: x"),
+        F.concat(F.lit("a "), n, F.lit("X"), n + 2, F.lit(" photo")), F.concat(F.lit("height "), n, F.lit(", width "), n), F.concat(F.lit("wide 7x"), n, F.lit("px")),
+    ]
+    return M.table(spark, d, "pages").select("page_id", P.image_description(F.element_at(F.array(*forms), (n % 7 + 1).cast("int"))).alias("i")).select("page_id", "i.*")
 
 
 def platform_messages(spark, d):
-    """Events as messages of four platforms."""
-    sql = lambda s: F.expr(s)
+    """Turns of conversations as messages of three platforms and an unknown one, some of feishu's with a text that is no JSON."""
     forms = [
-        sql("to_json(named_struct('event', named_struct('message', named_struct('message_id', string(event_id), 'content', to_json(named_struct('text', event_type))), 'sender', named_struct('sender_id', named_struct('open_id', string(user_id))))))"),
-        sql("to_json(named_struct('MsgId', event_id, 'FromUserName', string(user_id), 'Content', event_type))"), sql("to_json(named_struct('id', event_id, 'author', named_struct('id', user_id), 'content', event_type))"), F.lit("{}"),
+        "to_json(named_struct('event', named_struct('message', named_struct('message_id', concat('m', turn), 'chat_id', string(conv_id), 'create_time', string(turn * 1500 + 1000), 'content', if(turn % 3 = 0, text, to_json(named_struct('text', concat(' ', text, ' '))))), 'sender', named_struct('sender_id', if(turn % 2 = 0, named_struct('open_id', role, 'user_id', 'x'), named_struct('open_id', '', 'user_id', role))))))",
+        "to_json(named_struct('MsgId', concat('m', turn), 'FromUserName', role, 'ToUserName', string(conv_id), 'Content', text, 'CreateTime', turn + 5))", "to_json(named_struct('id', concat('m', turn), 'user_id', role, 'channel_id', string(conv_id), 'content', text, 'timestamp', string(turn + 7)))", "'{}'",
     ]
-    raw = F.element_at(F.array(*forms), (F.col(ID) % 4 + 1).cast("int"))
-    return events(spark, d).select(ID, S.platform_message(raw, pick(["feishu", "wecom", "qq", "other"], F.col(ID))).alias("m")).select(ID, "m.*")
+    at = F.col("conv_id") % 4
+    raw = F.element_at(F.array(*[F.expr(f) for f in forms]), (at + 1).cast("int"))
+    m = S.platform_message(raw, pick(["feishu", "wechat", "qq", "other"], F.col("conv_id")))
+    return M.table(spark, d, "conversations").select("conv_id", "turn", m.alias("m")).select("conv_id", "turn", "m.message_id", "m.user_id", "m.conversation_id", F.md5("m.text").alias("text_md5"), "m.at")
 
 
 def drive_ids(spark, d):
@@ -123,14 +130,23 @@ def drive_ids(spark, d):
 
 
 def longer_texts(spark, d):
-    raw, ocr = F.substr("text", F.lit(1), (F.col("doc_id") % 90).cast("int")), F.substr("text", F.lit(3), (F.col("doc_id") % 70 + 20).cast("int"))
-    return M.table(spark, d, "documents").select("doc_id", F.md5(S.longer_text(raw, ocr)).alias("text_md5"))
+    """Each text beside that of the document before it, as text layer and OCR."""
+    docs = M.table(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
+    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("ocr"))
+    return docs.join(before, "doc_id").select("doc_id", F.md5(S.longer_text(F.col("text"), F.col("ocr"), least=1000)).alias("text_md5"))
 
 
 def block_markdown(spark, d):
-    kinds = ["bullet", "ordered", "code", "quote", "heading"]
-    blocks = M.chunks(spark, d).select(F.col("document_id").alias("doc_id"), F.col("sequence_no").alias("at"), pick(kinds, F.col("sequence_no")).alias("kind"), F.col("content").alias("text"))
-    return S.block_lines(blocks).select("doc_id", F.md5("markdown").alias("markdown_md5"))
+    """Documents whose lines are blocks of a JSON list, in nine kinds by place, two of them tables of the line and the document."""
+    run = "named_struct('elements', array(named_struct('text_run', named_struct('content', concat(content, ' '))), named_struct('text_run', named_struct('content', 'z '))))"
+    kinds = {2: "text", 3: "heading1", 8: "heading6", 12: "bullet", 13: "ordered", 14: "code", 19: "quote"}
+    blocks = [f"to_json(named_struct('block_type', {n}, '{name}', {run}))" for n, name in kinds.items()]
+    blocks.append("to_json(named_struct('block_type', 31, 'table', named_struct('rows', array(array(content, 'b'), array(title)))))")
+    blocks.append("to_json(named_struct('block_type', 31, 'table', named_struct('cells', array(named_struct('text', content, 'row', 2, 'col_span', 2), named_struct('text', title, 'row', 0, 'col_span', 1), named_struct('text', '', 'row', 0, 'col_span', 1)))))")
+    one = F.element_at(F.array(*[F.expr(b) for b in blocks], F.lit('{"block_type": 99}')), (F.col("sequence_no") % 10 + 1).cast("int"))
+    rows = M.chunks(spark, d).select("document_id", "sequence_no", one.alias("block")).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("sequence_no", "block"))).alias("b"))
+    docs = rows.select(F.col("document_id").alias("doc_id"), F.concat(F.lit("["), F.array_join(F.transform("b", lambda x: x["block"]), ","), F.lit("]")).alias("blocks"))
+    return S.document_markdown(docs).select("doc_id", F.md5("markdown").alias("markdown_md5"))
 
 
 def search_trend_kept(spark, d):
@@ -169,17 +185,17 @@ ORACLE_SQL = {
     "intents": f"SELECT event_id, CASE WHEN event_id % 6 = 4 OR name = 'small_talk' THEN 'knowledge_query' ELSE name END AS intent, CASE WHEN event_id % 6 < 4 AND event_id % 7 > 2 THEN event_id % 7 - 2 END AS kb_index FROM (SELECT event_id, {sql_pick(INTENT_NAMES, '(event_id // 6)')} AS name FROM events)",
     "result_types": f"""SELECT event_id, CASE WHEN known THEN k ELSE 'organic' END AS type, CASE WHEN known THEN '' ELSE 'unknown result type "' || replace(k, '"', chr(92) || '"') || '", defaulting to organic' END AS warning FROM (SELECT event_id, k, k IN ({", ".join(repr(x) for x in P.RESULT_TYPES)}) AS known FROM (SELECT event_id, coalesce({sql_pick(KINDS, ID)}, '') AS k FROM events))""",
     "resolved_engines": f"WITH n AS (SELECT event_id, i, lower(trim(CASE i WHEN 1 THEN {sql_pick(NAMES, ID)} WHEN 2 THEN {sql_pick(NAMES, '(event_id // 10)')} ELSE {sql_pick(NAMES, '(event_id // 100)')} END)) AS e FROM events, range(1, 4) r(i)), k AS (SELECT event_id, min(i) AS i, CASE WHEN e IN ('ddg', 'duck') THEN 'duckduckgo' ELSE e END AS e FROM n GROUP BY event_id, 3), j AS (SELECT event_id, string_agg(e, ',' ORDER BY i) AS s FROM k WHERE e IN ({', '.join(repr(x) for x in P.ENGINES)}) GROUP BY 1) SELECT event_id, coalesce(s, '') AS engines FROM events LEFT JOIN j USING (event_id)",
-    "checked_requests": "SELECT event_id, CASE WHEN event_id % 5 IN (1, 2) THEN 'empty_query' WHEN event_id % 5 > 0 AND event_id % 104 - 1 NOT BETWEEN 1 AND 100 THEN 'bad_limit' WHEN event_id % 3 > 0 AND event_id % 9 < 4 THEN 'bad_start' END AS error FROM events",
+    "checked_requests": "SELECT doc_id, CASE WHEN n_chars % 5 > 0 AND n_chars % 104 - 1 NOT BETWEEN 1 AND 100 THEN 'bad_limit' WHEN n_chars % 3 > 0 AND n_chars % 9 < 4 THEN 'bad_start' WHEN (n_chars % 2 <> 0 OR coalesce(text, '') = '') AND coalesce(lang NOT IN ('en', 'de'), true) THEN 'empty_query' END AS error FROM documents",
     "cache_keys": f"SELECT event_id, sha256(concat_ws('|', {sql_pick(list(P.ENGINES), ID)}, 'search', event_type, lang, '', 'pdf', '', event_id % 4 * 10, user_id, event_id % 2 = 0, false, CASE WHEN event_id % 3 = 0 THEN 'us' ELSE lower(trim(lang)) END, CASE WHEN event_id % 2 = 1 THEN 'residential' ELSE '' END, '')) AS cache_key, event_id % 4 = 1 AND event_id % 3 <> 0 AND event_id % 2 = 0 AS bypass FROM (SELECT *, {sql_pick(['EN', '', 'de '], '(event_id // 3)')} AS lang FROM events)",
     "serp_cluster_order": V(f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, best_rank, cluster_id) AS at, cluster_id, domain, occurrences FROM (SELECT query_id, 'c_' || substring(md5(norm), 1, 16) AS cluster_id, {HOST.format('arg_min(url, (rank, engine))')} AS domain, floor(least(1.0::DOUBLE, CAST(sum(CAST(round(1.0::DOUBLE / rank, 9) AS DECIMAL(20, 9))) AS DOUBLE) / 6) * 100 + 0.5) AS score, min(rank) AS best_rank, string_agg(engine || ':' || rank || ':s_' || substring(md5(engine || '|' || norm), 1, 16), ',' ORDER BY engine, rank) AS occurrences FROM (SELECT *, {norm('url')} AS norm FROM serp) GROUP BY query_id, norm)", "serp"),
     "proxies_in_turn": "WITH p AS (SELECT 't' || s_suppkey % 4 AS tag, list('http://h' || s_suppkey ORDER BY 'http://h' || s_suppkey) AS urls FROM supplier WHERE s_suppkey % 5 < 3 GROUP BY 1), r AS (SELECT event_id, 't' || event_id % 5 AS tag, row_number() OVER (PARTITION BY event_id % 5 ORDER BY ts, event_id) - 1 AS turn FROM events) SELECT event_id AS request_id, tag, urls[turn % len(urls) + 1] AS url FROM r LEFT JOIN p USING (tag)",
     "cached_requests": f"WITH RECURSIVE o AS (SELECT event_type AS engine, user_id AS query, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS k FROM events), f AS (SELECT engine, query, k, us AS last, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.engine, o.query, o.k, CASE WHEN o.us - f.last < {TTL * 1_000_000} THEN f.last ELSE o.us END, o.us - f.last < {TTL * 1_000_000} FROM f JOIN o ON o.engine = f.engine AND o.query = f.query AND o.k = f.k + 1) SELECT engine, query, count(*) AS requests, count(*) FILTER (hit) AS hits FROM f GROUP BY ALL",
     "bucket_waits": f"WITH o AS (SELECT user_id % 50 AS engine, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts) AS k FROM events), w AS (SELECT engine, greatest(max(us - k * {REFILL}) OVER (PARTITION BY engine ORDER BY k) + (k + 1 - {BURST}) * {REFILL} - us, 0) AS wait FROM o) SELECT engine, count(*) AS requests, count(*) FILTER (wait > 0) AS waited, round(max(wait) / 1000000.0::DOUBLE, 3) AS longest FROM w GROUP BY 1",
     "image_addresses": f"SELECT page_id, CASE page_id % 6 {IMAGE_SQL} END AS address FROM (SELECT page_id, page_id % 3 * 20 AS s FROM pages)",
-    "image_details": "SELECT page_id, CASE WHEN page_id % 4 IN (0, 2) THEN url ELSE '' END AS page, CASE WHEN page_id % 4 = 0 THEN url ELSE '' END AS thumb, CAST(CASE page_id % 4 WHEN 0 THEN page_id + 1 WHEN 1 THEN page_id ELSE 0 END AS INT) AS width, CAST(CASE page_id % 4 WHEN 0 THEN page_id WHEN 1 THEN page_id + 2 ELSE 0 END AS INT) AS height FROM pages",
-    "platform_messages": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(event_id AS VARCHAR) ELSE '' END AS message_id, CASE WHEN event_id % 4 < 3 THEN CAST(user_id AS VARCHAR) ELSE '' END AS user_id, CASE WHEN event_id % 4 < 3 THEN event_type ELSE '' END AS text FROM events",
+    "image_details": "SELECT page_id, CASE WHEN page_id % 7 IN (0, 2) THEN url ELSE '' END AS page, CASE WHEN page_id % 7 = 0 THEN url ELSE '' END AS thumb, CAST(CASE page_id % 7 WHEN 0 THEN page_id + 1 WHEN 4 THEN page_id ELSE 0 END AS INT) AS width, CAST(CASE page_id % 7 WHEN 0 THEN page_id WHEN 4 THEN page_id + 2 ELSE 0 END AS INT) AS height FROM pages",
+    "platform_messages": "SELECT conv_id, turn, CASE WHEN conv_id % 4 < 3 THEN 'm' || turn ELSE '' END AS message_id, CASE WHEN conv_id % 4 < 3 THEN role ELSE '' END AS user_id, CASE WHEN conv_id % 4 < 3 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS conversation_id, md5(CASE WHEN conv_id % 4 = 3 OR (conv_id % 4 = 0 AND turn % 3 = 0) THEN '' ELSE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) END) AS text_md5, CASE conv_id % 4 WHEN 0 THEN (turn * 1500 + 1000) // 1000 WHEN 1 THEN turn + 5 WHEN 2 THEN turn + 7 END AS at FROM conversations",
     "drive_ids": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'A_' || page_id || '-x' WHEN 1 THEN 'B' || page_id ELSE coalesce(nullif(regexp_extract(url, '/d/([A-Za-z0-9_-]+)', 1), ''), nullif(regexp_extract(url, '[?&]id=([A-Za-z0-9_-]+)', 1), '')) END AS file_id FROM pages",
-    "longer_texts": "SELECT doc_id, md5(CASE WHEN length(trim(raw)) < 50 AND length(trim(ocr)) > length(trim(raw)) THEN ocr ELSE raw END) AS text_md5 FROM (SELECT doc_id, substring(text, 1, doc_id % 90) AS raw, substring(text, 3, doc_id % 70 + 20) AS ocr FROM documents)",
-    "block_markdown": V("SELECT document_id AS doc_id, md5(string_agg(CASE sequence_no % 5 WHEN 0 THEN '- ' WHEN 1 THEN '1. ' WHEN 2 THEN '```' || chr(10) WHEN 3 THEN '> ' ELSE '' END || trim(content) || CASE WHEN sequence_no % 5 = 2 THEN chr(10) || '```' ELSE '' END, chr(10) ORDER BY sequence_no)) AS markdown_md5 FROM chunks WHERE trim(content) <> '' GROUP BY 1", "chunks"),
+    "longer_texts": "SELECT a.doc_id, md5(CASE WHEN length(trim(a.text)) < 1000 AND length(trim(b.text)) > length(trim(a.text)) THEN b.text ELSE a.text END) AS text_md5 FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1",
+    "block_markdown": V("SELECT document_id AS doc_id, md5(coalesce(string_agg(CASE sequence_no % 10 WHEN 0 THEN t WHEN 1 THEN t WHEN 2 THEN t WHEN 3 THEN '- ' || t WHEN 4 THEN '1. ' || t WHEN 5 THEN '```text' || chr(10) || t || chr(10) || '```' WHEN 6 THEN '> ' || t WHEN 7 THEN '| ' || trim(content) || ' | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || trim(title) || ' |  |' WHEN 8 THEN '[复杂表格展开]' || chr(10) || '- R3C1 (合并 1x2): ' || trim(content) || CASE WHEN trim(title) <> '' THEN chr(10) || '- R1C1: ' || trim(title) ELSE '' END END, chr(10) ORDER BY sequence_no), '')) AS markdown_md5 FROM (SELECT *, trim(content) || ' z' AS t FROM (SELECT document_id, sequence_no, content, coalesce(title, '') AS title FROM chunks)) GROUP BY 1", "chunks"),
     "search_trend_kept": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE CAST(ts AS DATE) > DATE '2024-02-20' - 35 AND CAST(ts AS DATE) <= DATE '2024-02-20' GROUP BY 1",
 }

@@ -53,8 +53,10 @@ def serp_markdown(spark, d):
 
 
 def serp_text(spark, d):
-    rows = P.enrich(P.dedup(M.serp(spark, d)).drop("at", "normalized")).join(P.dedup(M.serp(spark, d)).select("query_id", "engine", "url", "at"), ["query_id", "engine", "url"])
-    return P.render(rows, "text").select("query_id", F.md5("body").alias("body_md5"))
+    rows = placed(spark, d).withColumn("snippet", F.when(F.col("at") % 2 == 0, F.concat(F.lit("found by "), "engine")))
+    heads = M.serp(spark, d).groupBy("query_id").agg(F.array_sort(F.collect_set("engine")).alias("engines")).withColumn("text", F.concat(F.lit("q "), F.col("query_id").cast("string")))
+    heads = heads.withColumn("failed", F.when(F.col("query_id") % 2 == 0, F.array(F.lit("bing"), F.lit("baidu"))).otherwise(F.array().cast("array<string>")))
+    return P.render_text(rows, heads).select("query_id", F.md5("body").alias("body_md5"))
 
 
 def content_type_classify(spark, d):
@@ -115,11 +117,11 @@ ORACLE_SQL = {
         "SELECT query_id, md5('# Search results for \"say \\\"' || query_id || '\\\"\"' || chr(10) || chr(10) || '**Query:** say \"' || query_id || '\" · **Engines:** ' || engines || ' · **Took:** ' || query_id * 7 || 'ms' || chr(10) || chr(10) || CASE WHEN query_id % 2 = 0 THEN '> ⚠️ Engines that failed: bing, baidu' || chr(10) || chr(10) ELSE '' END || results) AS body_md5 FROM h JOIN r USING (query_id)",
         "serp",
     ),
-    "serp_text": V(f"WITH f AS ({FIRST}) SELECT query_id, md5(string_agg('[' || nr || '] ' || title || ' (' || {HOST.format('url')} || ')' || chr(10) || 'URL: ' || url || chr(10), chr(10) ORDER BY nr)) AS body_md5 FROM f GROUP BY 1", "serp"),
+    "serp_text": V(f"WITH f AS ({FIRST}), r AS (SELECT query_id, string_agg('[' || nr || '] ' || title || ' (' || {HOST.format('url')} || ')' || chr(10) || CASE WHEN nr % 2 = 0 THEN 'found by ' || engine || chr(10) ELSE '' END || 'URL: ' || url || chr(10) || chr(10), '' ORDER BY nr) AS results FROM f GROUP BY 1), h AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT engine)), ', ') AS engines FROM serp GROUP BY 1) SELECT query_id, md5('Search: q ' || query_id || chr(10) || 'Engines: ' || engines || chr(10) || CASE WHEN query_id % 2 = 0 THEN 'Failed: bing, baidu' || chr(10) ELSE '' END || chr(10) || results) AS body_md5 FROM h JOIN r USING (query_id)", "serp"),
     "url_normalize": f"SELECT page_id, regexp_replace({norm("regexp_replace(url, '#.*$', '')", "['b=2', 'a=1']")}, '^http:', CASE WHEN page_id % 2 = 0 THEN 'https:' ELSE 'http:' END) AS normalized, {HOST.format('url')} AS domain FROM pages",
     "serp_enrich": V(f"WITH s AS (SELECT *, {norm('url')} AS norm, {HOST.format('url')} AS h FROM serp) SELECT query_id, engine, rank, 's_' || substring(md5(engine || '|' || norm), 1, 16) AS result_id, h AS domain, CASE WHEN ad THEN 'ad' ELSE 'organic' END AS type, CAST(2 AS BIGINT) AS page, CASE WHEN rank > 10 THEN rank ELSE rank + 10 END AS absolute, CASE WHEN rank > 10 THEN rank - 10 ELSE rank END AS on_page, {KIND.format('lower(url)')} AS content_type, {HINTS} AS source_hint FROM s", "serp"),
     "serp_dedup": V(f"SELECT query_id, engine, rank, url, row_number() OVER (PARTITION BY query_id ORDER BY rank, engine, url) AS at FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {norm('url')} ORDER BY CAST(rank <= 0 AS INT), rank, engine, url) AS n FROM serp) WHERE n = 1", "serp"),
-    "domain_details": f"WITH h AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {HOST.format('url')} ELSE ([{', '.join(repr(h) for h in HOSTS)}])[(page_id // 2) % {len(HOSTS)} + 1] END AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS p, len(string_split(host, '.')) AS n FROM h), k AS (SELECT *, n > 2 AND p[n - 1] || '.' || p[n] IN ({', '.join(repr(x) for x in P.DOUBLE_SUFFIXES)}) AS dbl FROM l), t AS (SELECT page_id, host, CASE WHEN dbl THEN p[n - 1] || '.' || p[n] ELSE p[n] END AS tld, CASE WHEN n = 1 THEN '' WHEN dbl THEN p[n - 2] ELSE p[n - 1] END AS sld FROM k) SELECT page_id, tld, sld, tld = 'gov' OR starts_with(tld, 'gov.') AS is_gov, tld IN ('edu', 'ac.uk') AS is_edu, tld = 'mil' AS is_mil, {', '.join(f"host IN ({', '.join(repr(x) for x in names)}) AS is_{kind}" for kind, names in (('news', P.NEWS), ('forum', P.FORUMS), ('marketplace', P.MARKETS), ('social', P.SOCIAL)))} FROM t",
+    "domain_details": f"WITH h AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {HOST.format('url')} ELSE ([{', '.join(repr(h) for h in HOSTS)}])[(page_id // 2) % {len(HOSTS)} + 1] END AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS p, len(string_split(host, '.')) AS n FROM h), k AS (SELECT *, n > 2 AND p[n - 1] || '.' || p[n] IN ({', '.join(repr(x) for x in P.DOUBLE_SUFFIXES)}) AS dbl FROM l), t AS (SELECT page_id, host, CASE WHEN dbl THEN p[n - 1] || '.' || p[n] ELSE p[n] END AS tld, CASE WHEN n = 1 THEN '' WHEN dbl THEN p[n - 2] ELSE p[n - 1] END AS sld FROM k) SELECT page_id, tld, sld, (tld = 'gov' OR suffix(host, '.gov')) AS is_gov, (tld IN ('edu', 'ac.uk') OR suffix(host, '.edu') OR suffix(host, '.ac.uk')) AS is_edu, tld = 'mil' AS is_mil, {', '.join(f"host IN ({', '.join(repr(x) for x in names)}) AS is_{kind}" for kind, names in (('news', P.NEWS), ('forum', P.FORUMS), ('marketplace', P.MARKETS), ('social', P.SOCIAL)))} FROM t",
     "serp_clusters": V(f"WITH s AS (SELECT *, {norm('url')} AS norm FROM serp), g AS (SELECT query_id, norm, sum(CAST(round(1.0::DOUBLE / greatest(rank, 1), 9) AS DECIMAL(20, 9))) AS total, count(*) AS engines_count, arg_min(url, (rank, engine)) AS url, arg_min(title, (rank, engine)) AS title, min(rank) AS best_rank FROM s GROUP BY 1, 2) SELECT query_id, 'c_' || substring(md5(norm), 1, 16) AS cluster_id, url, title, floor(least(1.0::DOUBLE, CAST(total AS DOUBLE) / 6) * 100 + 0.5) / 100 AS score, engines_count, best_rank FROM g", "serp"),
     "serp_merge_policy": V("WITH s AS (SELECT *, CASE engine WHEN 'baidu' THEN 1 WHEN 'google' THEN 2 WHEN 'bing' THEN 3 END AS o FROM serp WHERE NOT (engine = 'baidu' AND query_id % 2 = 0)) SELECT query_id, engine, rank, url FROM (SELECT *, min(o) OVER (PARTITION BY query_id) AS f FROM s) WHERE o = f", "serp"),
     "serp_first_url": V("SELECT query_id, engine, rank, url FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank, engine) AS n FROM serp) WHERE n = 1", "serp"),

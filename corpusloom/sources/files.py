@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import EDGES
+
 #: Types that may be uploaded, and the largest size.
 UPLOAD_TYPES = ("pdf", "doc", "docx", "md", "txt", "xlsx", "png", "jpg", "jpeg", "webp")
 UPLOAD_BYTES = 100 * 1024 * 1024
@@ -38,22 +40,91 @@ def drive_id(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"/d/([A-Za-z0-9_-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(url, r"[?&]id=([A-Za-z0-9_-]+)", 1), F.lit("")))
 
 
-def platform_message(raw: Column, platform: Column) -> Column:
-    """struct(message_id, user_id, text) of a platform's JSON message; missing fields are empty."""
-    get = lambda *paths: F.coalesce(*[F.get_json_object(raw, p) for p in paths], F.lit(""))
-    text = get("$.event.message.content", "$.Content", "$.content", "$.text", "$.raw_message")
-    inner = F.get_json_object(text, "$.text")
-    return F.struct(
-        get("$.event.message.message_id", "$.MsgId", "$.message_id", "$.id").alias("message_id"), get("$.event.sender.sender_id.open_id", "$.FromUserName", "$.user_id", "$.author.id").alias("user_id"), F.when(platform == "feishu", F.coalesce(inner, text)).otherwise(text).alias("text")
-    )
+def platform_message(message: Column, platform: Column) -> Column:
+    """struct(message_id, user_id, conversation_id, text, at in seconds) of a JSON message of feishu, wechat or qq; missing fields are empty, a missing time is null.
+
+    A feishu message's text is inside a JSON text of its own and is empty if that is none. Of other platforms all is empty.
+    """
+    return F.get(F.transform(F.array(message), lambda raw: _platform_message(raw, platform)), F.lit(0))  # the message is worked out once
+
+
+def _platform_message(raw: Column, platform: Column) -> Column:
+    def get(*paths: str) -> Column:
+        return F.coalesce(*[F.nullif(F.nullif(F.get_json_object(raw, p), F.lit("")), F.lit("0")) for p in paths], F.lit(""))
+
+    def made(message: Column, user: Column, conversation: Column, text: Column, at: Column) -> Column:
+        return F.struct(message.alias("message_id"), user.alias("user_id"), conversation.alias("conversation_id"), F.regexp_replace(text, EDGES, "").alias("text"), at.alias("at"))
+
+    seconds = lambda *paths: F.nullif(get(*paths), F.lit("")).cast("double").cast("bigint")
+    message = "$.event.message."
+    inner = F.coalesce(F.get_json_object(F.get_json_object(raw, message + "content"), "$.text"), F.lit(""))
+    feishu = made(F.coalesce(F.get_json_object(raw, message + "message_id"), F.lit("")), get("$.event.sender.sender_id.open_id", "$.event.sender.sender_id.user_id"), F.coalesce(F.get_json_object(raw, message + "chat_id"), F.lit("")), inner, F.floor(F.nullif(get(message + "create_time"), F.lit("")).cast("bigint") / 1000))
+    wechat = made(get("$.message_id", "$.MsgId"), get("$.from_user", "$.FromUserName"), get("$.conversation_id", "$.ToUserName"), get("$.content", "$.Content"), seconds("$.timestamp", "$.CreateTime"))
+    qq = made(get("$.message_id", "$.id"), get("$.user_id"), get("$.group_id", "$.channel_id", "$.conversation_id"), get("$.content"), seconds("$.timestamp"))
+    none = made(*[F.lit("")] * 4, F.lit(None).cast("bigint"))
+    return F.when(platform == "feishu", feishu).when(platform == "wechat", wechat).when(platform == "qq", qq).otherwise(none)
+
+
+#: Shape of a document's blocks: texts are runs, a table has rows of cells or cells with places.
+TEXT_SHAPE = "STRUCT<elements: ARRAY<STRUCT<text_run: STRUCT<content: STRING>, mention_user: STRUCT<text: STRING>, mention_doc: STRUCT<text: STRING>, equation: STRUCT<content: STRING>>>>"
+BLOCK_SHAPE = "ARRAY<STRUCT<block_type: INT, " + ", ".join(f"{k}: {TEXT_SHAPE}" for k in ("text", "heading1", "heading2", "heading3", "heading4", "heading5", "heading6", "bullet", "ordered", "code", "quote")) + ", table: STRUCT<rows: ARRAY<ARRAY<STRING>>, cells: ARRAY<STRING>, table_cells: ARRAY<STRING>>>>"
+
+
+def _runs(text: Column) -> Column:
+    """The runs, mentions and equations of a text joined, without spaces around; null for none."""
+    some = lambda e: [F.nullif(e[kind][field], F.lit("")) for kind, field in (("text_run", "content"), ("mention_user", "text"), ("mention_doc", "text"), ("equation", "content"))]
+    runs = F.transform(text["elements"], lambda e: F.coalesce(*some(e), F.lit("")))
+    return F.regexp_replace(F.array_join(runs, ""), EDGES, "")
+
+
+def _grid(rows: Column) -> Column:
+    """Rows of cells as a table, a line of dashes below the first, short rows filled up."""
+    width = F.array_max(F.transform(rows, lambda r: F.coalesce(F.size(r), F.lit(0))))
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    filled = F.transform(rows, lambda r: line(F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.regexp_replace(F.coalesce(F.get(r, i), F.lit("")), EDGES, ""))))
+    dashes = line(F.array_repeat(F.lit("---"), width))
+    return F.when(width > 0, F.array_join(F.concat(F.slice(filled, 1, 1), F.array(dashes), F.slice(filled, F.lit(2), F.size(filled))), "\n"))
+
+
+def _placed(cells: Column) -> Column:
+    """Cells that name their places, one line each; a cell's text may be a text, an object or a list of both."""
+    first = lambda j, *names: F.coalesce(*[F.nullif(F.get_json_object(j, f"$.{n}"), F.lit("")) for n in names], F.lit(""))
+
+    def text(cell: Column) -> Column:
+        value = first(cell, "text", "content", "display", "value")
+        parts = F.transform(F.from_json(value, "ARRAY<STRING>"), lambda v: F.regexp_replace(F.when(v.startswith("{"), first(v, "text", "content", "value")).otherwise(v), EDGES, ""))
+        joined = F.array_join(F.filter(parts, lambda x: x != ""), " ")
+        return F.when(value.startswith("["), joined).when(value.startswith("{"), F.regexp_replace(first(value, "text", "content", "value"), EDGES, "")).otherwise(F.regexp_replace(value, EDGES, ""))
+
+    def line(cell: Column, i: Column) -> Column:
+        number = lambda default, *names: F.coalesce(*[F.get_json_object(cell, f"$.{n}").try_cast("int") for n in names], default)
+        high, wide = number(F.lit(1), "row_span"), number(F.lit(1), "col_span")
+        span = F.when((high > 1) | (wide > 1), F.format_string(" (合并 %dx%d)", high, wide)).otherwise("")
+        shown = text(cell)
+        return F.when(shown != "", F.concat(F.format_string("- R%dC%d", number(i, "row_index", "row") + 1, number(F.lit(0), "col_index", "col") + 1), span, F.lit(": "), shown))
+
+    lines = F.filter(F.transform(cells, line), lambda x: x.isNotNull())
+    return F.when(F.size(lines) > 0, F.concat(F.lit("[复杂表格展开]\n"), F.array_join(lines, "\n")))
+
+
+def document_markdown(docs: DataFrame, id_col: str = "doc_id", blocks_col: str = "blocks") -> DataFrame:
+    """(doc_id, markdown) of documents whose blocks are a JSON list: headings and texts as they are, lists, code, quotes and tables marked.
+
+    Blocks without a text and of unknown types are left out; a document without any, or whose JSON cannot be read, is empty.
+    """
 
+    def line(block: Column) -> Column:
+        kind, table = block["block_type"], block["table"]
+        heading = F.coalesce(*[block[f"heading{i}"] for i in range(1, 7)])
+        marked = lambda before, name, after="": F.when(_runs(block[name]) != "", F.concat(F.lit(before), _runs(block[name]), F.lit(after)))
+        cells = F.coalesce(table["cells"], table["table_cells"])
+        return (
+            F.when(kind.between(3, 8), _runs(heading)).when(kind == 2, _runs(block["text"])).when(kind == 12, marked("- ", "bullet")).when(kind == 13, marked("1. ", "ordered")).when(kind == 14, marked("```text\n", "code", "\n```"))
+            .when(kind == 19, marked("> ", "quote")).when(kind == 31, F.when(F.size(table["rows"]) > 0, _grid(table["rows"])).otherwise(_placed(cells)))
+        )
 
-def block_lines(blocks: DataFrame) -> DataFrame:
-    """blocks (doc_id, at, kind, text) -> (doc_id, markdown): headings as plain lines, lists, code and quotes marked."""
-    text = F.trim(F.coalesce("text", F.lit("")))
-    line = F.when(F.col("kind") == "bullet", F.concat(F.lit("- "), text)).when(F.col("kind") == "ordered", F.concat(F.lit("1. "), text)).when(F.col("kind") == "code", F.concat(F.lit("```\n"), text, F.lit("\n```"))).when(F.col("kind") == "quote", F.concat(F.lit("> "), text)).otherwise(text)
-    rows = blocks.withColumn("line", line).where(text != "")
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("markdown"))
+    lines = F.filter(F.transform(F.from_json(blocks_col, BLOCK_SHAPE), line), lambda x: F.coalesce(x, F.lit("")) != "")
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.array_join(lines, "\n"), F.lit("")).alias("markdown"))
 
 
 class Results(HTMLParser):
