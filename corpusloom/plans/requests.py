@@ -96,12 +96,6 @@ def bucket_waits(spark, d):
     return waits.groupBy("engine").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("wait") > 0).alias("waited"), F.round(F.max("wait"), 3).alias("longest"))
 
 
-def image_addresses(spark, d):
-    start = F.col("page_id") % 3 * 20
-    text = F.concat(F.lit("page "), "page_id")
-    return M.table(spark, d, "pages").select("page_id", F.element_at(F.array(*[U.image_url(e, text, start) for e in P.ENGINES]), (F.col("page_id") % 6 + 1).cast("int")).alias("address"))
-
-
 def image_details(spark, d):
     n = F.col("page_id")
     forms = [
@@ -158,7 +152,7 @@ def search_trend_kept(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        task_profiles, intents, result_types, resolved_engines, checked_requests, cache_keys, serp_cluster_order, proxies_in_turn, cached_requests, bucket_waits, image_addresses, image_details, platform_messages, drive_ids, longer_texts, block_markdown,
+        task_profiles, intents, result_types, resolved_engines, checked_requests, cache_keys, serp_cluster_order, proxies_in_turn, cached_requests, bucket_waits, image_details, platform_messages, drive_ids, longer_texts, block_markdown,
         search_trend_kept,
     )
 }
@@ -173,12 +167,6 @@ def sql_any(words, text: str = "t") -> str:
 REFILL = round(1_000_000 / RATE)
 CONTENT = "CASE " + " ".join(f"WHEN {sql_any(words)} THEN '{name}'" for name, words in rules.CONTENT_TYPES) + " ELSE 'general_content' END"
 OUTSIDE = sql_any(rules.OUTSIDE)
-IMAGE_SQL = " ".join(
-    f"WHEN {i} THEN '{at}' || 'page+' || page_id" + (f" || CASE WHEN s > 0 THEN '&{name}=' || s ELSE '' END" if name else "")
-    for i, (at, name) in enumerate([
-        ("https://www.google.com/search?tbm=isch&q=", "start"), ("https://yandex.com/images/search?text=", "p"), ("https://image.baidu.com/search/index?tn=baiduimage&word=", "pn"),
-        ("https://www.bing.com/images/search?q=", "first"), ("https://duckduckgo.com/?iax=images&ia=images&q=", ""), ("https://www.ecosia.org/images?q=", "p"),
-    ])
 )
 ORACLE_SQL = {
     "task_profiles": f"SELECT event_id, CASE r WHEN 'pdf_generation' THEN 'artifact_pdf' WHEN 'ppt_generation' THEN 'artifact_ppt' WHEN 'document_summary' THEN 'structured_summary' WHEN 'content_generation' THEN 'structured_generation' ELSE 'answer' END AS goal_type, {CONTENT} AS content_type, CASE WHEN {OUTSIDE} THEN 'internal_first_external_supplement' ELSE 'internal_only' END AS evidence_policy, CASE WHEN {OUTSIDE} THEN 'focus_entities_in_materials' ELSE 'none' END AS search_focus_rule, CASE r WHEN 'pdf_generation' THEN 'pdf_export' WHEN 'ppt_generation' THEN r END AS artifact_tool, {OUTSIDE} AND r IN ('content_generation', 'pdf_generation', 'ppt_generation') AS allow_external_search, CASE r WHEN 'pdf_generation' THEN 'pdf_task_created' WHEN 'ppt_generation' THEN 'ppt_task_created' ELSE 'final_answer_ready' END AS completion_condition FROM (SELECT event_id, coalesce({sql_pick(ASKED_ROUTES, '(event_id // 11)')}, '') AS r, coalesce({sql_pick(ASKS, ID)}, '') AS t FROM events)",
@@ -191,7 +179,6 @@ ORACLE_SQL = {
     "proxies_in_turn": "WITH p AS (SELECT 't' || s_suppkey % 4 AS tag, list('http://h' || s_suppkey ORDER BY 'http://h' || s_suppkey) AS urls FROM supplier WHERE s_suppkey % 5 < 3 GROUP BY 1), r AS (SELECT event_id, 't' || event_id % 5 AS tag, row_number() OVER (PARTITION BY event_id % 5 ORDER BY ts, event_id) - 1 AS turn FROM events) SELECT event_id AS request_id, tag, urls[turn % len(urls) + 1] AS url FROM r LEFT JOIN p USING (tag)",
     "cached_requests": f"WITH RECURSIVE o AS (SELECT event_type AS engine, user_id AS query, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts) AS k FROM events), f AS (SELECT engine, query, k, us AS last, false AS hit FROM o WHERE k = 1 UNION ALL SELECT o.engine, o.query, o.k, CASE WHEN o.us - f.last < {TTL * 1_000_000} THEN f.last ELSE o.us END, o.us - f.last < {TTL * 1_000_000} FROM f JOIN o ON o.engine = f.engine AND o.query = f.query AND o.k = f.k + 1) SELECT engine, query, count(*) AS requests, count(*) FILTER (hit) AS hits FROM f GROUP BY ALL",
     "bucket_waits": f"WITH o AS (SELECT user_id % 50 AS engine, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts) AS k FROM events), w AS (SELECT engine, greatest(max(us - k * {REFILL}) OVER (PARTITION BY engine ORDER BY k) + (k + 1 - {BURST}) * {REFILL} - us, 0) AS wait FROM o) SELECT engine, count(*) AS requests, count(*) FILTER (wait > 0) AS waited, round(max(wait) / 1000000.0::DOUBLE, 3) AS longest FROM w GROUP BY 1",
-    "image_addresses": f"SELECT page_id, CASE page_id % 6 {IMAGE_SQL} END AS address FROM (SELECT page_id, page_id % 3 * 20 AS s FROM pages)",
     "image_details": "SELECT page_id, CASE WHEN page_id % 7 IN (0, 2) THEN url ELSE '' END AS page, CASE WHEN page_id % 7 = 0 THEN url ELSE '' END AS thumb, CAST(CASE page_id % 7 WHEN 0 THEN page_id + 1 WHEN 4 THEN page_id ELSE 0 END AS INT) AS width, CAST(CASE page_id % 7 WHEN 0 THEN page_id WHEN 4 THEN page_id + 2 ELSE 0 END AS INT) AS height FROM pages",
     "platform_messages": "SELECT conv_id, turn, CASE WHEN conv_id % 4 < 3 THEN 'm' || turn ELSE '' END AS message_id, CASE WHEN conv_id % 4 < 3 THEN role ELSE '' END AS user_id, CASE WHEN conv_id % 4 < 3 THEN CAST(conv_id AS VARCHAR) ELSE '' END AS conversation_id, md5(CASE WHEN conv_id % 4 = 3 OR (conv_id % 4 = 0 AND turn % 3 = 0) THEN '' ELSE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) END) AS text_md5, CASE conv_id % 4 WHEN 0 THEN (turn * 1500 + 1000) // 1000 WHEN 1 THEN turn + 5 WHEN 2 THEN turn + 7 END AS at FROM conversations",
     "drive_ids": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'A_' || page_id || '-x' WHEN 1 THEN 'B' || page_id ELSE coalesce(nullif(regexp_extract(url, '/d/([A-Za-z0-9_-]+)', 1), ''), nullif(regexp_extract(url, '[?&]id=([A-Za-z0-9_-]+)', 1), '')) END AS file_id FROM pages",

@@ -72,12 +72,33 @@ def domain_details(spark, d):
     return M.table(spark, d, "pages").select("page_id", P.domain_info(host).alias("i")).select("page_id", "i.*")
 
 
+#: Languages and windows of requests, some of which no engine knows or takes.
+LANGS = ["de", "en-GB", "", "pt", "zz", "fr_CA", "uk"]
+WINDOWS = ["20240101..20240102", "", "20240105..20240101", "20240101..20240131", "", "20240101..20241301", "20240101"]
+
+
+def _requests(spark, d):
+    """Benchmark items as requests: text with dates in some, site, file type, language, start, limit and window by number."""
+    n = F.col("item_id")
+    given = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    text = F.concat(F.when(n % 5 == 4, "").otherwise(F.col("text")), F.when(n % 6 == 0, F.lit(" after:2024-01-01 Before:2024-01-31")).when(n % 6 == 1, F.lit(" before:2024-02-01 x")).otherwise(""))
+    return M.table(spark, d, "benchmark").select(
+        "item_id", text.alias("text"), F.when(n % 2 == 0, "e.org").otherwise("").alias("site"), F.when(n % 3 == 0, "pdf").when(n % 3 == 1, " Photo").otherwise("").alias("file"), given(LANGS).alias("lang"), (n % 4 * 10 - 10).alias("start"), (n % 3 * 10).alias("lim"), given(WINDOWS).alias("win"), (n % 2 == 0).alias("filtered")
+    )
+
+
 def search_urls(spark, d):
-    """The address of each engine's result page for every benchmark item."""
-    q = F.col("text")
-    item = M.table(spark, d, "benchmark")
-    cols = [U.search_url(e, q, F.lit("e.org"), F.lit("pdf"), F.lit("de"), F.lit(10), F.lit(20), F.lit("20240101..20240107")).alias(e) for e in P.ENGINES]
-    return item.select("item_id", *cols)
+    """The address of each engine's result page for every request."""
+    c = F.col
+    cols = [U.search_url(e, c("text"), c("site"), c("file"), c("lang"), c("start"), c("lim"), c("win"), c("filtered")).alias(e) for e in P.ENGINES]
+    return _requests(spark, d).select("item_id", *cols)
+
+
+def image_addresses(spark, d):
+    """The address of each engine's image page for every request."""
+    c = F.col
+    cols = [U.image_url(e, c("text"), c("site"), c("file"), c("lang"), c("lim"), c("win"), F.floor(F.greatest(c("start"), F.lit(0)) / 10)).alias(e) for e in P.ENGINES]
+    return _requests(spark, d).select("item_id", *cols)
 
 
 def page_classes(spark, d):
@@ -88,7 +109,7 @@ def html_results(spark, d):
     return page_results(M.table(spark, d, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (url_normalize, serp_enrich, serp_dedup, serp_clusters, serp_merge_policy, serp_first_url, serp_markdown, serp_text, content_type_classify, domain_details, search_urls, page_classes, html_results)}
+QUERIES = {f.__name__: f for f in (url_normalize, serp_enrich, serp_dedup, serp_clusters, serp_merge_policy, serp_first_url, serp_markdown, serp_text, content_type_classify, domain_details, search_urls, image_addresses, page_classes, html_results)}
 
 V = M.with_views
 HOST = "regexp_replace(lower(regexp_extract({0}, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '')"
@@ -110,7 +131,65 @@ HINTS = "CASE " + " ".join(f"WHEN h = '{k}' THEN '{v}'" for k, v in P.SOURCE_HIN
 #: Domain and parts of the path, cut to 60 letters.
 CRUMB = f"(SELECT CASE WHEN length(c) > 60 THEN substring(c, 1, 59) || '…' ELSE c END FROM (SELECT array_to_string([{HOST.format('url')}] || list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> ''), ' › ') AS c))"
 FIRST = f"SELECT query_id, engine, rank, url, title, ad, row_number() OVER (PARTITION BY query_id ORDER BY rank, engine, url) AS nr FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {norm('url')} ORDER BY CAST(rank <= 0 AS INT), rank, engine, url) AS n FROM serp) WHERE n = 1"
+
+
+def _sql_map(column: str, table: dict) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
+
+
+def _sql_values(base: str, good: str, **values: str) -> str:
+    """An address from the rules of its engine: names in order, a null value left out."""
+    parts = ", ".join(f"CASE WHEN ({v}) IS NOT NULL THEN '{k}=' || replace(url_encode({v}), '%20', '+') END" for k, v in sorted(values.items()))
+    return f"CASE WHEN {good} THEN {base} || concat_ws('&', {parts}) END"
+
+
+def _addresses() -> tuple[str, str]:
+    """SQL of search_urls and image_addresses."""
+    lists = {"LANGS": LANGS, "WINDOWS": WINDOWS}
+    given = lambda name: "([" + ", ".join(f"'{v}'" for v in lists[name]) + f"])[item_id % {len(lists[name])} + 1]"
+    r = (
+        "r0 AS (SELECT item_id, CASE WHEN item_id % 5 = 4 THEN '' ELSE text END || CASE item_id % 6 WHEN 0 THEN ' after:2024-01-01 Before:2024-01-31' WHEN 1 THEN ' before:2024-02-01 x' ELSE '' END AS t, "
+        "CASE WHEN item_id % 5 = 4 THEN '' ELSE CASE WHEN item_id % 6 < 2 THEN array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), ' ') ELSE text END END || CASE WHEN item_id % 6 = 1 AND item_id % 5 <> 4 THEN ' x' WHEN item_id % 6 = 1 THEN 'x' ELSE '' END AS bt, "
+        "CASE WHEN item_id % 2 = 0 THEN ' site:e.org' ELSE '' END AS s, CASE item_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN ' Photo' ELSE '' END AS f, "
+        f"lower(split_part(replace({given('LANGS')}, '_', '-'), '-', 1)) AS la, upper(split_part(replace({given('LANGS')}, '_', '-'), '-', 2)) AS co, item_id % 4 * 10 - 10 AS st, item_id % 3 * 10 AS li, {given('WINDOWS')} AS w FROM benchmark), "
+        "r1 AS (SELECT *, t || s || CASE WHEN f <> '' THEN ' filetype:' || f ELSE '' END AS q, bt || s || CASE WHEN f <> '' THEN ' filetype:' || f ELSE '' END AS bq, nullif(la, '') AS l, w <> '' AS g, "
+        "try_cast(try_strptime(split_part(w, '..', 1), '%Y%m%d') AS DATE) AS d1, try_cast(try_strptime(split_part(w, '..', 2), '%Y%m%d') AS DATE) AS d2 FROM r0), "
+        f"r2 AS (SELECT *, CASE WHEN l IS NULL THEN NULL WHEN co <> '' THEN lower(co) ELSE coalesce({_sql_map('l', U.GOOGLE_COUNTRY)}, CASE WHEN {_sql_map('l', U.GOOGLE_PAGES)} IS NOT NULL THEN l END, 'us') END AS gc, CASE WHEN l IS NULL THEN NULL WHEN co <> '' THEN co ELSE coalesce({_sql_map('l', U.BING_COUNTRY)}, 'US') END AS bc, "
+        f"coalesce({_sql_map("l || '-' || lower(co)", U.DUCK_REGIONS)}, {_sql_map('l', U.DUCK_REGIONS)}) AS kl, d1 IS NOT NULL AND d2 IS NOT NULL AS ok, d1 <= d2 AS fwd, CASE WHEN NOT g THEN NULL WHEN d2 - d1 <= 1 THEN 'day' WHEN d2 - d1 <= 7 THEN 'week' WHEN d2 - d1 <= 31 THEN 'month' END AS fr FROM r1)"
+    )
+    google = f"'https://www.google.' || coalesce({_sql_map('gc', U.GOOGLE_PAGES)}, {_sql_map('l', U.GOOGLE_PAGES)}, 'com') || '/search?'"
+    two = "(NOT g OR contains(w, '..'))"
+    tbs = "CASE WHEN g THEN 'cdr:1,cd_min:' || split_part(w, '..', 1) || ',cd_max:' || split_part(w, '..', 2) END"
+    num = "CASE WHEN li <> 0 THEN CAST(li AS VARCHAR) END"
+    start = "CASE WHEN st > 0 THEN CAST(st AS VARCHAR) END"
+    iso = "CASE WHEN g THEN strftime(d1, '%Y-%m-%d') || '..' || strftime(d2, '%Y-%m-%d') END"
+    days = "CASE WHEN g THEN 'ex1:\"ez5_' || (d1 - DATE '1970-01-01') || '_' || (d2 - DATE '1970-01-01') || '\"' WHEN item_id % 6 = 0 THEN 'ex1:\"ez5_19723_19753\"' END"
+    market = {"setlang": "l", "cc": "bc", "mkt": "l || '-' || bc"}
+    gl = {"hl": "l", "gl": "gc", "lr": "'lang_' || l", "pws": "'0'", "nfpr": "'1'"}
+    web = {
+        "google": _sql_values(google, f"q <> '' AND st >= 0 AND {two}", q="q", oq="q", tbs=tbs, num=num, start=start, filter="CASE WHEN item_id % 2 = 1 THEN '0' END", sourceid="'chrome'", ie="'UTF-8'", **gl),
+        "yandex": _sql_values("'https://www.yandex.com/search/?'", "q <> '' AND st >= 0", text="t || s || CASE WHEN f <> '' THEN ' mime:' || f ELSE '' END || CASE WHEN g THEN ' date:' || w ELSE '' END || coalesce(' lang:' || l, '')", p="CAST(st // 10 AS VARCHAR)"),
+        "baidu": _sql_values("'https://www.baidu.com/s?'", "q <> '' AND st >= 0 AND (NOT g OR ok)", wd="q", gpc="CASE WHEN g THEN 'stf=' || (d1 - DATE '1970-01-01') * 86400 || ',' || (d2 - DATE '1970-01-01') * 86400 || '|stftype=2' END", rn=num, pn=start, f="'8'", ie="'utf-8'"),
+        "bing": _sql_values("'https://www.bing.com/search?'", "bq <> '' AND st >= 0 AND (NOT g OR (ok AND fwd))", q="bq", pq="bq", first="CASE WHEN st > 0 THEN CAST(st + 1 AS VARCHAR) END", count="CASE WHEN st <= 0 AND li > 0 THEN CAST(li AS VARCHAR) END", filters=days, form="'QBLH'", qs="'HS'", sp="'-1'", **market),
+        "duckduckgo": _sql_values("'https://duckduckgo.com?'", "q <> '' AND (NOT g OR ok)", q="q", df=iso, kl="kl", t="'h'", ia="'web'"),
+        "ecosia": _sql_values("'https://www.ecosia.org/search?'", "trim(q) <> '' AND st >= 0 AND (NOT g OR (ok AND fwd))", method="'index'", q="q", freshness="fr", p="CASE WHEN st >= 10 THEN CAST(st // 10 AS VARCHAR) END"),
+    }
+    page = "greatest(st, 0) // 10"
+    image = {
+        "google": _sql_values(google, f"q <> '' AND {two}", tbm="'isch'", q="q", oq="q", tbs=tbs, num=num, **gl),
+        "yandex": _sql_values("'https://www.yandex.com/images/search/?'", "t <> ''", text="t || CASE WHEN g THEN ' date:' || w ELSE '' END", p=f"CAST({page} AS VARCHAR)", site="CASE WHEN s <> '' THEN 'e.org' END", itype="nullif(f, '')"),
+        "baidu": _sql_values("'https://image.baidu.com/search/acjson?'", "t <> ''", tn="'resultjson_com'", cl="'2'", word="t", rn="CASE WHEN li <> 0 THEN '30' END", pn=f"CASE WHEN li <> 0 THEN CAST({page} * 30 AS VARCHAR) END", fp="'result'", ipn="'rj'", ie="'utf-8'", oe="'utf-8'"),
+        "bing": _sql_values("'https://www.bing.com/images/search?'", "t || s <> ''", q="t || s", form="'HDRSC2'", first="'1'", scenario="'ImageBasicHover'", **market),
+        "duckduckgo": _sql_values("'https://duckduckgo.com?'", "q <> '' AND (NOT g OR ok)", t="'h'", iax="'images'", ia="'images'", q="q", df=iso, kl="kl"),
+        "ecosia": _sql_values("'https://www.ecosia.org/images?'", "trim(t || s) <> '' AND (NOT g OR (ok AND fwd)) AND f <> 'pdf'", q="t || s", freshness="fr", imageType="CASE WHEN f <> '' THEN 'photo' END", p=f"CASE WHEN {page} > 0 THEN CAST({page} AS VARCHAR) END"),
+    }
+    return tuple(f"WITH {r} SELECT item_id, " + ", ".join(f"{sql} AS {engine}" for engine, sql in kind.items()) + " FROM r2" for kind in (web, image))
+
+
+SEARCH_SQL, IMAGE_SQL = _addresses()
 ORACLE_SQL = {
+    "search_urls": SEARCH_SQL,
+    "image_addresses": IMAGE_SQL,
     "serp_markdown": V(
         f"WITH f AS ({FIRST}), r AS (SELECT query_id, string_agg('## ' || nr || '. ' || title || chr(10) || chr(10) || '**' || {CRUMB} || '** · ' || CASE WHEN ad THEN 'ad' ELSE 'organic' END || chr(10) || chr(10) || CASE WHEN nr % 2 = 0 THEN 'found by ' || engine || chr(10) || chr(10) ELSE '' END || '→ ' || url || chr(10) || chr(10), '' ORDER BY nr) AS results FROM f GROUP BY 1), "
         "h AS (SELECT query_id, array_to_string(list_sort(list(DISTINCT engine)), ', ') AS engines FROM serp GROUP BY 1) "
