@@ -167,7 +167,6 @@ def sql_any(words, text: str = "t") -> str:
 REFILL = round(1_000_000 / RATE)
 CONTENT = "CASE " + " ".join(f"WHEN {sql_any(words)} THEN '{name}'" for name, words in rules.CONTENT_TYPES) + " ELSE 'general_content' END"
 OUTSIDE = sql_any(rules.OUTSIDE)
-)
 ORACLE_SQL = {
     "task_profiles": f"SELECT event_id, CASE r WHEN 'pdf_generation' THEN 'artifact_pdf' WHEN 'ppt_generation' THEN 'artifact_ppt' WHEN 'document_summary' THEN 'structured_summary' WHEN 'content_generation' THEN 'structured_generation' ELSE 'answer' END AS goal_type, {CONTENT} AS content_type, CASE WHEN {OUTSIDE} THEN 'internal_first_external_supplement' ELSE 'internal_only' END AS evidence_policy, CASE WHEN {OUTSIDE} THEN 'focus_entities_in_materials' ELSE 'none' END AS search_focus_rule, CASE r WHEN 'pdf_generation' THEN 'pdf_export' WHEN 'ppt_generation' THEN r END AS artifact_tool, {OUTSIDE} AND r IN ('content_generation', 'pdf_generation', 'ppt_generation') AS allow_external_search, CASE r WHEN 'pdf_generation' THEN 'pdf_task_created' WHEN 'ppt_generation' THEN 'ppt_task_created' ELSE 'final_answer_ready' END AS completion_condition FROM (SELECT event_id, coalesce({sql_pick(ASKED_ROUTES, '(event_id // 11)')}, '') AS r, coalesce({sql_pick(ASKS, ID)}, '') AS t FROM events)",
     "intents": f"SELECT event_id, CASE WHEN event_id % 6 = 4 OR name = 'small_talk' THEN 'knowledge_query' ELSE name END AS intent, CASE WHEN event_id % 6 < 4 AND event_id % 7 > 2 THEN event_id % 7 - 2 END AS kb_index FROM (SELECT event_id, {sql_pick(INTENT_NAMES, '(event_id // 6)')} AS name FROM events)",
