@@ -110,7 +110,8 @@ def repair_and_render(df: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
     action is keep, relabel, merge or merge+relabel, with +insert if empty messages are put before. Turns are ordered by turn,
     ties by role and text; nulls come first. Unknown and null roles can become any role. A null text is empty. Rows of a null
-    conversation form one conversation. An empty table gives no rows.
+    conversation form one conversation. An empty table gives no rows. A very long text is carried whole and never parsed; a very
+    long conversation is one 4 x 4 matrix per 256 turns in one task.
     """
     spark = df.sparkSession
     small_batches(spark)

@@ -63,7 +63,10 @@ def dropped(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts can be long: fewer rows in an Arrow batch, which the JVM and the Python worker each hold as a whole."""
+    """Fewer rows in an Arrow batch, which the JVM and the Python worker each hold as a whole.
+
+    Spark also ends a batch at spark.sql.execution.arrow.maxBytesPerBatch (64 MB unless set), so rows of very long texts are few.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 

@@ -119,7 +119,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_c
     """Pairs (doc_id, tie, item_id, n_windows, n_slots) of documents that hold a benchmark item's words, figures and names aside.
 
     tie is the hash of the document's text: rows that repeat id and text count as one document, a null id is an id like any
-    other. Null and empty texts and items match nothing. Of several alignments and forms of a pair the one with most windows is
+    other. Null and empty texts and items match nothing, nor does anything in or with an empty table; a very long text is parsed
+    whole, in one row. Of several alignments and forms of a pair the one with most windows is
     reported; a pair none of whose alignments has consistent slots is left out.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(item_text).cast("string")).alias("words")).where("words is not null")

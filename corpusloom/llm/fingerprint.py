@@ -98,7 +98,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of df: (doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next).
 
     edited: the text with its last third replaced by the start of the next text in descending id order (null ids last, equal ids
-    by text hash; after the last comes the first). A null text counts as empty. Rows are dealt by ranges of ids; each range also
+    by text hash; after the last comes the first). A null text counts as empty; ids are whole numbers; an empty table gives an
+    empty one. Rows are dealt by ranges of ids; each range also
     gets the first row of the next, so texts are shuffled once, and a task holds two texts and one batch.
     """
     spark = df.sparkSession

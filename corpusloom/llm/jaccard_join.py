@@ -145,7 +145,8 @@ def jaccard_components(df: DataFrame, words: int = 3, percent: int = 90, id_col:
 
     Words are lower-cased in A-Z; two documents link when 100 * intersection >= percent * union of their shingle sets.
     A text without words has no shingles, links with nothing and is its own component. Rows that repeat an id count as one
-    document. A row without id links with nothing and has no component_id.
+    document. A row without id links with nothing and has no component_id. Ids are whole numbers. A very long text is hashed whole
+    in one task; an empty table gives an empty one.
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -245,7 +245,8 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     """One row per row of df: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Rows whose id falls in the held-out class are scored but not learnt from. A null or empty text is one end token. With no
-    training rows all counts are 0 and the model stays as it starts. Null and repeated ids are scored row by row.
+    training rows all counts are 0 and the model stays as it starts; an empty table gives an empty one. Null and repeated ids are
+    scored row by row, and texts whole, however long: a task holds the symbols of one slice of texts.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -270,9 +271,11 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     counts[HEAD_WORDS : HEAD_WORDS + CLASSES], counts[END] = class_n, ends
     vectors = trained(training, head, counts, int(n_all)) if n_all else start_vectors(counts)
 
-    # the least count of which no more than TOP_WORDS words have as many or more
-    steps = sorted(((r["k"], r["n"]) for r in named.groupBy(F.least("c", F.lit(10_000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    least, many = 10_001, 0
+    # the least count of which no more than TOP_WORDS words have as many or more; from 8192 on by powers of two, so the steps are few
+    # and each is over before its words are too many: so many words of so high a count would be more than all tokens
+    step = F.when(F.col("c") < 8192, F.col("c")).otherwise(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin("c")) - 1))
+    steps = sorted(((r["k"], r["n"]) for r in named.groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    least, many = 1 << 62, 0
     for k, n in steps:
         if many + n > TOP_WORDS:
             break
@@ -329,19 +332,19 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                     doc = np.repeat(np.arange(b - a), n)[odd]
                     pair, tf = np.unique(doc * len(names) + ids[odd], return_counts=True)
                     for d, x, k in zip((pair // len(names)).tolist(), (pair % len(names)).tolist(), tf.tolist(), strict=True):
-                        tails[d].append({"word": names[x], "tf": k})
+                        tails[d].append({"word": names[x], "tf": k, "rare": bool(symbol[x] >= HEAD_WORDS)})
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(rid, rid + b - a)), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n + 1), pa.array(sums(is_known)), pa.array(sums(base) - (n + 1) * base_log), pa.array(sums(token + own)),
-                        pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32())]))),
+                        pa.array(tails, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int32()), ("rare", pa.bool_())]))),
                     ],
                     names=["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail"],
                 )
                 rid += b - a
 
-    part = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"rid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<word:binary,tf:int>>"), "lm")
-    tail = part.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.tf")
-    more = tail.join(named.where(F.col("c") < least), "word").groupBy("rid").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more"))
+    part = written(docs.select("doc_id", "text", "held_out").mapInArrow(run, f"rid bigint, doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, tail array<struct<word:binary,tf:int,rare:boolean>>"), "lm")
+    tail = part.select("rid", F.explode("tail").alias("t")).select("rid", "t.*")
+    more = tail.join(named.where(F.col("c") < least), "word").groupBy("rid").agg(F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("more"), F.sum(F.when(F.col("rare"), F.col("tf") * F.log10(F.col("c") + 1.0))).alias("more_rare"))
     return part.drop("tail").join(more, "rid", "left").select(
         "doc_id",
         "held_out",
@@ -349,7 +352,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("more_rare", F.lit(0.0))).alias("score"),
     )
 
 

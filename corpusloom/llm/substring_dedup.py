@@ -135,7 +135,7 @@ def remove_repeats(df: DataFrame, n: int = 20, bits: int = CELL_BITS, id_col: st
     """One row per row of df: (doc_id, n_words, removed array<struct<start,stop>>, kept string: what is left, joined by one space).
 
     Earlier means smaller id, or the same row and an earlier start. A null text has no words; texts of fewer than n words stay
-    whole. Null ids come first of all. Rows that repeat an id are ordered by their words; rows that repeat id and words count as one document.
+    whole; a very long text is worked on whole in one task; an empty table gives an empty one. Null ids come first of all. Rows that repeat an id are ordered by their words; rows that repeat id and words count as one document.
     """
     spark = df.sparkSession
     small_batches(spark)

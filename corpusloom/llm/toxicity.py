@@ -356,7 +356,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxicity_scores(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of df: (doc_id, score 0 to 1), and the columns named in keep as they are.
 
-    A null or empty text is one window without words and gets the score of no evidence. Ids may be null or repeat.
+    A null or empty text is one window without words and gets the score of no evidence. Ids may be null or repeat. All windows of
+    a very long text are scored, block by block; an empty table gives an empty one.
     """
     spark = df.sparkSession
     small_batches(spark)

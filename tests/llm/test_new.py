@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.errors import PythonException
 
-from corpusloom.llm import byte_bpe, periodic_runs, whitening
+from corpusloom.llm import byte_bpe, lm_score, periodic_runs, whitening
 
 DATA = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -256,3 +257,54 @@ def test_whitening_is_exact_where_64_bits_do_not_do(spark):
     rows = [(i, [float(i % 7) * 2**40, float(-i) * 2**39]) for i in range(50)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     check_whitening(whitening.whiten(df, whitening.fit(df)).collect(), rows, 32)
+
+
+# the language model's score
+
+
+def test_lm_score_is_a_plain_loop(spark, monkeypatch):
+    rnd = random.Random(8)
+    common = [f"c{i}" for i in range(30)]
+    texts = [None, "", "One", *(" ".join(rnd.choices(common, k=40) + [f"W{i}x{j}" for j in range(90)]) for i in range(30)), "c1 c2 unseen, W3x4 W3x4"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    made = {}
+    trained = lm_score.trained
+
+    def kept(docs, head, counts, tokens):
+        made.update(head=head, v=trained(docs, head, counts, tokens))
+        return made["v"]
+
+    monkeypatch.setattr(lm_score, "trained", kept)
+    got = {r["doc_id"]: r for r in lm_score.lm_scores(docs).collect()}
+    words = [(t or "").lower().encode().split() for t in texts]
+    counts = Counter(w for i, ws in enumerate(words) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    head, v = made["head"], {k: x.astype(np.float64) for k, x in made["v"].items()}
+    assert len(head) == lm_score.HEAD_WORDS < len(counts)
+    rare = Counter()
+    kinds = Counter()
+    for w, c in counts.items():
+        if w not in head:
+            rare[lm_score.spelling(w)] += c
+            kinds[lm_score.spelling(w)] += 1
+    possible = [k for k in range(lm_score.SYMBOLS) if k != lm_score.BOS]
+    for i, ws in enumerate(words):
+        total, before, last = 0.0, lm_score.BOS, lm_score.BOS
+        for w in [*ws, None]:
+            s = lm_score.END if w is None else head.get(w, lm_score.HEAD_WORDS + lm_score.spelling(w))
+            r = v["near"][last] + v["far"][before]
+            logits = v["out"] @ r + v["bias"]
+            total += (logits[s] - np.log(np.exp(logits[possible]).sum())) / np.log(10)
+            if w is not None and w not in head:
+                k = lm_score.spelling(w)
+                total += math.log10((counts[w] + 1) / (rare[k] + kinds[k] + 1))
+            before, last = last, s
+        assert abs(got[i]["score"] - total) <= 1e-4 * (1 + abs(total)), i
+
+
+def test_lm_top_words_stay_bounded_whatever_the_counts(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{j % 12} " * 900 for j in range(12))) for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    whole = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in lm_score.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm_score, "TOP_WORDS", 3)  # all twelve words are more frequent than the last exact step
+    part = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in lm_score.lm_scores(docs).collect()}
+    assert part == whole
