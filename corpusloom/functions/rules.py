@@ -188,3 +188,20 @@ def miss_mode(rows: DataFrame, key: str = "conversation_id", order: str = "at",
 
 def import_outcome(status: Column) -> Column:
     return F.when(status.isNull(), "new").when(status == "ready", "already_indexed").when(status.isin("pending", "indexing"), "in_progress").otherwise("continue")
+
+
+#: Progress when a stage of indexing is done, and seconds before each further try.
+STAGE_PROGRESS = {"started": 5, "downloaded": 10, "cleaned": 30, "chunked": 80, "stored": 100}
+RETRY_SECONDS = [60, 300, 600]
+
+
+def indexing_state(stage: Column, error: Column, tries: Column) -> Column:
+    """struct(status, progress, retry_after) of a document after a stage: failed with an error, ready when it is stored, else indexing.
+
+    A failure is tried again after the seconds for the tries so far, and not after the last of these; null stands for no further try.
+    """
+    bad = F.coalesce(error, F.lit("")) != ""
+    known = F.create_map(*[F.lit(x) for kv in STAGE_PROGRESS.items() for x in kv])
+    progress = F.when(bad, 0).otherwise(F.coalesce(F.element_at(known, stage), F.lit(0)))
+    status = F.when(bad, "failed").when(stage == "stored", "ready").when(F.element_at(known, stage).isNotNull(), "indexing").otherwise("pending")
+    return F.struct(status.alias("status"), progress.alias("progress"), F.when(bad, F.get(F.array(*[F.lit(x) for x in RETRY_SECONDS]), F.coalesce(tries, F.lit(0)).cast("int"))).alias("retry_after"))

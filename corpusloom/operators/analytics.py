@@ -199,3 +199,14 @@ def retained(counters: DataFrame, as_of: Column, days: int = 35, day: str = "day
     """Counters of the so many days that end with as_of; older ones go."""
     last = F.to_date(as_of)
     return counters.where((F.col(day) > F.date_sub(last, days)) & (F.col(day) <= last))
+
+
+def base_page(bases: DataFrame, departments: DataFrame, documents: DataFrame, page: int, size: int) -> DataFrame:
+    """A page of bases (kb_id, name, department_id, created_at), the newest first, with the department's name if there is one and the number of documents, 0 for none.
+
+    Only the page's bases meet the documents, which are counted by base first.
+    """
+    shown = bases.orderBy(F.desc("created_at"), "kb_id").offset((page - 1) * size).limit(size)
+    counts = documents.join(F.broadcast(shown.select("kb_id")), "kb_id", "left_semi").groupBy("kb_id").agg(F.count(F.lit(1)).alias("documents"))  # a page
+    named = shown.join(departments.select("department_id", "department_name"), "department_id", "left").join(counts, "kb_id", "left")
+    return named.select("kb_id", "name", "department_id", "department_name", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), "created_at")

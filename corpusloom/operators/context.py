@@ -203,3 +203,19 @@ def grouped_contexts(expanded: DataFrame, window: int = CONFIG.window, total: in
     groups = groups.withColumn("group_rank", F.row_number().over(w).cast("bigint")).withColumn("chars", F.length("text"))
     taken = budget(groups, ["query_id"], ["group_rank"], "chars", total)
     return taken.select("query_id", "document_id", "group_id", "block_no", "chunk_ids", "best_rank", "group_rank", F.substr(F.col("text"), F.lit(1), F.col("taken").cast("int")).alias("context"), (F.col("cut") | F.col("truncated")).alias("truncated"))
+
+
+def renumbered(chunks: DataFrame, meta: str = "meta") -> DataFrame:
+    """Chunks with sequence numbers from 0 without gaps: by sequence_no, those of number 0 by the chunk_index, page and start_offset of their JSON, then by id as text.
+
+    Tables from before there were numbers have 0 everywhere. A field that is missing or no number counts as 0.
+    """
+    own = F.coalesce("sequence_no", F.lit(0))
+    field = lambda name: F.when(own == 0, F.coalesce(F.get_json_object(meta, f"$.{name}").try_cast("double"), F.lit(0.0)))
+    order = Window.partitionBy("document_id").orderBy(own, field("chunk_index"), field("page"), field("start_offset"), F.col("chunk_id").cast("string"))
+    return chunks.withColumn("sequence_no", (F.row_number().over(order) - 1).cast("bigint"))
+
+
+def rebuilt_blocks(chunks: DataFrame, cfg: Config = CONFIG) -> DataFrame:
+    """context_blocks of chunks that may lack sequence numbers."""
+    return context_blocks(renumbered(chunks), cfg)

@@ -223,3 +223,33 @@ def render_markdown(rows: DataFrame, heads: DataFrame) -> DataFrame:
     head = F.concat(F.lit("# Search results for "), quoted(F.col("text")), F.lit("\n\n**Query:** "), F.col("text"), F.lit(" · **Engines:** "), F.array_join("engines", ", "), F.lit(" · **Took:** "), F.col("took_ms").cast("string"), F.lit("ms\n\n"))
     failed = F.when(F.size("failed") > 0, F.concat(F.lit("> ⚠️ Engines that failed: "), F.array_join("failed", ", "), F.lit("\n\n"))).otherwise("")
     return heads.join(body, "query_id", "left").select("query_id", F.concat(head, failed, F.coalesce("results", F.lit(""))).alias("body"))
+
+
+#: Some rules of the public list of domain endings; * stands for any label, ! makes an exception.
+SUFFIX_RULES = ["com", "org", "net", "edu", "gov", "mil", "de", "fr", "es", "uk", "co.uk", "ac.uk", "gov.uk", "org.uk", "jp", "co.jp", "kawasaki.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck", "br", "com.br", "au", "com.au"]
+
+
+def suffix_table(spark, rules: list[str]) -> DataFrame:
+    """(base, kind) of rules in the form of the public list."""
+    rows = [(r.removeprefix("!").removeprefix("*."), "except" if r.startswith("!") else "wild" if r.startswith("*.") else "exact") for r in rules]
+    return spark.createDataFrame(rows, "base string, kind string")
+
+
+def with_suffix(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """hosts (host) with tld, the longest ending that a rule (base, kind) names, and sld, the label before it.
+
+    Endings are exploded and meet the rules by an equi-join; an exception goes before all others, and its ending is a label shorter.
+    Without a rule the last label is the ending. A host that is itself an ending has the label before its last one as sld. Rules
+    for which the table is small are sent to all tasks by the planner.
+    """
+    distinct = hosts.select("host").where("host is not null").distinct()
+    labels = F.split("host", r"\.")
+    ends = distinct.select("host", F.size(labels).alias("n"), F.posexplode(labels).alias("i", "_l")).select("host", "n", "i", F.array_join(F.slice(labels, F.col("i") + 1, F.col("n")), ".").alias("base"))
+    met = ends.join(rules, "base")
+    size = F.col("n") - F.col("i") + F.when(F.col("kind") == "wild", 1).when(F.col("kind") == "except", -1).otherwise(0)
+    best = met.where((F.col("kind") != "wild") | (F.col("i") > 0)).groupBy("host").agg(F.max(F.when(F.col("kind") == "except", size)).alias("out"), F.max(size).alias("longest"))
+    rows = hosts.join(best, "host", "left")
+    n = F.size(labels)
+    taken = F.coalesce("out", "longest", F.lit(1))
+    before = n - F.when(taken >= n, 2).otherwise(taken + 1)
+    return rows.withColumn("tld", F.array_join(F.slice(labels, n - taken + 1, taken), ".")).withColumn("sld", F.when(n > 1, F.get(labels, before)).otherwise("")).drop("out", "longest")

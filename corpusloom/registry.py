@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import analytics, more, requests, retrieval, search, store, text
+from corpusloom.plans import analytics, more, requests, retrieval, scope, search, store, text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _module in (retrieval, analytics, search, text, more, requests, store):
+for _module in (retrieval, analytics, search, text, more, requests, store, scope):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
