@@ -6,6 +6,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,35 +105,66 @@ def _sentences(text: str) -> Iterator[str]:
             yield m[1].strip() + m[2]
 
 
-def recursive_chunks(text: str, size: int = 500) -> list[str]:
-    """Paragraphs gathered up to 3 * size letters; an overfull chunk hands its last 15 percent on; long paragraphs go by sentences."""
-    most, enough, out, now = size * 3, int(size * 1.5), [], ""
+class Unit(NamedTuple):
+    """A piece that is never cut further: its text, what joins it to the piece before, and the least length at which it may close a chunk."""
+
+    text: str
+    glue: str
+    least: int
+
+
+#: Closes what is open; nothing of it is handed on.
+BREAK = Unit("", "", 0)
+
+
+def units(text: str, most: int) -> list[Unit]:
+    """Paragraphs, or the sentences of those over `most` letters behind a BREAK. Paragraphs may close a chunk that is half full, sentences any."""
+    out = []
+    for section in re.split(r"\n(?=#\s+)", text):
+        for para in filter(None, map(str.strip, section.strip().split("\n\n"))):
+            out += [Unit(para, "\n\n", most // 2)] if len(para) <= most else [BREAK, *(Unit(s, "", 0) for s in _sentences(para))]
+    return out
 
-    def close() -> None:
-        if now.strip():
-            out.append(now.strip())
 
-    sections = [s.strip() for s in re.split(r"\n(?=#\s+)", text) if s.strip()]
-    for para in (p.strip() for s in sections for p in s.split("\n\n")):
-        if not para:
+def chunk_spans(pieces: list[Unit], most: int, share: float = 0.15) -> list[tuple[int, int, int]]:
+    """(first, last, carried) of chunks in order, from lengths alone: pieces first to last, behind that many letters of the chunk before.
+
+    A sentence over `most` letters is a chunk of its own and comes before the one that is open. Only paragraphs are handed a part of
+    the chunk before, all of it if the part would be no letter.
+    """
+    out: list[tuple[int, int, int]] = []
+    start, size, carried = 0, 0, 0
+    for i, piece in enumerate(pieces):
+        n = len(piece.text)
+        if n > most:
+            out.append((i, i + 1, 0))
+            # the open chunk goes on behind it
+            pieces[i] = BREAK._replace(least=-1)
+            continue
+        full = piece is BREAK or (size >= piece.least and size + n > most)
+        if full and size:
+            out.append((start, i, carried))
+        if full or not size:
+            carried = (int(size * share) or size) if full and piece.glue else 0
+            start, size = i, carried
+        size += (len(piece.glue) if size else 0) + n
+    return [*out, (start, len(pieces), carried)] if size else out
+
+
+def recursive_chunks(text: str, size: int = 500) -> list[str]:
+    """Chunks of up to 3 * size letters of paragraphs, or of the sentences of longer ones; an overfull chunk hands its last 15 percent on."""
+    most, out = size * 3, []
+    pieces = units(text, most)
+    texts = [p.text for p in pieces]
+    whole = ""
+    for first, last, carried in chunk_spans(pieces, most):
+        if last == first + 1 and len(texts[first]) > most:
+            out.append(texts[first][:most])
             continue
-        if len(para) > most:
-            close()
-            now = ""
-            for sentence in _sentences(para):
-                if len(sentence) > most:
-                    out.append(sentence[:most])
-                elif len(now) + len(sentence) > most:
-                    close()
-                    now = sentence
-                else:
-                    now += sentence
-        elif len(now) >= enough and len(now) + len(para) > most:
-            close()
-            now = f"{_tail(now)}\n\n{para}" if now.strip() else para
-        else:
-            now = f"{now}\n\n{para}" if now else para
-    close()
+        kept = [p for p in pieces[first:last] if p.text]
+        body = "".join(p.glue * bool(i) + p.text for i, p in enumerate(kept))
+        whole = whole[len(whole) - carried :] + kept[0].glue + body if carried else body
+        out.append(whole.strip())
     return [c[:10_000] for c in out]
 
 

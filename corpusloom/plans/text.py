@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import rules
 from corpusloom.functions import text as T
-from corpusloom.operators.lexical import STOP_WORDS
 from corpusloom.sources import model as M
 
 
@@ -70,6 +69,7 @@ ORACLE_SQL = {
     "clean_text": "SELECT doc_id, md5(" + TRIM.format("regexp_replace(regexp_replace('  <x>' || chr(10) || chr(10) || 'a   b' || chr(9) || chr(9) || 'c ' || regexp_replace(replace(replace(text, '<|', '<'), '|>', '>'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7Fï¿¾]', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '[\\t\\f\\r \\x{00a0}\\x{3000}]{2,}', ' ', 'g')") + ") AS clean_md5 FROM documents",
     "line_filter_clean": "SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda l: length(trim(l)) >= 10 AND NOT regexp_full_match(trim(l), '[0-9]+') AND NOT regexp_full_match(trim(l), 'Page\\s+\\d+\\s+of\\s+\\d+') AND NOT regexp_full_match(trim(l), '\\[\\d+\\]') AND NOT regexp_full_match(trim(l), '[ \\t.\\-_+=*#@$%^&()\\[\\]{}|,<>/?~`]*')), chr(10))) AS clean_md5 FROM documents",
     "chunk_by_paragraph": "WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: " + TRIM.format("l") + "), lambda l: l <> '') AS ps FROM documents) SELECT doc_id, at - 1 AS at, length(ps[at]) AS chars, length(ps[at]) // 3 AS tokens FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS at FROM p)".replace("at - 1 AS at, length(ps[at])", "nr - 1 AS at, length(ps[nr])").replace("length(ps[at]) //", "length(ps[nr]) //").replace("AS at FROM (SELECT doc_id, ps", "AS at FROM (SELECT doc_id, ps").replace("unnest(range(1, len(ps) + 1)) AS at", "unnest(range(1, len(ps) + 1)) AS nr"),
+    "sentence_split": "SELECT doc_id, CAST(len(list_filter(regexp_extract_all(text, '[^。！？.!?]*[。！？.!?]+'), lambda s: regexp_matches(rtrim(s, '。！？.!?'), '\\S'))) AS BIGINT) AS sentences FROM documents",
     "error_classify": "SELECT event_id, (['timeout', 'rate_limit', 'auth', 'permission', 'validation', 'not_found', 'upstream', 'unknown', 'unknown'])[event_id % 9 + 1] AS error_class, event_id % 9 NOT IN (2, 3, 4, 5) AS retryable FROM events",
     "route_keywords": (
         "WITH e AS (SELECT event_id, event_id % 8 AS q, event_id % 3 = 0 AS a, event_id % 5 = 0 AS k FROM events), r AS (SELECT event_id, CASE q WHEN 0 THEN 'pdf_generation|matched_pdf_keywords|0.98' WHEN 2 THEN 'document_summary|matched_summary_keywords|0.98' "
@@ -80,4 +80,3 @@ ORACLE_SQL = {
     ),
     "plan_steps": "WITH p AS (SELECT event_id AS query_id, ([['knowledge_retrieval', 'answer'], ['knowledge_retrieval', 'summarize'], ['knowledge_retrieval', 'draft'], ['knowledge_retrieval', 'draft'], ['knowledge_retrieval', 'draft'], ['respond'], ['execute']])[event_id % 7 + 1] AS s FROM events) SELECT query_id, n AS step_no, s[n] AS step_type FROM (SELECT query_id, s, unnest(range(1, len(s) + 1)) AS n FROM p)",
 }
-del STOP_WORDS
