@@ -75,10 +75,6 @@ def query_hash(text: Column, site: Column, file: Column, lang: Column, date: Col
     return F.md5(F.lower(F.trim(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in (text, site, file, lang, date))))))
 
 
-def mega_key(query_key: Column, engines: Column) -> Column:
-    return F.sha2(F.concat_ws("|", query_key, F.array_join(F.array_sort(F.array_distinct(engines)), ",")), 256)
-
-
 def cache_key(*, engine: Column, action: Column, text: Column, lang: Column, dates: Column, file: Column, site: Column, limit: Column, start: Column, filtered: Column, answers: Column, country: Column, kind: Column, provider: Column) -> Column:
     """The key of a response: all that changes it, in this order. Without a proxy's country the language stands for its market."""
     plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
@@ -87,6 +83,12 @@ def cache_key(*, engine: Column, action: Column, text: Column, lang: Column, dat
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in fields], *market), 256)
 
 
+def mega_key(*, engines: Column, mode: Column, merge: Column, dedupe: Column, **request: Column) -> Column:
+    """cache_key of a request to several engines: how they are asked and merged, and their names, each once and in order, stand for the engine."""
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(engines, lambda e: F.lower(F.trim(e))))), ",")
+    return cache_key(engine=F.concat_ws(":", F.lit("mega"), mode, merge.cast("string"), dedupe.cast("string"), names), **request)
+
+
 def bypasses_cache(*, proxy: Column, override: Column, country: Column, kind: Column, provider: Column) -> Column:
     """A proxy is named, but nothing tells its market."""
     empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""

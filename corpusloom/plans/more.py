@@ -100,7 +100,13 @@ def query_keys(spark, d):
     """The key of each asked text, and that of the same asked of several engines."""
     q = M.table(spark, d, "benchmark")
     key = U.query_hash(F.col("text"), F.when(F.col("item_id") % 2 == 0, "e.org"), F.lit(""), F.lit("de"), F.lit(None).cast("string"))
-    return q.select("item_id", key.alias("query_key"), U.mega_key(key, F.array(F.lit("bing"), F.lit("baidu"), F.lit("bing"))).alias("mega_key"))
+    n = F.col("item_id")
+    names = F.array(F.lit("Bing"), F.when(n % 3 == 0, "baidu ").otherwise("google"), F.lit("bing"))
+    mega = U.mega_key(
+        engines=names, mode=F.when(n % 5 == 0, "fast").otherwise("balanced"), merge=n % 2 == 0, dedupe=n % 3 > 0, action=F.lit("search"), text=F.col("text"), lang=F.lit("de"), dates=F.lit(""), file=F.lit(""), site=F.when(n % 2 == 0, "e.org"),
+        limit=n % 4 * 10, start=F.lit(0), filtered=F.lit(True), answers=n % 7 == 0, country=F.when(n % 4 == 1, " AT"), kind=F.lit(""), provider=F.lit("P"),
+    )
+    return q.select("item_id", key.alias("query_key"), mega.alias("mega_key"))
 
 
 def masked_proxies(spark, d):
@@ -240,7 +246,7 @@ ORACLE_SQL = {
     "degrade_modes": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'both_failed' WHEN event_id % 2 = 0 THEN 'bm25_only' WHEN event_id % 3 = 0 THEN 'vector_only' ELSE 'none' END AS mode FROM events",
     "sigmoids": "SELECT event_id, round(1 / (1 + exp(-CAST(least(500, greatest(-500, event_id % 2001 - 1000)) AS DOUBLE))), 9) AS score FROM events",
     "cosine_of_neighbours": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
-    "query_keys": "SELECT item_id, query_key, sha256(query_key || '|baidu,bing') AS mega_key FROM (SELECT item_id, md5(lower(trim(concat_ws('|', text, CASE WHEN item_id % 2 = 0 THEN 'e.org' ELSE '' END, '', 'de', '')))) AS query_key FROM benchmark)",
+    "query_keys": "SELECT item_id, md5(lower(trim(concat_ws('|', text, site, '', 'de', '')))) AS query_key, sha256(concat_ws('|', 'mega:' || CASE WHEN item_id % 5 = 0 THEN 'fast' ELSE 'balanced' END || ':' || (item_id % 2 = 0) || ':' || (item_id % 3 > 0) || ':' || CASE WHEN item_id % 3 = 0 THEN 'baidu,bing' ELSE 'bing,google' END, 'search', text, 'de', '', '', site, item_id % 4 * 10, 0, true, item_id % 7 = 0, CASE WHEN item_id % 4 = 1 THEN 'at' ELSE 'de' END, '', 'p')) AS mega_key FROM (SELECT *, CASE WHEN item_id % 2 = 0 THEN 'e.org' ELSE '' END AS site FROM benchmark)",
     "masked_proxies": "SELECT c_custkey, 'dial ' || CASE c_custkey % 4 WHEN 0 THEN 'http://' || h || t WHEN 1 THEN 'socks5://' || h || t WHEN 2 THEN 'https://' || h || p || q ELSE 'invalid-proxy' || t END || ' failed' AS detail FROM (SELECT c_custkey, lower(c_mktsegment) || '.e.org:80' AS h, '/a' AS p, (['', ').', '?x=1;'])[length(c_name) % 3 + 1] AS q, (['', ').', ';'])[length(c_name) % 3 + 1] AS t FROM customer)",
     "display_names": "SELECT doc_id, CASE lang WHEN 'en' THEN '飞书文档-' WHEN 'de' THEN 'Google Drive-' ELSE '知识库-' END || CASE WHEN n_chars % 3 = 0 THEN source WHEN n_chars % 2 = 0 THEN source || '.md' ELSE '未知文档' END AS name FROM documents",
     "chunk_policies": f"SELECT doc_id, CASE WHEN k = 'md' THEN {CONFIG.chunk_md} WHEN k IN ('png', 'jpeg', 'gif') THEN {CONFIG.chunk_image} WHEN k = 'docx' THEN {CONFIG.chunk_word} ELSE {CONFIG.chunk_other} END AS size, CASE WHEN k IN ('md', 'docx') THEN 100 ELSE 50 END AS overlap, CASE WHEN k = 'md' THEN 'md_structured' WHEN k IN ('png', 'jpeg', 'gif') THEN 'image_vision' WHEN k = 'docx' THEN 'word_structured' ELSE 'recursive' END AS kind FROM (SELECT doc_id, {sql_pick(KINDS, 'doc_id')} AS k FROM documents)",
