@@ -9,6 +9,9 @@ item as a whole if it is shorter than a window, however short. NAMED: a name is
 stands before. CAPITALS: every capitalised word is a name, so what stands before an item does not matter; words at starts
 of sentences that agree count as literals. The two templates need LEAST_WORDS and LITERALS.
 
+Texts are first looked through for anchors: of each window of the benchmark the run of ANCHOR words (fewer in shorter windows) that
+has fewest placeholders. A text that holds a window holds its anchor, so only texts with an anchor have their windows built.
+
 The index of the benchmark is broadcast only up to INDEX_ROWS windows (its rows are counted), and joined by shuffle beyond.
 """
 
@@ -24,12 +27,15 @@ WINDOW = 10
 LITERALS = 6
 #: Items of fewer words are matched word for word only; those shorter than a window are matched whole.
 LEAST_WORDS = 7
+#: Words of an anchor; a power of two, as those of shorter windows are.
+ANCHOR = 4
 INDEX_ROWS = 500_000
 DOC_KEYS = 200_000
 #: START marks a capitalised word that is no name by what stands before it.
 NAME, NUMBER, UNIT, START = "§", "№", "¤", "¶"
 MARKS = NAME + NUMBER + UNIT + START
 PLAIN, NAMED, CAPITALS = 0, 1, 2
+RUNS = tuple(1 << k for k in range(ANCHOR.bit_length()))
 UNITS = "kilograms?|kilometers?|kilometres?|meters?|metres?|centimeters?|liters?|litres?|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|pounds?|dollars?|euros?|cents?|percent|kg|km|cm|mm|mg|ml|mph|ft|lb|oz|kwh|ghz|mhz"
 
 
@@ -98,9 +104,10 @@ def followed_by(runs: Column, others: Column, after: int) -> Column:
 
 
 def index_of(items: DataFrame, window: int) -> DataFrame:
-    """(kind, hash, item_id, i_at, size, form) of all windows of the benchmark word for word, and as templates of those with enough words that are no placeholders.
+    """(kind, hash, item_id, i_at, size, form, run, anchor) of all windows of the benchmark word for word, and as templates of those with enough words that are no placeholders.
 
-    kind numbers the pairs of size and form that occur. Sizes are those of the window and of shorter items, so they are few.
+    kind numbers the pairs of size and form that occur. Sizes are those of the window and of shorter items, so they are few. anchor
+    is the hash of the run of `run` words in the window that has most literals.
     """
     n = F.size("words")
     items = items.where(n > 0).withColumn("size", F.least(n, F.lit(window)))
@@ -108,11 +115,44 @@ def index_of(items: DataFrame, window: int) -> DataFrame:
     kinds = [(size, form) for size in sizes for form in (PLAIN, NAMED, CAPITALS)]
     rows = [(i, size, form) for i, (size, form) in enumerate(kinds)]
     named = items.sparkSession.createDataFrame(rows, "kind int, kind_size int, form int")
-    each = with_windows(items, kinds).select("item_id", "words", "size", F.posexplode("windows").alias("kind", "hashes"))
-    at = each.join(F.broadcast(named), "kind").where("size = kind_size").select("kind", "item_id", "words", "size", "form", F.posexplode("hashes").alias("place", "hash")).withColumn("i_at", F.col("place") + 1)
+    runs = [(run, form) for run in RUNS for form in (PLAIN, NAMED, CAPITALS)]
+    both = with_windows(items, kinds + runs).select("item_id", "words", "size", F.slice("windows", 1, len(kinds)).alias("windows"), F.slice("windows", len(kinds) + 1, len(runs)).alias("runs"))
+    each = both.select("item_id", "words", "size", "runs", F.posexplode("windows").alias("kind", "hashes")).join(F.broadcast(named), "kind").where("size = kind_size")
+    run = run_of(F.col("size"))
+    own = F.get("runs", F.array_position(F.array(*[F.lit(r) for r in RUNS]), run).cast("int") * 3 - 3 + F.col("form"))
+    at = each.select("kind", "item_id", "words", "size", "form", run.alias("run"), own.alias("own"), F.posexplode("hashes").alias("place", "hash")).withColumn("i_at", F.col("place") + 1)
     literal = F.size(F.filter(F.slice("words", F.col("i_at"), F.col("size")), lambda w: ~is_slot(w)))
     enough = (n >= LEAST_WORDS) & (literal >= F.least(F.lit(LITERALS), F.col("size")))
-    return at.where((F.col("form") == PLAIN) | enough).select("kind", "hash", "item_id", "i_at", "size", "form")
+    literals = lambda p: F.size(F.filter(F.slice("words", p, F.col("run")), lambda w: ~is_slot(w)))
+    places = F.sequence(F.col("i_at"), F.col("i_at") + F.col("size") - F.col("run"))
+    anchor = F.array_max(F.transform(places, lambda p: F.struct(literals(p).alias("n"), F.get("own", p - 1).alias("hash"))))["hash"]
+    return at.where((F.col("form") == PLAIN) | enough).select("kind", "hash", "item_id", "i_at", "size", "form", "run", anchor.alias("anchor"))
+
+
+def run_of(size: Column) -> Column:
+    """Words of the anchor of a window of that size: the largest of RUNS that fits."""
+    return F.greatest(*[F.when(size >= r, r) for r in RUNS])
+
+
+def with_anchors(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, tie) of the docs (doc_id, tie, text) that hold an anchor of the index."""
+    runs = [(r["run"], r["form"]) for r in index.select("run", "form").distinct().orderBy("run", "form").collect()]  # as many rows as runs and forms
+    named = index.sparkSession.createDataFrame([(i, *kind) for i, kind in enumerate(runs)], "list int, run int, form int")
+    anchors = index.join(F.broadcast(named), ["run", "form"]).select("list", F.col("anchor").alias("hash")).distinct()
+    anchors = written(anchors, "anchors")
+    if anchors.count() <= INDEX_ROWS:
+        anchors = F.broadcast(anchors)
+    parsed = with_windows(docs.select("doc_id", "tie", words_of(F.col("text")).alias("words")), runs)
+    at = parsed.select("doc_id", "tie", F.posexplode_outer("windows").alias("list", "hashes")).select("doc_id", "tie", "list", F.explode_outer("hashes").alias("hash"))
+    return at.join(anchors, ["hash", "list"], "left_semi").select("doc_id", "tie").distinct()
+
+
+def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The docs of the keys (doc_id, tie), which are broadcast up to DOC_KEYS of them."""
+    keys = keys.select(F.col("doc_id").alias("k_id"), F.col("tie").alias("k_tie"))
+    if keys.count() <= DOC_KEYS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_semi")
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -128,18 +168,16 @@ def contaminated(df: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_c
     index = written(index_of(items, window), "index")
     kinds = [(r["size"], r["form"]) for r in index.select("kind", "size", "form").distinct().orderBy("kind").collect()]  # as many rows as sizes and forms
     numbers = [r["kind"] for r in index.select("kind").distinct().orderBy("kind").collect()]
-    own = F.broadcast(index) if index.count() <= INDEX_ROWS else index
+    windows = index.select("kind", "hash", "item_id", "i_at", "size", "form")
+    own = F.broadcast(windows) if index.count() <= INDEX_ROWS else windows
     # outer explodes, since a plain one adds a filter that parses every text once more
-    parsed = with_windows(docs.select("doc_id", "tie", words_of(F.col("text")).alias("words")), kinds)
+    parsed = with_windows(texts_of(docs, written(with_anchors(docs, index), "candidates")).select("doc_id", "tie", words_of(F.col("text")).alias("words")), kinds)
     at = parsed.select("doc_id", "tie", F.posexplode_outer("windows").alias("list", "hashes")).select("doc_id", "tie", F.get(F.lit(numbers or [0]), F.col("list")).alias("kind"), F.posexplode_outer("hashes").alias("d_at", "hash"))
     hits = at.join(own, ["hash", "kind"]).select("doc_id", "tie", "item_id", (F.col("d_at") + 1).alias("d_at"), "i_at", "size", "form")
     hits = written(hits.distinct(), "hits")
 
     # the slots: only texts with a hit are looked at again
-    keys = hits.select(F.col("doc_id").alias("k_id"), F.col("tie").alias("k_tie")).distinct()
-    if keys.count() <= DOC_KEYS:
-        keys = F.broadcast(keys)
-    texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie")), "left_semi").distinct()
+    texts = texts_of(docs, hits.select("doc_id", "tie").distinct()).distinct()
     texts = texts.select(F.col("doc_id").alias("t_id"), F.col("tie").alias("t_tie"), words_of(F.col("text")).alias("d_words"))
     own_items = items.select(F.col("item_id").alias("own_id"), "words").distinct()
     aligned = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("tie") == F.col("t_tie"))).join(own_items, F.col("item_id").eqNullSafe(F.col("own_id")))
