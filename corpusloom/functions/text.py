@@ -199,6 +199,11 @@ def chunked(df: DataFrame, how: str = "recursive", size: int = 500, overlap: int
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {id_type}, chunk_no bigint, content string, token_count bigint")
 
 
+def chunked_by_tokens(df: DataFrame, tokens: int = 256, overlap: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """chunked by separators with room for that many tokens, at four letters each."""
+    return chunked(df, "split", 4 * tokens, overlap, id_col, text_col)
+
+
 def semantic_chunks(paragraphs: DataFrame, size: int = 500, threshold: float = 0.3) -> DataFrame:
     """paragraphs (doc_id, at, text, vector) -> (doc_id, chunk_no, content): a new chunk where the chunk's first paragraph and the next differ."""
 

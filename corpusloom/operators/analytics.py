@@ -210,3 +210,12 @@ def base_page(bases: DataFrame, departments: DataFrame, documents: DataFrame, pa
     counts = documents.join(F.broadcast(shown.select("kb_id")), "kb_id", "left_semi").groupBy("kb_id").agg(F.count(F.lit(1)).alias("documents"))  # a page
     named = shown.join(departments.select("department_id", "department_name"), "department_id", "left").join(counts, "kb_id", "left")
     return named.select("kb_id", "name", "department_id", "department_name", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), "created_at")
+
+
+def index_jobs(documents: DataFrame, bases: DataFrame) -> DataFrame:
+    """(document_id, title, source_type, kb_id, tenant_id): documents with the tenant of their base; one without a base is no job.
+
+    A null or empty kind of source is local. bases: (kb_id, tenant_id), a row for each.
+    """
+    kind = F.coalesce(F.nullif("source_type", F.lit("")), F.lit("local"))
+    return documents.join(bases.select("kb_id", "tenant_id"), "kb_id").select("document_id", "title", kind.alias("source_type"), "kb_id", "tenant_id")

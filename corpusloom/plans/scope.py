@@ -87,7 +87,16 @@ def rebuilt_blocks(spark, d):
     return C.rebuilt_blocks(chunks).drop("content")
 
 
-QUERIES = {f.__name__: f for f in (scoped_usage, scoped_agent_metrics, scoped_agent_trend, base_page, indexing_states, domain_endings, rebuilt_blocks)}
+def index_jobs(spark, d):
+    """Customers as documents of nations as bases, whose regions are the tenants; some nations are no bases."""
+    c = M.table(spark, d, "customer")
+    kind = F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 5 < 3, F.lower("c_mktsegment"))
+    docs = c.select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("title"), kind.alias("source_type"), F.col("c_nationkey").alias("kb_id"))
+    bases = M.table(spark, d, "nation").where("n_nationkey % 4 <> 3").select(F.col("n_nationkey").alias("kb_id"), F.col("n_regionkey").alias("tenant_id"))
+    return A.index_jobs(docs, bases)
+
+
+QUERIES = {f.__name__: f for f in (scoped_usage, scoped_agent_metrics, scoped_agent_trend, base_page, indexing_states, domain_endings, rebuilt_blocks, index_jobs)}
 
 CONVERSATIONS = "SELECT c_custkey AS conversation_id, c_custkey % 3 AS tenant_id, c_custkey AS user_id, (['en', 'de', 'fr', 'es'])[c_nationkey % 4 + 1] AS kb_id FROM customer"
 SCOPE = {"root": "c.tenant_id = 1", "boss": "c.tenant_id = 1 AND c.kb_id IN ('en', 'de')", "one": "c.tenant_id = 1 AND c.user_id = 7"}
@@ -101,6 +110,7 @@ def scoped_sql(made: str, rows: str, *views: str) -> str:
 
 
 ORACLE_SQL = {
+    "index_jobs": "SELECT c_custkey AS document_id, c_name AS title, CASE WHEN c_custkey % 5 IN (1, 2) THEN lower(c_mktsegment) ELSE 'local' END AS source_type, c_nationkey AS kb_id, n_regionkey AS tenant_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_nationkey % 4 <> 3",
     "scoped_usage": scoped_sql(
         "SELECT count(*) FILTER (role = 'user') AS questions, count(*) AS messages, count(*) FILTER (role = 'user' AND created_at >= TIMESTAMP '2024-01-30') AS questions_today, count(DISTINCT user_id) FILTER (created_at >= TIMESTAMP '2024-01-30') AS users_today, "
         "CAST(coalesce(floor(avg(latency_ms) FILTER (role = 'assistant' AND latency_ms > 0)), 0) AS BIGINT) AS avg_latency_ms, CAST(coalesce(floor(avg(token_count) FILTER (token_count > 0)), 0) AS BIGINT) AS avg_tokens, {who} AS asker FROM {rows}",

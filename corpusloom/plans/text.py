@@ -33,6 +33,10 @@ def chunk_split(spark, d):
     return T.chunked(M.table(spark, d, "documents"), "split", 500, 50).select("doc_id", "chunk_no", F.md5("content").alias("content_md5"), "token_count")
 
 
+def chunk_tokens(spark, d):
+    return T.chunked_by_tokens(M.table(spark, d, "documents"), 256).select("doc_id", "chunk_no", F.md5("content").alias("content_md5"), "token_count")
+
+
 def sentence_split(spark, d):
     return M.table(spark, d, "documents").select("doc_id", F.size(T.by_sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
@@ -62,7 +66,7 @@ def plan_steps(spark, d):
     return rules.plan_steps(rows, 2)
 
 
-QUERIES = {f.__name__: f for f in (clean_text, line_filter_clean, chunk_by_paragraph, chunk_recursive, chunk_split, sentence_split, technical_tokens, error_classify, route_keywords, plan_steps)}
+QUERIES = {f.__name__: f for f in (clean_text, line_filter_clean, chunk_by_paragraph, chunk_recursive, chunk_split, chunk_tokens, sentence_split, technical_tokens, error_classify, route_keywords, plan_steps)}
 
 TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 ORACLE_SQL = {

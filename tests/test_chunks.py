@@ -67,3 +67,11 @@ def test_split_chunks_lose_nothing_and_keep_their_size():
     assert T.split_chunks("short", 40, 5) == ["short"] and T.split_chunks("  ", 40, 5) == []
 
 
+def test_chunks_by_tokens(spark):
+    text = "".join(f"word{i} " + ("\n\n" if i % 17 == 0 else "") for i in range(400))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "x" * 90)], "doc_id bigint, text string")
+    got = {}
+    for r in T.chunked_by_tokens(docs, 10, 0).orderBy("doc_id", "chunk_no").collect():
+        got.setdefault(r["doc_id"], []).append(r["content"])
+    assert got == {1: T.split_chunks(text, 40, 0), 4: T.split_chunks("x" * 90, 40, 0)}
+    assert max(map(len, got[1])) <= 40 and "".join("".join(got[1]).split()) == "".join(text.split())

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 #: Queries that SQL does not express or only in part; tests of their functions against plain loops and examples are in test_operators.
-TESTED = {"ann_topk", "breaker_batch", "breaker_stream", "chunk_recursive", "chunk_split", "html_results"}
+TESTED = {"ann_topk", "breaker_batch", "breaker_stream", "chunk_recursive", "chunk_split", "chunk_tokens", "html_results"}
 
 
 @pytest.fixture(scope="module")
