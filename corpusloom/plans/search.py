@@ -66,10 +66,11 @@ def content_type_classify(spark, d):
 
 
 def domain_details(spark, d):
-    """Every second page by its own host, the others by hosts that tell the kinds apart."""
+    """Every page by its own host, and once more by a given host, which tells the kinds apart."""
     hosts = F.array(*[F.lit(h) for h in HOSTS])
-    host = F.when(F.col("page_id") % 2 == 0, U.domain(F.col("url"))).otherwise(F.element_at(hosts, (F.floor(F.col("page_id") / 2) % len(HOSTS) + 1).cast("int")))
-    return M.table(spark, d, "pages").select("page_id", P.domain_info(host).alias("i")).select("page_id", "i.*")
+    given = F.element_at(hosts, (F.floor(F.col("page_id") / 2) % len(HOSTS) + 1).cast("int"))
+    both = F.array(F.struct(F.lit(False).alias("given"), U.domain(F.col("url")).alias("host")), F.struct(F.lit(True).alias("given"), given.alias("host")))
+    return M.table(spark, d, "pages").select("page_id", F.inline(both)).select("page_id", "given", P.domain_info(F.col("host")).alias("i")).select("page_id", "given", "i.*")
 
 
 #: Languages and windows of requests, some of which no engine knows or takes.
@@ -200,7 +201,7 @@ ORACLE_SQL = {
     "url_normalize": f"SELECT page_id, regexp_replace({norm("regexp_replace(url, '#.*$', '')", "['b=2', 'a=1']")}, '^http:', CASE WHEN page_id % 2 = 0 THEN 'https:' ELSE 'http:' END) AS normalized, {HOST.format('url')} AS domain FROM pages",
     "serp_enrich": V(f"WITH s AS (SELECT *, {norm('url')} AS norm, {HOST.format('url')} AS h FROM serp) SELECT query_id, engine, rank, 's_' || substring(md5(engine || '|' || norm), 1, 16) AS result_id, h AS domain, CASE WHEN ad THEN 'ad' ELSE 'organic' END AS type, CAST(2 AS BIGINT) AS page, CASE WHEN rank > 10 THEN rank ELSE rank + 10 END AS absolute, CASE WHEN rank > 10 THEN rank - 10 ELSE rank END AS on_page, {KIND.format('lower(url)')} AS content_type, {HINTS} AS source_hint FROM s", "serp"),
     "serp_dedup": V(f"SELECT query_id, engine, rank, url, row_number() OVER (PARTITION BY query_id ORDER BY rank, engine, url) AS at FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {norm('url')} ORDER BY CAST(rank <= 0 AS INT), rank, engine, url) AS n FROM serp) WHERE n = 1", "serp"),
-    "domain_details": f"WITH h AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {HOST.format('url')} ELSE ([{', '.join(repr(h) for h in HOSTS)}])[(page_id // 2) % {len(HOSTS)} + 1] END AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS p, len(string_split(host, '.')) AS n FROM h), k AS (SELECT *, n > 2 AND p[n - 1] || '.' || p[n] IN ({', '.join(repr(x) for x in P.DOUBLE_SUFFIXES)}) AS dbl FROM l), t AS (SELECT page_id, host, CASE WHEN dbl THEN p[n - 1] || '.' || p[n] ELSE p[n] END AS tld, CASE WHEN n = 1 THEN '' WHEN dbl THEN p[n - 2] ELSE p[n - 1] END AS sld FROM k) SELECT page_id, tld, sld, (tld = 'gov' OR suffix(host, '.gov')) AS is_gov, (tld IN ('edu', 'ac.uk') OR suffix(host, '.edu') OR suffix(host, '.ac.uk')) AS is_edu, tld = 'mil' AS is_mil, {', '.join(f"host IN ({', '.join(repr(x) for x in names)}) AS is_{kind}" for kind, names in (('news', P.NEWS), ('forum', P.FORUMS), ('marketplace', P.MARKETS), ('social', P.SOCIAL)))} FROM t",
+    "domain_details": f"WITH h AS (SELECT page_id, false AS given, {HOST.format('url')} AS host FROM pages UNION ALL SELECT page_id, true AS given, ([{', '.join(repr(h) for h in HOSTS)}])[(page_id // 2) % {len(HOSTS)} + 1] AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS p, len(string_split(host, '.')) AS n FROM h), k AS (SELECT *, n > 2 AND p[n - 1] || '.' || p[n] IN ({', '.join(repr(x) for x in P.DOUBLE_SUFFIXES)}) AS dbl FROM l), t AS (SELECT page_id, given, host, CASE WHEN dbl THEN p[n - 1] || '.' || p[n] ELSE p[n] END AS tld, CASE WHEN n = 1 THEN '' WHEN dbl THEN p[n - 2] ELSE p[n - 1] END AS sld FROM k) SELECT page_id, given, tld, sld, (tld = 'gov' OR suffix(host, '.gov')) AS is_gov, (tld IN ('edu', 'ac.uk') OR suffix(host, '.edu') OR suffix(host, '.ac.uk')) AS is_edu, tld = 'mil' AS is_mil, {', '.join(f"host IN ({', '.join(repr(x) for x in names)}) AS is_{kind}" for kind, names in (('news', P.NEWS), ('forum', P.FORUMS), ('marketplace', P.MARKETS), ('social', P.SOCIAL)))} FROM t",
     "serp_clusters": V(f"WITH s AS (SELECT *, {norm('url')} AS norm FROM serp), g AS (SELECT query_id, norm, sum(CAST(round(1.0::DOUBLE / greatest(rank, 1), 9) AS DECIMAL(20, 9))) AS total, count(*) AS engines_count, arg_min(url, (rank, engine)) AS url, arg_min(title, (rank, engine)) AS title, min(rank) AS best_rank FROM s GROUP BY 1, 2) SELECT query_id, 'c_' || substring(md5(norm), 1, 16) AS cluster_id, url, title, floor(least(1.0::DOUBLE, CAST(total AS DOUBLE) / 6) * 100 + 0.5) / 100 AS score, engines_count, best_rank FROM g", "serp"),
     "serp_merge_policy": V("WITH s AS (SELECT *, CASE engine WHEN 'baidu' THEN 1 WHEN 'google' THEN 2 WHEN 'bing' THEN 3 END AS o FROM serp WHERE NOT (engine = 'baidu' AND query_id % 2 = 0)) SELECT query_id, engine, rank, url FROM (SELECT *, min(o) OVER (PARTITION BY query_id) AS f FROM s) WHERE o = f", "serp"),
     "serp_first_url": V("SELECT query_id, engine, rank, url FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank, engine) AS n FROM serp) WHERE n = 1", "serp"),

@@ -16,6 +16,7 @@ from corpusloom.operators import context as C
 from corpusloom.operators import lexical as L
 from corpusloom.operators import retrieval as R
 from corpusloom.operators import serp as P
+from corpusloom.plans import search
 from corpusloom.sources.files import parse_results
 from corpusloom.streaming.streams import Breaker
 
@@ -186,3 +187,12 @@ def test_breaker_opens_and_recovers():
 def test_miss_mode(spark):
     rows = spark.createDataFrame([(1, i, h) for i, h in enumerate([False, False, True, False, False, False, False])], "conversation_id int, at int, hit boolean")
     assert [r["mode"] for r in rules.miss_mode(rows).orderBy("at").collect()] == ["ask_pending", "ask_pending", "ask_pending", "ask_pending", "ask_pending", "on", "on"]
+
+
+def test_domain_details_tell_of_every_page(spark):
+    folder = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()
+    rows = search.domain_details(spark, folder).collect()
+    own = {r["page_id"]: (r["tld"], r["sld"]) for r in rows if not r["given"]}
+    assert own == {r["page_id"]: tuple(r["url"].split("/")[2].split(".")[:-3:-1]) for r in pages}
+    assert sum(r["given"] for r in rows) == len(pages)
