@@ -9,14 +9,17 @@ item as a whole if it is shorter than a window, however short. NAMED: a name is
 stands before. CAPITALS: every capitalised word is a name, so what stands before an item does not matter; words at starts
 of sentences that agree count as literals. The two templates need LEAST_WORDS and LITERALS.
 
-Texts are first looked through for anchors: of each window of the benchmark the run of ANCHOR words (fewer in shorter windows) that
-has fewest placeholders. A text that holds a window holds its anchor, so only texts with an anchor have their windows built.
+Texts are first looked through for anchors, which need no marks and so one plain split of the text: runs of tokens (letters and
+digits) in a window of the benchmark that a text with this window must hold, as no placeholder is among them. Only texts with an
+anchor are parsed and have their windows built.
 
 The index of the benchmark is broadcast only up to INDEX_ROWS windows (its rows are counted), and joined by shuffle beyond.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ WINDOW = 10
 LITERALS = 6
 #: Items of fewer words are matched word for word only; those shorter than a window are matched whole.
 LEAST_WORDS = 7
-#: Words of an anchor; a power of two, as those of shorter windows are.
+#: Tokens of an anchor, fewer in windows without so many in a row.
 ANCHOR = 4
 INDEX_ROWS = 500_000
 DOC_KEYS = 200_000
@@ -35,7 +38,9 @@ DOC_KEYS = 200_000
 NAME, NUMBER, UNIT, START = "§", "№", "¤", "¶"
 MARKS = NAME + NUMBER + UNIT + START
 PLAIN, NAMED, CAPITALS = 0, 1, 2
-RUNS = tuple(1 << k for k in range(ANCHOR.bit_length()))
+#: Form of tokens, which have no marks.
+TOKENS = 3
+RUNS = tuple(range(1, ANCHOR + 1))
 UNITS = "kilograms?|kilometers?|kilometres?|meters?|metres?|centimeters?|liters?|litres?|hours?|minutes?|seconds?|days?|weeks?|years?|miles?|pounds?|dollars?|euros?|cents?|percent|kg|km|cm|mm|mg|ml|mph|ft|lb|oz|kwh|ghz|mhz"
 
 
@@ -57,12 +62,23 @@ def plain(word: Column) -> Column:
     return F.translate(word, MARKS, "")
 
 
+def tokens_of(text: Column) -> Column:
+    """Runs of letters and digits in lower case, perhaps with an empty one at either end.
+
+    Those of a text are those of its words_of() in a row, since marks stand before tokens only. Which small sigma lower() writes
+    depends on what follows, a mark included, so the two are one here.
+    """
+    return F.split(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), r"[^\p{L}\p{N}]+")
+
+
 def is_slot(word: Column) -> Column:
     return F.substring(word, 1, 1).isin(NAME, NUMBER, UNIT)
 
 
 def form_hashes(words: Column, form: int) -> Column:
     """Hash of each word in the form."""
+    if form == TOKENS:
+        return F.transform(words, lambda w: F.xxhash64(w))
     if form == PLAIN:
         return F.transform(words, lambda w: F.xxhash64(plain(w)))
 
@@ -104,10 +120,10 @@ def followed_by(runs: Column, others: Column, after: int) -> Column:
 
 
 def index_of(items: DataFrame, window: int) -> DataFrame:
-    """(kind, hash, item_id, i_at, size, form, run, anchor) of all windows of the benchmark word for word, and as templates of those with enough words that are no placeholders.
+    """(kind, hash, item_id, i_at, size, form, anchors) of all windows of the benchmark word for word, and as templates of those with enough words that are no placeholders.
 
-    kind numbers the pairs of size and form that occur. Sizes are those of the window and of shorter items, so they are few. anchor
-    is the hash of the run of `run` words in the window that has most literals.
+    kind numbers the pairs of size and form that occur. Sizes are those of the window and of shorter items, so they are few. anchors
+    are runs of tokens, one of which is in every text that holds the window.
     """
     n = F.size("words")
     items = items.where(n > 0).withColumn("size", F.least(n, F.lit(window)))
@@ -115,36 +131,59 @@ def index_of(items: DataFrame, window: int) -> DataFrame:
     kinds = [(size, form) for size in sizes for form in (PLAIN, NAMED, CAPITALS)]
     rows = [(i, size, form) for i, (size, form) in enumerate(kinds)]
     named = items.sparkSession.createDataFrame(rows, "kind int, kind_size int, form int")
-    runs = [(run, form) for run in RUNS for form in (PLAIN, NAMED, CAPITALS)]
-    both = with_windows(items, kinds + runs).select("item_id", "words", "size", F.slice("windows", 1, len(kinds)).alias("windows"), F.slice("windows", len(kinds) + 1, len(runs)).alias("runs"))
-    each = both.select("item_id", "words", "size", "runs", F.posexplode("windows").alias("kind", "hashes")).join(F.broadcast(named), "kind").where("size = kind_size")
-    run = run_of(F.col("size"))
-    own = F.get("runs", F.array_position(F.array(*[F.lit(r) for r in RUNS]), run).cast("int") * 3 - 3 + F.col("form"))
-    at = each.select("kind", "item_id", "words", "size", "form", run.alias("run"), own.alias("own"), F.posexplode("hashes").alias("place", "hash")).withColumn("i_at", F.col("place") + 1)
-    literal = F.size(F.filter(F.slice("words", F.col("i_at"), F.col("size")), lambda w: ~is_slot(w)))
+    both = with_windows(items, kinds).select("item_id", "words", "size", "windows")
+    each = both.select("item_id", "words", "size", F.posexplode("windows").alias("kind", "hashes")).join(F.broadcast(named), "kind").where("size = kind_size")
+    at = each.select("kind", "item_id", "words", "size", "form", F.posexplode("hashes").alias("place", "hash")).withColumn("i_at", F.col("place") + 1)
+    own = F.slice("words", F.col("i_at"), F.col("size"))
+    literal = F.size(F.filter(own, lambda w: ~is_slot(w)))
     enough = (n >= LEAST_WORDS) & (literal >= F.least(F.lit(LITERALS), F.col("size")))
-    literals = lambda p: F.size(F.filter(F.slice("words", p, F.col("run")), lambda w: ~is_slot(w)))
-    places = F.sequence(F.col("i_at"), F.col("i_at") + F.col("size") - F.col("run"))
-    anchor = F.array_max(F.transform(places, lambda p: F.struct(literals(p).alias("n"), F.get("own", p - 1).alias("hash"))))["hash"]
-    return at.where((F.col("form") == PLAIN) | enough).select("kind", "hash", "item_id", "i_at", "size", "form", "run", anchor.alias("anchor"))
+    at = at.where((F.col("form") == PLAIN) | enough).withColumn("own", own)
+    return with_own_anchors(at).select("kind", "hash", "item_id", "i_at", "size", "form", "anchors")
+
+
+def with_own_anchors(windows: DataFrame) -> DataFrame:
+    """windows (own: its words, size, form) and a column anchors, structs (run, hash): its longest run of tokens of words that are literals in the form, of ANCHOR tokens at most.
+
+    A window in CAPITALS may have nothing but starts of sentences beside its slots. Of those, as many as LITERALS have to agree, so two
+    neighbours do if these are enough: its anchors are all pairs of tokens then, or all tokens.
+    """
+
+    def unbroken(kept: Callable[[Column], Column]) -> Column:
+        """Tokens of the words that are kept, with an empty one for any other word."""
+        tokens = lambda w: F.filter(tokens_of(plain(w)), lambda t: t != "")
+        return F.flatten(F.transform("own", lambda w: F.when((F.col("form") == PLAIN) | kept(w), tokens(w)).otherwise(F.array(F.lit("")))))
+
+    def runs(rows: DataFrame, name: str) -> DataFrame:
+        """rows (with words) and a column of that name: structs (run, n_chars, hash) of all runs of words none of which is empty."""
+        hashed = with_windows(rows, [(run, TOKENS) for run in RUNS])
+
+        def of(k: int, run: int) -> Column:
+            def one(h: Column, i: Column) -> Column:
+                inside = F.slice("words", i + 1, run)
+                return F.when(~F.array_contains(inside, ""), F.struct(F.lit(run).alias("run"), F.length(F.array_join(inside, "")).alias("n_chars"), h.alias("hash")))
+
+            return F.transform(F.get("windows", k), one)
 
+        parts = [of(k, run) for k, run in enumerate(RUNS)]
+        return hashed.select(*(c for c in rows.columns if c != "words"), F.filter(F.concat(*parts), lambda x: x.isNotNull()).alias(name))
 
-def run_of(size: Column) -> Column:
-    """Words of the anchor of a window of that size: the largest of RUNS that fits."""
-    return F.greatest(*[F.when(size >= r, r) for r in RUNS])
+    out = runs(windows.drop("words").withColumn("words", unbroken(lambda w: ~is_slot(w) & ((F.col("form") != CAPITALS) | ~w.startswith(START)))), "sure")
+    out = runs(out.withColumn("words", unbroken(lambda w: ~is_slot(w))), "perhaps")
+    least = F.when(2 * F.least(F.lit(LITERALS), F.col("size")) > F.col("size") + 1, 2).otherwise(1)
+    any_of = F.transform(F.filter("perhaps", lambda x: x["run"] == least), lambda x: x.dropFields("n_chars"))
+    return out.withColumn("anchors", F.when(F.size("sure") > 0, F.array(F.array_max("sure").dropFields("n_chars"))).otherwise(any_of))
 
 
 def with_anchors(docs: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, tie) of the docs (doc_id, tie, text) that hold an anchor of the index."""
-    runs = [(r["run"], r["form"]) for r in index.select("run", "form").distinct().orderBy("run", "form").collect()]  # as many rows as runs and forms
-    named = index.sparkSession.createDataFrame([(i, *kind) for i, kind in enumerate(runs)], "list int, run int, form int")
-    anchors = index.join(F.broadcast(named), ["run", "form"]).select("list", F.col("anchor").alias("hash")).distinct()
-    anchors = written(anchors, "anchors")
+    anchors = written(index.select(F.inline("anchors")).distinct(), "anchors")
+    runs = [r["run"] for r in anchors.select("run").distinct().orderBy("run").collect()]  # as many rows as RUNS
+    anchors = anchors.select("hash").distinct()
     if anchors.count() <= INDEX_ROWS:
         anchors = F.broadcast(anchors)
-    parsed = with_windows(docs.select("doc_id", "tie", words_of(F.col("text")).alias("words")), runs)
-    at = parsed.select("doc_id", "tie", F.posexplode_outer("windows").alias("list", "hashes")).select("doc_id", "tie", "list", F.explode_outer("hashes").alias("hash"))
-    return at.join(anchors, ["hash", "list"], "left_semi").select("doc_id", "tie").distinct()
+    parsed = with_windows(docs.select("doc_id", "tie", tokens_of(F.col("text")).alias("words")), [(run, TOKENS) for run in runs])
+    at = parsed.select("doc_id", "tie", F.explode_outer("windows").alias("hashes")).select("doc_id", "tie", F.explode_outer("hashes").alias("hash"))
+    return at.join(anchors, "hash", "left_semi").select("doc_id", "tie").distinct()
 
 
 def texts_of(docs: DataFrame, keys: DataFrame) -> DataFrame:

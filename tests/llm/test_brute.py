@@ -83,6 +83,42 @@ def test_decontamination_finds_nothing_else(spark):
     assert got == want and len(want) > 30
 
 
+def test_tokens_follow_words_whatever_the_marks(spark):
+    """Tokens of a text are those of its words in a row, so a text that holds words holds their tokens."""
+    rnd = random.Random(7)
+    pieces = [*"aZéßΣσςİ§№¤¶.,:/-!? \n\t_'5٣½", "Foo", "BAR", "ΟΔΟΣ", "3.5", "1,000", "12:30", "km", " 5 km ", ". The ", "x9.Y", "e\u0301", "ꟲ", "𝐀𝐛", "Ǆa", "中文"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 40))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    flat = F.flatten(F.transform(D.words_of(F.col("text")), lambda w: D.tokens_of(D.plain(w))))
+    some = lambda c: F.filter(c, lambda t: t != "")
+    assert rows.where(some(flat) != some(D.tokens_of(F.col("text")))).collect() == []
+
+
+def test_decontamination_anchors_of_odd_windows(spark):
+    """Windows of starts of sentences only, of one letter, of figures, and of words that end in a sigma before a mark."""
+    items = ["Red. Green. Blue. White. Black. Pink. Brown. Grey. Gold. Teal.", "Σ", "1 2.5 3,000 4 5 6 7 8 9 10", "ΟΔΟΣ.Red and seven more old words that stand here"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [
+        "Say. Red. Green. Xa. Xb. Black. Pink. Xc. Grey. Gold. Xd. End", "Red. Xa. Blue. Xb. Black. Xc. Brown. Xd. Gold. Teal.", "Red. Xa. Blue. Xb. Black. Xc. Brown. Xd. Gold. Xe.", "a ς b", "so 1 2.5 3,000 4 5 6 7 8 9 10 so", "ΟΔΟΣ.Red and seven more old words that stand here", "οδοσ.red and seven more old words that stand here",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"]) for r in D.contaminated(docs, bench).collect()}
+    parsed = lambda df, key: {r[0]: r[1] for r in df.select(key, D.words_of(F.col("text"))).collect()}
+    own, wanted = parsed(docs, "doc_id"), parsed(bench, "item_id")
+    assert got == {(d, i): p for d, x in own.items() for i, y in wanted.items() if (p := pair_by_loops(x, y, D.WINDOW))}
+    assert {(0, 0), (1, 0), (4, 2)} <= set(got) and (2, 0) not in got
+
+
+def test_decontamination_parses_only_texts_with_tokens_in_a_row(spark):
+    """A text that shares the pattern of placeholders of a window but no literals in a row is left out before it is parsed."""
+    docs = spark.createDataFrame([(0, "so 4 km 5 km 6 km so"), (1, "the old 4 km 5 km 6 km red mill stands by a river bank")], "doc_id bigint, text string").withColumn("tie", F.lit(0).cast("bigint"))
+    items = spark.createDataFrame([(0, "the old 1 km 2 km red mill stands by a river bank")], "item_id bigint, text string").select("item_id", D.words_of(F.col("text")).alias("words"))
+    index = D.index_of(items, D.WINDOW).where(F.col("form") != D.PLAIN)
+    assert [r["doc_id"] for r in D.with_anchors(docs, index).collect()] == [1]
+    assert all(len(r["anchors"]) == 1 and r["anchors"][0]["run"] == D.ANCHOR for r in index.collect())
+
+
+
 @pytest.mark.parametrize("law", ["rows", "key"])
 def test_every_row_is_where_a_walk_on_the_ring_ends(spark, law):
     rnd, shards = random.Random(2), 5
