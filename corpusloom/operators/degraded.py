@@ -8,14 +8,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.config import CONFIG, Config
 from corpusloom.operators import retrieval as R
-from corpusloom.sources.sinks import shared_folder
-
-
-def kept(rows: DataFrame, name: str) -> DataFrame:
-    """rows as a table in the shared folder, so what several steps read is computed once and outlives executors."""
-    path = shared_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+from corpusloom.sources.sinks import kept
 
 
 def surviving(queries: DataFrame, vector: DataFrame, lexical: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,8 +71,9 @@ def retrieve(queries: DataFrame, vector: DataFrame, lexical: DataFrame, chunks:
     decided = R.rerank_decision(fused, queries, cfg=cfg).join(queries.select("query_id", "text", F.coalesce("rerank_failed", F.lit(False)).alias("rerank_failed")), "query_id")
     decided = decided.withColumn("reranked", F.col("use_rerank") & ~F.col("rerank_failed"))
     parts = fused.join(near.select("query_id", "chunk_id", "similarity"), ["query_id", "chunk_id"], "left").join(best.select("query_id", "chunk_id", "matched_terms", F.col("score").alias("bm25_score")), ["query_id", "chunk_id"], "left")
-    parts = parts.select("query_id", "chunk_id", "rrf_score", "rrf_rank", "similarity", "vector_rank", "bm25_score", "bm25_rank", "matched_terms")
-    rows = parts.join(chunks.select("chunk_id", "document_id", F.col("title").alias("document_title"), "content"), "chunk_id").join(decided.select("query_id", "text", "reranked", "candidate_k"), "query_id")
+    parts = kept(parts.select("query_id", "chunk_id", "rrf_score", "rrf_rank", "similarity", "vector_rank", "bm25_score", "bm25_rank", "matched_terms"), "parts")
+    # at most rrf_keep rows a query, so that no text is shuffled
+    rows = chunks.select("chunk_id", "document_id", F.col("title").alias("document_title"), "content").join(F.broadcast(parts), "chunk_id").join(decided.select("query_id", "text", "reranked", "candidate_k"), "query_id")
     scored = rows.where(F.col("reranked") & (F.col("rrf_rank") <= F.col("candidate_k"))).withColumn("rerank_score", F.round(scorer(F.col("text"), F.col("content")), 9))
     passed = kept(finalize_rerank(scored, threshold).unionByName(finalize_rrf(rows.where(~F.col("reranked"))), allowMissingColumns=True), "passed")
     final = R.post_process(passed, top_k, cfg)

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.config import CONFIG, Config
+from corpusloom.operators.best import Best, sortable
+from corpusloom.sources.sinks import kept
 
+#: Vectors of a block, and blocks of queries that a task compares its vectors with, at most, where there are so many.
+BLOCK, BLOCKS = 2048, 16
 #: Words that make a query vague.
 VAGUE = ("介绍", "说说", "解释", "看看", "聊聊", "讲讲", "概述")
 
@@ -16,6 +25,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places as SQL engines do that scale, round and scale back; Spark's round goes by the decimal digits, which differ where a half is between two doubles."""
+    scale = float(10**places)
+    return F.when(F.isnan(x) | (F.abs(x) > 1e9), F.round(x, places)).otherwise(F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0.0 for empty vectors, unequal lengths or a zero norm."""
     norms = F.sqrt(dot(a, a) * dot(b, b))
@@ -33,19 +48,94 @@ def blend(query: Column, other: Column, alpha: float = CONFIG.hyde_alpha) -> Col
     return F.when(F.size(query) == F.size(other), F.zip_with(query, other, lambda q, h: q * alpha + h * (1 - alpha))).otherwise(query)
 
 
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """(size, keys array, units binary): unit vectors of rows (key, vector) in blocks of BLOCK at most of one length; vectors that are null, empty, zero or have a null entry are left out."""
+    key_type = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(size: int, n: int) -> pa.RecordBatch:
+            keys = pa.concat_arrays([k for k, _ in held[size]])
+            x = np.concatenate([x for _, x in held[size]])
+            held[size] = [(keys[n:], x[n:])] if len(keys) > n else []
+            keys = keys[:n]
+            return pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), pa.array([x[:n].tobytes()])], names=["size", "keys", "units"])
+
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at = np.nonzero(sizes == size)[0]
+                values = lists.take(pa.array(at)).flatten()
+                x = values.to_numpy(zero_copy_only=False).reshape(-1, size)
+                whole = ~np.asarray(values.is_null()).reshape(-1, size).any(axis=1)
+                with np.errstate(all="ignore"):
+                    norms = np.sqrt((x * x).sum(axis=1))
+                    fair = whole & ((norms > 0) | np.isnan(norms))
+                    x = x[fair] / norms[fair, None]
+                held.setdefault(size, []).append((batch.column(0).take(pa.array(at[fair])), x))
+                while sum(len(k) for k, _ in held[size]) >= BLOCK:
+                    yield block(size, BLOCK)
+        for size, rest in held.items():
+            if sum(len(k) for k, _ in rest):
+                yield block(size, BLOCK)
+
+    return rows.select(key, F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, f"size int, keys array<{key_type}>, units binary")
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = CONFIG.recall_k, threshold: float | None = None) -> DataFrame:
     """(query_id, id, similarity, vector_rank): exact cosine top k of each query. queries: (query_id, vector); vectors: (id, vector).
 
-    A stated set of queries is compared with all rows. Vectors are normalised once, so a pair costs one product; queries of more
-    than a few thousand are the caller's to split. Null, empty and zero vectors never match.
+    All queries are compared with all rows, so the time is their product; blocks of either meet in one matrix product, and a task
+    keeps k rows a query. Blocks of queries are written to the shared folder; the planner sends them to every task while they are
+    few, and beyond deals pairs of parts, in which no task has more than BLOCKS of them. Null, empty and zero vectors never match.
     """
-    q = queries.select("query_id", unit(F.col("vector")).alias("q")).where("q is not null")
-    v = vectors.select("id", unit(F.col("vector")).alias("v")).where("v is not null")
-    pairs = v.join(F.broadcast(q) if q.count() <= 2000 else q, F.size("q") == F.size("v")).select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
-    if threshold is not None:
-        pairs = pairs.where(F.col("similarity") >= threshold)
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    # rebalanced, so that there are few blocks however many parts the table has
+    asked = packed(queries.select("query_id", "vector").hint("rebalance"), "query_id")
+    asked = kept(asked.select("size", F.col("keys").alias("query_ids"), F.col("units").alias("qs"), F.monotonically_increasing_id().alias("block")), "queries")
+    many = asked.count()
+    if many > BLOCKS:
+        asked = asked.repartition(-(-many // BLOCKS)).hint("shuffle_replicate_nl")
+    pairs = packed(vectors, "id").crossJoin(asked.withColumnRenamed("size", "query_size")).select("size", "keys", "units", "query_size", "query_ids", "qs", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}  # by block of queries
+        kind = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                size, query_size, block = (batch.column(c)[i].as_py() for c in (0, 3, 6))
+                if size != query_size:
+                    continue
+                kind = batch.column(1).type.value_type
+                ids, null = sortable(batch.column(1)[i].values)
+                if block not in best:
+                    query_ids = batch.column(4)[i].values
+                    best[block] = query_ids, np.frombuffer(batch.column(5)[i].as_py()).reshape(-1, size), Best(len(query_ids), k)
+                query_ids, q, found = best[block]
+                scores = q @ np.frombuffer(batch.column(2)[i].as_py()).reshape(-1, size).T
+                least = found.least
+                if not found.full.all() and len(ids) > k:
+                    # the k-th best of this block, as the first of them have no bound yet; NaN counts as the greatest
+                    own = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                    least = np.maximum(least, np.where(np.isnan(own), np.inf, own))
+                a, b = np.nonzero(~(scores < least[:, None] - 2e-6))
+                score = scores[a, b]
+                score = np.copysign(np.floor(np.abs(score) * 1e6 + 0.5) / 1e6, score)
+                if threshold is not None:
+                    fair = ~(score < threshold)
+                    a, b, score = a[fair], b[fair], score[fair]
+                found.add(a, score, ids[b], null[b])
+        for query_ids, _, found in best.values():
+            rows = found.settle()
+            if rows is not None:
+                a, score, ids, null = rows
+                yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(a)), pa.array(ids, kind, mask=null), pa.array(score)], names=["query_id", "id", "similarity"])
+
+    found = pairs.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return pairs.withColumn("vector_rank", rank.cast("bigint")).where(F.col("vector_rank") <= k)
+    return found.withColumn("vector_rank", rank.cast("bigint")).where(F.col("vector_rank") <= k)
 
 
 def rrf(vector: DataFrame, lexical: DataFrame, cfg: Config = CONFIG) -> DataFrame:
