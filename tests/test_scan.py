@@ -112,3 +112,14 @@ def test_kept_tables_go(spark):
     assert folder.exists()
     sinks.removed(rows)
     assert not folder.exists()
+
+
+def test_terms_are_counted_where_they_are(spark):
+    rows = [(i, [f"w{k % (i + 1)}" for k in range(2 * i)]) for i in range(40)] + [(99, None)]
+    got = L.counted_lists(spark.createDataFrame(rows, "id bigint, tokens array<string>").repartition(3))
+    assert "Exchange" not in L.counted_lists(spark.range(5).select("id", F.array(F.lit("a")).alias("tokens")))._jdf.queryExecution().executedPlan().toString()
+    from collections import Counter
+
+    for r in got.collect():
+        want = Counter(next(t for i, t in rows if i == r["id"]) or [])
+        assert dict(zip(r["terms"], r["tfs"], strict=True)) == want and len(r["terms"]) == len(want)
