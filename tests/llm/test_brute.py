@@ -276,3 +276,17 @@ def test_rows_of_one_template(spark):
         line_dedup.SECOND_CROWD = old
     kept = [x for i, x in enumerate(lines) if not any(within_two(x, y) for y in lines[:i])]
     assert got[0]["kept"].split("\n") == kept and got[1]["n_removed"] == 400 and got[1]["kept"] == ""
+
+
+def test_op6_keys_of_several_segments(spark):
+    """The keys made from a table of numbers are those of the single expressions, and their plan is small."""
+    from corpusloom.llm import line_dedup as D
+
+    df = spark.createDataFrame([("".join(chr(97 + (i * k) % 26) for i in range(20 + k)) + "äß€"[: k % 4],) for k in range(30)], "line string").withColumn("length", F.length("line"))
+    line, length = F.col("line"), F.col("length")
+    for own, single in ((True, D.index_keys(line, length, 6, 4)), (False, D.probe_keys(line, length, 2, 6, 4))):
+        pieces, table = D.pieces_of(line, length, 2, 6, 4, own)
+        made = df.select("line", "length", pieces.alias("pieces")).select("line", D.keys_of_pieces(length, F.col("pieces"), table, 4).alias("keys"))
+        assert {r["line"]: r["keys"] for r in made.collect()} == {r["line"]: r["keys"] for r in df.select("line", single.alias("keys")).collect()}
+    whole = len(df.select(single)._jdf.queryExecution().optimizedPlan().toJSON())
+    assert 2 * len(made._jdf.queryExecution().optimizedPlan().toJSON()) < whole
